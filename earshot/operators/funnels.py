@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from earshot.functions.numbers import clip, ratio
+from earshot.functions.numbers import clip, ratio, skip_flag
 from earshot.functions.times import floor_days, period_start
 
 # Stage names and their thresholds.
@@ -104,7 +104,7 @@ def playlist_progress(sessions: DataFrame, playlist_length: int = 20,
     if by_list:
         keys.append("playlist_id")
     runs = (sessions.where(F.col("context") == "playlist").groupBy(*keys)
-            .agg(F.count_if(~F.col("skipped")).alias("tracks_completed")))
+            .agg(F.count_if(skip_flag() == 0).alias("tracks_completed")))
     if by_list:
         lengths = playlist_tracks.groupBy("playlist_id").agg(F.count("*").alias("playlist_length"))
         runs = runs.join(lengths, "playlist_id", "left")
