@@ -6,12 +6,18 @@ one row per test.
 
 from __future__ import annotations
 
-from statistics import NormalDist
 import math
+import sys
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# Ship these functions with the query, so that executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _STANDARD = NormalDist()
 _LARGE_DF = 20_000.0
@@ -55,7 +61,7 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(np.isinf(t), 0.0, p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p value; null where t or df is missing."""
     known = (t.notna() & df.notna()).to_numpy()
@@ -65,14 +71,14 @@ def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out).where(pd.Series(known), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """P(Z <= z)."""
     out = pd.Series(0.5 * _erfc(-z.fillna(0).to_numpy(float) / math.sqrt(2)))
     return out.where(z.notna().reset_index(drop=True), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_one_df_p(x: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom."""
     out = pd.Series(_erfc(np.sqrt(x.fillna(0).to_numpy(float) / 2)))
