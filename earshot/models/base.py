@@ -29,8 +29,15 @@ class LinearModel:
             raise ValueError("Model not fitted. Call train() first.")
 
     def _split(self, df: DataFrame, key, share: float, stratify: str | None):
-        """(train, validation), read from a cached frame so that the fits agree on it."""
-        marked = mark_split(df, key or df.columns, share, self.random_state, stratify).persist()
+        """(frame to release, train, validation).
+
+        The rows are materialized once, spilling to disk; the split and every
+        pass of the fit then read them from there.
+        """
+        rows = df.persist()
+        marked = mark_split(rows, key or df.columns, share, self.random_state, stratify).persist()
+        marked.count()
+        rows.unpersist()
         return marked, marked.where(~F.col("is_test")), marked.where("is_test")
 
     def _fold(self, key: list[str], folds: int):

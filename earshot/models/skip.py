@@ -61,7 +61,11 @@ class SkipPredictor(LinearModel):
 
     def _measure(self, df: DataFrame, label: str) -> dict[str, float]:
         scored = self.predict(df).select(F.col(label).cast("int").alias("label"), "prediction", "probability")
-        return {**mt.classification_metrics(scored).head().asDict(), **mt.auc(scored).head().asDict()}
+        scored.persist()
+        try:
+            return {**mt.classification_metrics(scored).head().asDict(), **mt.auc(scored).head().asDict()}
+        finally:
+            scored.unpersist()
 
     def evaluate(self, df: DataFrame, label: str = "skipped") -> dict[str, float]:
         """accuracy, auc_roc, precision, recall and f1."""
