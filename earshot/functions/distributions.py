@@ -21,8 +21,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _STANDARD = NormalDist()
 _LARGE_DF = 20_000.0
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _each(function, values) -> np.ndarray:
+    values = np.asarray(values, dtype=float)
+    return np.array([function(v) for v in values.ravel()], dtype=float).reshape(values.shape)
+
+
+def _log_gamma(values) -> np.ndarray:
+    return _each(math.lgamma, values)
+
+
+def _erfc(values) -> np.ndarray:
+    return _each(math.erfc, values)
 
 
 def normal_quantile(p: float) -> float:

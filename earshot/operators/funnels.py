@@ -201,9 +201,9 @@ def activation_rates(users: DataFrame, sessions: DataFrame, **options) -> DataFr
 
 # --- ordered events ---------------------------------------------------------
 
-def event_funnel(events: DataFrame, stages: list[str], user: str = "user_id", ts: str = "ts",
+def event_counts(events: DataFrame, stages: list[str], user: str = "user_id", ts: str = "ts",
                  event: str = "event_type") -> DataFrame:
-    """Users who did the stages in order, each at or after the one before.
+    """One row: users who did the stages in order, each at or after the one before.
 
     One inner join per stage against the users still in, of whom only the
     earliest fitting time is kept.
@@ -218,4 +218,8 @@ def event_funnel(events: DataFrame, stages: list[str], user: str = "user_id", ts
                    .groupBy("who").agg(F.min("at").alias("since")))
         counts.append(reached.agg(F.count("*")).scalar())
     one_row = events.sparkSession.range(1)
-    return stage_table(one_row.select(*(c.alias(n) for c, n in zip(counts, stages))), stages)
+    return one_row.select(*(c.alias(n) for c, n in zip(counts, stages)))
+
+
+def event_funnel(events: DataFrame, stages: list[str], **columns: str) -> DataFrame:
+    return stage_table(event_counts(events, stages, **columns), stages)
