@@ -87,6 +87,15 @@ def day_part(hour: Column | str) -> Column:
     return chain
 
 
+def part_hours() -> dict[str, tuple[int, int]]:
+    """First and last hour of each part of the day."""
+    hours, first = {}, 0
+    for name, last in DAY_PARTS.items():
+        hours[name] = (first, min(last, 23))
+        first = last + 1
+    return hours
+
+
 def right_closed_bin(value: Column | str, edges: list[float], labels: list[str]) -> Column:
     """Label of the bin ``(edges[i], edges[i+1]]``; null outside all bins."""
     value = _col(value)

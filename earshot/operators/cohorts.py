@@ -151,9 +151,9 @@ def churn_risk(users: DataFrame, sessions: DataFrame, days_inactive: int = 30,
     """
     now = sessions.agg(F.max("timestamp")).scalar() if as_of is None else as_of
     last = sessions.groupBy("user_id").agg(F.max("timestamp").alias("last_activity"))
-    gone = F.coalesce(floor_days(now, "last_activity"), F.lit(999))
-    return (users.join(last, "user_id", "left")
-            .withColumn("days_inactive", gone)
+    gone = F.coalesce(floor_days("now", "last_activity"), F.lit(999))
+    return (users.join(last.withColumn("now", now), "user_id", "left")
+            .withColumn("days_inactive", gone).drop("now")
             .withColumn("churn_risk", F.col("last_activity").isNull()
                         | (F.col("days_inactive") >= days_inactive)))
 
@@ -163,8 +163,8 @@ def churned_users(users: DataFrame, sessions: DataFrame, inactive_days: int = 30
     """The same by calendar days; users who never played are churned, days unknown."""
     today = F.to_date(sessions.agg(F.max("timestamp")).scalar() if as_of is None else as_of)
     last = sessions.groupBy("user_id").agg(F.to_date(F.max("timestamp")).alias("last_active"))
-    return (users.join(last, "user_id", "left")
-            .withColumn("days_inactive", F.datediff(today, "last_active"))
+    return (users.join(last.withColumn("today", today), "user_id", "left")
+            .withColumn("days_inactive", F.datediff("today", "last_active")).drop("today")
             .withColumn("is_churned", F.col("days_inactive").isNull()
                         | (F.col("days_inactive") >= inactive_days)))
 

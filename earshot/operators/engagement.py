@@ -8,6 +8,7 @@ from earshot.functions.numbers import percent, ratio, round_half_up, skip_flag
 from earshot.functions.times import (
     age_days, floor_days, hour_of, period_start, right_closed_bin, weekday_name,
 )
+from earshot.plans.calendar import active_days, users_per_day
 from earshot.operators.plays import (
     mean_listen, merge_totals, play_totals, skip_percent, skip_share, totals_by_track,
 )
@@ -28,15 +29,14 @@ def engagement_segment(plays: Column, bounds: dict[str, int] = SEGMENTS) -> Colu
 def dau_mau(sessions: DataFrame, ts: str = "timestamp", user: str = "user_id") -> DataFrame:
     """Daily and monthly active users with their ratio as a fraction.
 
-    Both counts come from one distinct (day, user) set, so the plays are
-    scanned and shuffled once.
+    One scan and one shuffle of (user, month) rows give both: a month's users
+    are its rows, a day's users the rows with that day's bit.
     """
-    daily = sessions.select(F.to_date(ts).alias("date"), F.col(user).alias("user_id")).distinct()
-    dau = daily.groupBy("date").agg(F.count("user_id").alias("dau"))
-    mau = (daily.groupBy(F.trunc("date", "month").alias("month_start"))
-           .agg(F.countDistinct("user_id").alias("mau")))
-    return (dau.join(mau, F.trunc("date", "month") == F.col("month_start"))
-            .select("date", "dau", F.date_format("month_start", "yyyy-MM").alias("month"), "mau",
+    months = (active_days(sessions, ts, user).groupBy("month")
+              .agg(F.count("user_id").alias("mau"), users_per_day().alias("per_day")))
+    return (months.select("month", "mau", F.inline("per_day")).where(F.col("seen") == 1)
+            .select(F.date_add("month", F.col("offset")).alias("date"), "dau",
+                    F.date_format("month", "yyyy-MM").alias("month"), "mau",
                     ratio("dau", "mau", None).alias("dau_mau_ratio")))
 
 
@@ -256,14 +256,24 @@ def retention_curve(users: DataFrame, sessions: DataFrame, days: int = 30) -> Da
 
 # --- per-user metrics table -------------------------------------------------
 
-def user_metrics(sessions: DataFrame) -> DataFrame:
-    """One metrics row per user. Genre and score columns are left unset."""
-    per_track = (sessions.groupBy("user_id", "track_id")
-                 .agg(F.count("*").alias("plays"), F.sum(skip_flag()).alias("skips"),
-                      F.sum("listen_duration_ms").alias("listen_ms"),
-                      F.count("listen_duration_ms").alias("listens"),
-                      F.max(F.to_date("timestamp")).alias("last_day")))
-    return (per_track.groupBy("user_id")
+def metric_parts(sessions: DataFrame) -> DataFrame:
+    """Sums per user and track that user metrics are made of; parts can be added up."""
+    return (sessions.groupBy("user_id", "track_id")
+            .agg(F.count("*").alias("plays"), F.sum(skip_flag()).alias("skips"),
+                 F.sum("listen_duration_ms").alias("listen_ms"),
+                 F.count("listen_duration_ms").alias("listens"),
+                 F.max(F.to_date("timestamp")).alias("last_day")))
+
+
+def merge_metric_parts(parts: DataFrame) -> DataFrame:
+    return (parts.groupBy("user_id", "track_id")
+            .agg(*(F.sum(c).alias(c) for c in ("plays", "skips", "listen_ms", "listens")),
+                 F.max("last_day").alias("last_day")))
+
+
+def metrics_of_parts(parts: DataFrame) -> DataFrame:
+    """One metrics row per user, from one part per user and track."""
+    return (parts.groupBy("user_id")
             .agg(F.sum("plays").alias("total_sessions"),
                  F.sum("listen_ms").alias("total_listen_time_ms"),
                  ratio(F.sum("skips"), F.sum("plays"), None).alias("skip_rate"),
@@ -276,6 +286,11 @@ def user_metrics(sessions: DataFrame) -> DataFrame:
                     F.lit(None).cast("double").alias("engagement_score")))
 
 
+def user_metrics(sessions: DataFrame) -> DataFrame:
+    """One metrics row per user. Genre and score columns are left unset."""
+    return metrics_of_parts(metric_parts(sessions))
+
+
 def upsert_user_metrics(current: DataFrame, sessions: DataFrame, changed: DataFrame) -> DataFrame:
     """``current`` with the rows of ``changed`` users computed afresh.
 

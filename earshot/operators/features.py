@@ -2,9 +2,9 @@
 
 Each group is a function of its own; :func:`user_features` builds them all.
 Plain aggregates of all groups share a single ``groupBy("user_id")``. What
-needs a finer grain first (days, hours, genres, distinct ids) is aggregated at
-that grain before it is grouped by user, so no user's plays ever meet in one
-task: at most one row per day, hour or genre does.
+needs a finer grain first (days, genres, distinct ids) is aggregated at that
+grain before it is grouped by user, so no user's plays ever meet in one task:
+at most one row per day or genre does.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earshot.functions.numbers import clip, mapped, ratio, share_entropy
-from earshot.functions.times import day_part, floor_days, hour_of, is_weekend
+from earshot.functions.times import floor_days, hour_of, is_weekend, part_hours
+from earshot.plans.calendar import active_days, day_list
 
 # The measures with preference features, and category codes.
 PREFERENCE_AUDIO = ["tempo", "energy", "danceability", "valence", "acousticness"]
@@ -66,9 +67,12 @@ def with_tracks(sessions: DataFrame, tracks: DataFrame) -> DataFrame:
 def streaks(sessions: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Runs of consecutive listening days; the last run is the current one.
 
-    Windows run over distinct days, which a calendar bounds per user.
+    Plays become one row per user and month before they are shuffled, and
+    days only after that; windows run over distinct days, which a calendar
+    bounds per user.
     """
-    days = _known(sessions).select("user_id", F.to_date(ts).alias("day")).distinct()
+    days = (active_days(_known(sessions), ts).repartition("user_id")
+            .select("user_id", F.explode(day_list()).alias("day")))
     order = Window.partitionBy("user_id").orderBy("day")
     runs = (days.withColumn("run", F.date_sub("day", F.row_number().over(order)))
             .groupBy("user_id", "run")
@@ -179,7 +183,8 @@ def _engagement_aggregates() -> list[Column]:
             F.count("timestamp").alias("timed_events")]
 
 
-def _engagement_columns(now: Column) -> dict[str, Column]:
+def _engagement_columns() -> dict[str, Column]:
+    now = F.col("now")
     since_last = floor_days(now, "last_listen")
     span = floor_days("last_listen", "first_listen") + 1
     daily = clip(ratio("timed_events", span, None), 0, 100)
@@ -199,37 +204,39 @@ def _last_play(sessions: DataFrame) -> Column:
 def engagement(sessions: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Recency, frequency, volume and their weighted score. "Now" is the last play."""
     now = _last_play(sessions) if as_of is None else as_of
-    return _finish(_known(sessions).groupBy("user_id").agg(*_engagement_aggregates()),
-                   _engagement_columns(now))
+    return _finish(_known(sessions).groupBy("user_id").agg(*_engagement_aggregates()).withColumn("now", now),
+                   _engagement_columns())
 
 
-def _finish(base: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return base.select("user_id", *(c.alias(name) for name, c in columns.items()))
+def _timed(plays: DataFrame) -> DataFrame:
+    return plays.withColumn("hour", hour_of("timestamp")).withColumn("weekend", is_weekend("timestamp"))
+
+
+def _temporal_aggregates() -> list[Column]:
+    """One counter per hour of the day: a histogram without a shuffle of its own."""
+    counters = ", ".join(f"count_if(hour = {h})" for h in range(24))
+    return [F.expr(f"array({counters})").alias("by_hour"), F.expr("count_if(weekend)").alias("weekend_plays"),
+            F.count("hour").alias("hours")]
+
 
+def _temporal_columns() -> dict[str, Column]:
+    """Shares per part of the day and weekend, peak hour (the first on a tie), entropy."""
+    parts = {f"{name}_ratio": ratio(F.expr(
+        f"aggregate(slice(by_hour, {first + 1}, {last - first + 1}), 0L, (a, n) -> a + n)"), "hours")
+        for name, (first, last) in part_hours().items()}
+    return {**parts, "weekend_ratio": ratio("weekend_plays", "hours"),
+            "peak_hour": F.expr("cast(array_position(by_hour, array_max(by_hour)) - 1 as int)"),
+            "hour_entropy": F.expr("aggregate(by_hour, 0D, (a, n) -> "
+                                   "a - if(n > 0, n / hours * log2(n / hours), 0D))")}
 
-# --- time of listening ------------------------------------------------------
 
 def temporal(sessions: DataFrame) -> DataFrame:
-    """Shares per part of the day and weekend, peak hour, entropy of the hour.
+    """When a user listens."""
+    return _finish(_timed(_known(sessions)).groupBy("user_id").agg(*_temporal_aggregates()), _temporal_columns())
 
-    All from one histogram of at most 48 rows per user (hour x weekend).
-    """
-    histogram = (_known(sessions)
-                 .groupBy("user_id", hour_of("timestamp").alias("hour"),
-                          is_weekend("timestamp").alias("weekend"))
-                 .agg(F.count("*").alias("n")))
-    by_hour = (histogram.groupBy("user_id", "hour")
-               .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("weekend"), F.col("n")).otherwise(0))
-                    .alias("weekend_n")))
-    total, n = F.col("total"), F.col("n")
-    part = day_part("hour")
-    shares = [ratio(F.sum(F.when(part == name, n).otherwise(0)), F.max(total)).alias(f"{name}_ratio")
-              for name in ("night", "morning", "afternoon", "evening")]
-    return (by_hour.withColumn("total", F.sum("n").over(Window.partitionBy("user_id")))
-            .groupBy("user_id")
-            .agg(*shares, ratio(F.sum("weekend_n"), F.max(total)).alias("weekend_ratio"),
-                 F.max_by("hour", F.struct(n, -F.col("hour"))).alias("peak_hour"),
-                 F.sum(share_entropy(n / total)).alias("hour_entropy")))
+
+def _finish(base: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return base.select("user_id", *(c.alias(name) for name, c in columns.items()))
 
 
 # --- demographics -----------------------------------------------------------
@@ -266,14 +273,14 @@ def user_features(sessions: DataFrame, users: DataFrame, tracks: DataFrame,
     """
     now = _last_play(sessions) if as_of is None else as_of
     plays = with_tracks(sessions, tracks)
-    base = _known(plays).groupBy("user_id").agg(
+    base = _timed(_known(plays)).groupBy("user_id").agg(
         *_playlist_aggregates(), *_listening_aggregates(), *_audio_aggregates(),
-        *_engagement_aggregates())
+        *_temporal_aggregates(), *_engagement_aggregates()).withColumn("now", now)
     plain = {**_playlist_columns(), **_listening_columns(), **_audio_columns(),
-             **_engagement_columns(now)}
+             **_temporal_columns(), **_engagement_columns()}
     demographics = users.select("user_id", "tier", "country", "age_group")
     wide = _finish(base.join(_distinct_ids(sessions), "user_id"), plain)
-    for group in (streaks(sessions), temporal(sessions), genre_diversity(plays)):
+    for group in (streaks(sessions), genre_diversity(plays)):
         wide = wide.join(group, "user_id", "left")
     listeners = _known(sessions).select("user_id").distinct()
     shares = country_shares(listeners.join(demographics, "user_id"))

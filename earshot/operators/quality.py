@@ -67,28 +67,34 @@ def reference_violations(child: DataFrame, column: str, parent: DataFrame,
 
 
 def check_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """All rules that apply to the given tables: rule, table, column, violations."""
-    found = []
-
-    def add(rule, table, frame):
-        found.append(frame.select(F.lit(rule).alias("rule"), F.lit(table).alias("table_name"),
-                                  "column_name", F.col("violations").cast("bigint").alias("violations")))
+    """All rules that apply to the given tables: rule, table, column, violations.
 
+    Domains and missing values of a table are counted in one pass.
+    """
+    found = []
     for name, df in tables.items():
         allowed = {c: v for c, v in schemas.DOMAINS.get(name, {}).items() if c in df.columns}
-        if allowed:
-            add("domain", name, domain_violations(df, allowed=allowed))
-        if name in schemas.TABLES:
-            add("not_null", name, null_violations(df, name))
+        needed = [c for c in schemas.not_null_columns(name) if c in df.columns] if name in schemas.TABLES else []
+        counts = {**{("domain", c): F.count_if(~F.col(c).isin(v)) for c, v in allowed.items()},
+                  **{("not_null", c): F.count_if(F.col(c).isNull()) for c in needed}}
         if name in schemas.KEYS:
             keys = schemas.KEYS[name]
-            add("key", name, key_violations(df, keys).agg(F.count("*").alias("violations"))
-                .withColumn("column_name", F.lit(",".join(keys))))
+            twice = key_violations(df, keys).agg(F.count("*")).scalar()
+            counts["key", ",".join(keys)] = twice
+        if counts:
+            aggregates = {k: c for k, c in counts.items() if k[0] != "key"}
+            row = df.agg(*(c.alias(f"{rule} {column}") for (rule, column), c in aggregates.items()))
+            found.append(row.select(F.inline(F.array(*(
+                F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("table_name"),
+                         F.lit(column).alias("column_name"),
+                         (c if rule == "key" else F.col(f"`{rule} {column}`")).alias("violations"))
+                for (rule, column), c in counts.items())))))
     for child, column, parent, parent_column in schemas.REFERENCES:
         if child in tables and parent in tables:
             missing = reference_violations(tables[child], column, tables[parent], parent_column)
-            add("reference", child, missing.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("violations"))
-                .withColumn("column_name", F.lit(column)))
+            found.append(missing.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("violations")).select(
+                F.lit("reference").alias("rule"), F.lit(child).alias("table_name"),
+                F.lit(column).alias("column_name"), "violations"))
     result = found[0]
     for frame in found[1:]:
         result = result.unionByName(frame)

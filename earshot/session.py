@@ -38,6 +38,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8,
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Recording the call site of every column expression makes building plans several times slower.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.operators.engagement import upsert_user_metrics, user_metrics
+from earshot.operators.engagement import merge_metric_parts, metric_parts, metrics_of_parts
 from earshot.session import shared_folder
 
 
@@ -45,12 +45,12 @@ def drain_complete(stream: DataFrame, folder: str) -> DataFrame:
 
 
 class UserMetricsTable:
-    """The per-user metrics table, brought up to date batch by batch.
+    """The per-user metrics table, kept up to date by a stream of plays.
 
-    A batch adds its plays to the history and writes the next snapshot: the
-    rows of its users computed afresh, all others carried over. A batch that
-    runs again overwrites its own history part and snapshot and reads the
-    snapshot before, so every play counts once.
+    A batch writes only its own sums per user and track, into a folder named
+    after it; reading adds the sums up. A batch that runs again overwrites its
+    folder, so every play counts once. :meth:`compact` folds finished batches
+    into one base, from time to time, to keep reading cheap.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -60,29 +60,48 @@ class UserMetricsTable:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _versions(self) -> list[int]:
-        fs, root = self._fs(f"{self.folder}/snapshots")
+    def _complete(self, kind: str) -> list[int]:
+        """Numbers of the completely written ``deltas`` or ``bases``."""
+        fs, root = self._fs(f"{self.folder}/{kind}")
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [n for n in names if fs.exists(self._fs(f"{self.folder}/snapshots/{n}/_SUCCESS")[1])]
-        return sorted(int(n.split("=")[1]) for n in done)
+        return sorted(int(n) for n in names
+                      if n.isdigit() and fs.exists(self._fs(f"{self.folder}/{kind}/{n}/_SUCCESS")[1]))
 
-    def snapshot(self, before: int | None = None) -> DataFrame | None:
-        """The newest complete table, or the newest older than a batch."""
-        versions = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.folder}/snapshots/batch={versions[-1]}") if versions else None
+    def _current(self) -> tuple[int, list[str]]:
+        """Last compacted batch (-1 if none) and the folders that make up the table."""
+        bases = self._complete("bases")
+        done = bases[-1] if bases else -1
+        deltas = [f"{self.folder}/deltas/{n}" for n in self._complete("deltas") if n > done]
+        return done, ([f"{self.folder}/bases/{done}"] if bases else []) + deltas
 
     def apply(self, plays: DataFrame, batch_id: int) -> None:
         """Take in one batch of plays; for ``foreachBatch``."""
-        plays.write.mode("overwrite").parquet(f"{self.folder}/history/batch={batch_id}")
-        history = self.spark.read.parquet(f"{self.folder}/history").where(f"batch <= {batch_id}").drop("batch")
-        batch = self.spark.read.schema(plays.schema).parquet(f"{self.folder}/history/batch={batch_id}")
-        current = self.snapshot(before=batch_id)
-        table = user_metrics(history) if current is None else upsert_user_metrics(current, history, batch)
-        table.write.mode("overwrite").parquet(f"{self.folder}/snapshots/batch={batch_id}")
-        for old in [v for v in self._versions() if v < batch_id][:-1]:
-            fs, path = self._fs(f"{self.folder}/snapshots/batch={old}")
+        if batch_id > self._current()[0]:
+            metric_parts(plays).write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch_id}")
+
+    def _parts(self) -> DataFrame | None:
+        folders = self._current()[1]
+        if not folders:
+            return None
+        schema = self.spark.read.parquet(folders[0]).schema
+        return merge_metric_parts(self.spark.read.schema(schema).parquet(*folders))
+
+    def snapshot(self) -> DataFrame | None:
+        """The table as of the last batch; None before the first."""
+        parts = self._parts()
+        return None if parts is None else metrics_of_parts(parts)
+
+    def compact(self) -> None:
+        """Fold all batches so far into a new base and drop what it replaces."""
+        deltas = self._complete("deltas")
+        done, replaced = self._current()
+        if not deltas or deltas[-1] <= done:
+            return
+        self._parts().write.mode("overwrite").parquet(f"{self.folder}/bases/{deltas[-1]}")
+        for old in replaced:
+            fs, path = self._fs(old)
             fs.delete(path, True)
 
     def follow(self, plays: DataFrame) -> DataFrame:

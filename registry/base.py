@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import (
-    BooleanType, ByteType, DoubleType, FloatType, IntegerType, ShortType, TimestampType,
-)
+from pyspark.sql import DataFrame, SparkSession
 
 from earshot.session import configure
 from earshot.sources import mart
@@ -24,21 +21,17 @@ _MART_CTES = {
 }
 
 
+_FORMS = {
+    "double": "cast(round(cast(`{c}` as decimal(38,12)), 6) as double)",
+    "float": "cast(round(cast(`{c}` as decimal(38,12)), 6) as double)",
+    "tinyint": "cast(`{c}` as bigint)", "smallint": "cast(`{c}` as bigint)", "int": "cast(`{c}` as bigint)",
+    "timestamp": "cast(`{c}` as timestamp_ntz)", "boolean": "cast(cast(`{c}` as int) as bigint)",
+}
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Column types and precision on which two engines can agree."""
-    def fix(field):
-        c = F.col(f"`{field.name}`")
-        kind = field.dataType
-        if isinstance(kind, (DoubleType, FloatType)):
-            c = F.round(c.cast("decimal(38,12)"), 6).cast("double")
-        elif isinstance(kind, (ByteType, ShortType, IntegerType)):
-            c = c.cast("bigint")
-        elif isinstance(kind, TimestampType):
-            c = c.cast("timestamp_ntz")
-        elif isinstance(kind, BooleanType):
-            c = c.cast("int").cast("bigint")
-        return c.alias(field.name)
-    return df.select(*(fix(f) for f in df.schema.fields))
+    return df.selectExpr(*(_FORMS.get(kind, "`{c}`").format(c=c) + f" as `{c}`" for c, kind in df.dtypes))
 
 
 _CASTS = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earshot.operators import experiments as ex
+from earshot.sources.mart import RAW_SCHEMAS
 from earshot.streaming import live, sinks
 from registry.base import query
 from registry.experiments import EFFECTS, effects_sql
@@ -13,7 +14,7 @@ LATEST = "(select max(ts) - interval '1' hour from events)"  # where the waterma
 
 
 def _stream(m):
-    raw = sinks.stream_table(m.spark, f"{m.directory}/events.parquet")
+    raw = sinks.stream_table(m.spark, f"{m.directory}/events.parquet", RAW_SCHEMAS["events"])
     return raw.withColumn("ts", raw["ts"].cast("timestamp"))
 
 

@@ -128,5 +128,12 @@ def test_metrics_table_follows_and_repeats_safely(spark, plays, tmp_path):
         table.apply(batch, i)
     table.apply(batches[2], 2)  # the same batch again, as after a failure
     everything = batches[0].unionByName(batches[1]).unionByName(batches[2])
-    assert sorted(map(tuple, table.snapshot().collect())) == sorted(map(tuple, user_metrics(everything).collect()))
-    assert table._versions() == [1, 2]
+    want = sorted(map(tuple, user_metrics(everything).collect()))
+    assert sorted(map(tuple, table.snapshot().collect())) == want
+    table.compact()
+    table.compact()
+    table.apply(batches[2], 2)  # and once more, after it was folded in
+    assert sorted(map(tuple, table.snapshot().collect())) == want
+    assert table._complete("bases") == [2] and table._complete("deltas") == []
+    table.apply(plays(("a", "2024-01-04 10:00")), 3)
+    assert {r.user_id: r.total_sessions for r in table.snapshot().collect()} == {"a": 2, "b": 2, "c": 1}
