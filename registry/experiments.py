@@ -31,6 +31,34 @@ from (select a.test_name, metric_name, avg(metric_value) filter (variant = 'cont
  from assignments a join {results} r on a.user_id = r.user_id and a.test_name = r.test_name group by 1, 2) g"""
 
 
+STEPS = 1000
+
+
+def integral(f: str, upper: str) -> str:
+    """Simpson's rule from 0 to ``upper`` for a density written in terms of {x}."""
+    weight = f"case when i = 0 or i = {STEPS} then 1 when i % 2 = 1 then 4 else 2 end"
+    value = f.format(x=f"({upper} * i / {STEPS}.0e0)")
+    return f"(select sum({weight} * {value}) * {upper} / {STEPS * 3}.0e0 from (select unnest(range({STEPS + 1})) as i) g)"
+
+
+def t_p(t: str, v: str) -> str:
+    density = (f"exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2) - ({v} + 1) / 2 * ln(1 + {{x}} * {{x}} / {v})) / sqrt({v} * pi())")
+    return f"1 - 2 * {integral(density, f'abs({t})')}"
+
+
+def phi(x: str) -> str:
+    return "(0.5e0 + " + integral("exp(-{x} * {x} / 2) / sqrt(2 * pi())", f"({x})") + ")"
+
+
+SIGNIFICANT = EFFECTS + ", p_value:d, is_significant:b, power:d"
+
+
+def significance_ctes(results: str) -> str:
+    shift = "abs(absolute_effect / standard_error)"
+    return f"""e as ({effects_sql(results)}),
+sg as (select *, {t_p('e.t_statistic', 'e.degrees_of_freedom')} as p_value, {phi(f'{shift} - {Z}')} + {phi(f'-{shift} - {Z}')} as power from e)"""
+
+
 @query("ab_summary", "test_name, metric_name, variant, users:i, avg_metric:d, stddev_metric:d", uses=BOTH, sql="""
 select a.test_name, metric_name, variant, count(distinct a.user_id) as users, avg(metric_value) as avg_metric, stddev_samp(metric_value) as stddev_metric
 from assignments a left join results r on a.user_id = r.user_id and a.test_name = r.test_name group by 1, 2, 3""")
@@ -133,31 +161,48 @@ def ab_arm_intervals(m):
     return ex.arm_intervals(ex.effects(m.assignments, m.results))
 
 
-@query("ab_significance")
+@query("ab_significance", SIGNIFICANT, uses="sessions assignments", ctes=_LONG + ", " + significance_ctes("l"),
+       sql="select *, p_value < 0.05 as is_significant from sg")
 def ab_significance(m):
-    """Effects with Welch's p value; no t distribution in SQL, checked in the tests."""
+    """Effects with Welch's p value; the expected ones integrate the density."""
     return ex.analyze(m.assignments, _user_metrics(m))
 
 
-@query("ab_report")
+_RULE = "=" * 60
+
+
+@query("ab_report", "test_name, metric_name, report", uses=BOTH, ctes=significance_ctes("results"), sql=f"""
+select test_name, metric_name, concat(chr(10), '{_RULE}', chr(10), 'A/B TEST: ', test_name, chr(10), '{_RULE}', chr(10),
+ format('Control: {{:,d}} users, Mean: {{:.4f}}', control_n, control_mean), chr(10),
+ format('Treatment: {{:,d}} users, Mean: {{:.4f}}', treatment_n, treatment_mean), chr(10), chr(10),
+ format('Effect: {{:+.4f}} ({{:+.2f}}%)', absolute_effect, relative_effect * 100), chr(10),
+ format('95% CI: [{{:.4f}}, {{:.4f}}]', ci_lower, ci_upper), chr(10), format('P-value: {{:.4f}}', p_value), chr(10),
+ 'Significant: ', case when p_value < 0.05 then 'YES' else 'NO' end, chr(10), '{_RULE}', chr(10)) as report from sg""")
 def ab_report(m):
     return ex.report(ex.analyze(m.assignments, m.results))
 
 
-@query("ab_many_tests")
+@query("ab_many_tests", "test_name, metric_name, p_value:d, rank:i, adjusted_p:d, is_discovery:b", uses="sessions assignments",
+       ctes=_LONG + ", " + significance_ctes("l") + """,
+rk as (select *, row_number() over (order by p_value) as rank, count(*) over () as n from sg)""", sql="""
+select test_name, metric_name, p_value, rank, adjusted_p, adjusted_p <= 0.05 as is_discovery
+from (select *, least(1, min(p_value * n / rank) over (order by rank desc rows unbounded preceding)) as adjusted_p from rk) x""")
 def ab_many_tests(m):
     return ex.adjust_for_many(ex.analyze(m.assignments, _user_metrics(m))).select(
         "test_name", "metric_name", "p_value", "rank", "adjusted_p", "is_discovery")
 
 
-@query("ab_conversion_chi_square",
-       "test_name, control_yes:i, control_no:i, treatment_yes:i, treatment_no:i, chi_square:d", uses="sessions assignments", sql=f"""
+CHI_COLUMNS = "test_name, control_yes:i, control_no:i, treatment_yes:i, treatment_no:i, chi_square:d"
+CHI_SQL = f"""
 select test_name, a as control_yes, b as control_no, c as treatment_yes, d as treatment_no,
  (a + b + c + d) * pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d)) as chi_square
 from (select test_name, count(*) filter (variant = 'control' and hit) * 1e0 as a, count(*) filter (variant = 'control' and not hit) * 1e0 as b,
  count(*) filter (variant = 'treatment' and hit) * 1e0 as c, count(*) filter (variant = 'treatment' and not hit) * 1e0 as d
  from (select test_name, variant, coalesce(h.hit, false) as hit from assignments a
-  left join (select user_id, avg({SKIP01}) < 0.25 as hit from sessions group by 1) h on a.user_id = h.user_id) x group by 1) y""")
+  left join (select user_id, avg({SKIP01}) < 0.25 as hit from sessions group by 1) h on a.user_id = h.user_id) x group by 1) y"""
+
+
+@query("ab_conversion_chi_square", CHI_COLUMNS, uses="sessions assignments", sql=CHI_SQL)
 def ab_conversion_chi_square(m):
     return ex.conversion_test(m.assignments, _low_skippers(m))
 
@@ -166,6 +211,7 @@ def _low_skippers(m):
     return m.results.selectExpr("user_id", "test_name", "metric_value < 0.25 as converted")
 
 
-@query("ab_conversion_significance")
+@query("ab_conversion_significance", CHI_COLUMNS + ", p_value:d", uses="sessions assignments", ctes=f"ch as ({CHI_SQL})",
+       sql=f"select *, 2 * (1 - {phi('sqrt(ch.chi_square)')}) as p_value from ch")
 def ab_conversion_significance(m):
     return ex.conversion_significance(m.assignments, _low_skippers(m))
