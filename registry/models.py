@@ -104,7 +104,30 @@ def residual_summary(m):
     return mt.residual_summary(_line(m), "avg_duration").drop("mean")  # zero up to rounding
 
 
-_ROW = ["session_id", "user_id", "track_id"]
+_PENALIZED = _USERS + """, z as (select user_id, y, (skip_rate - avg(skip_rate) over ()) / stddev_pop(skip_rate) over () as z from u),
+c as (select avg(y) as middle, covar_pop(z, y) as pull, count(*) as n from z)"""
+
+
+def _penalized(m, kind, alpha):
+    data = fe.forecast_features(m.sessions)
+    model = SessionForecaster(kind, alpha=alpha)
+    ready = model._ready(data, ["user_id"], ["skip_rate"], "avg_duration")
+    model.feature_names = model.selected_features = ["skip_rate"]
+    model.pipeline = model._fit(ready, model.feature_names, "avg_duration")
+    return model.predict(ready).select("user_id", F.round("prediction", 2).alias("prediction"))
+
+
+@query("ridge_forecasts", "user_id:i, prediction:d", ctes=_PENALIZED, sql="""
+select user_id, round(middle + z * pull * n / (n + 200), 2) as prediction from z, c""")
+def ridge_forecasts(m):
+    """One feature, where the penalized optimum has a closed form."""
+    return _penalized(m, "ridge", 200.0)
+
+
+@query("lasso_forecasts", "user_id:i, prediction:d", ctes=_PENALIZED, sql="""
+select user_id, round(middle + z * sign(pull) * greatest(abs(pull) - 20, 0), 2) as prediction from z, c""")
+def lasso_forecasts(m):
+    return _penalized(m, "lasso", 20.0)
 
 
 def _one_row(m, values: dict):
