@@ -117,6 +117,12 @@ def test_activation(plays, rows):
     assert rates.day_1_activation_rate == pytest.approx(1 / 3)
 
 
+def test_earliest_plays_are_limited_before_the_shuffle(plays, rows):
+    df = fu.activation_counts(signups(rows, a="2024-01-01 00:00:00"), plays(("a", "2024-01-01 11:00")))
+    plan = df._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Partial")
+
+
 def test_week_numbers_without_year(plays, rows):
     users = signups(rows, a="2023-01-01 00:00:00")
     p = plays(*(("a", t) for t in ("2023-01-09 10:00", "2024-01-10 10:00", "2023-02-06 10:00", "2023-03-06 10:00")))

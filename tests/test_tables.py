@@ -10,6 +10,7 @@ from earshot.operators import quality as qu
 from earshot.operators.engagement import user_metrics
 from earshot.operators.sessionize import sessionize
 from earshot.sources import readers, views, writers
+from earshot.sources.mart import RAW_SCHEMAS
 from earshot.streaming import live, sinks
 
 
@@ -64,6 +65,13 @@ def test_views(spark, mart):
     assert spark.sql("select max(dau) from daily_active_users").head()[0] > 0
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+@pytest.mark.parametrize("name", sorted(RAW_SCHEMAS))
+def test_stated_schemas_are_those_of_the_files(spark, sf, name):
+    found = spark.read.parquet(f"/root/testdata/sf{sf}/{name}.parquet").dtypes
+    assert found == spark.createDataFrame([], RAW_SCHEMAS[name]).dtypes
+
+
 def test_validate(spark, rows, caplog):
     df = rows([("2024-01-01",)], "d string")
     assert qu.validate(df, ["d"], ["d", "absent"]).dtypes == [("d", "timestamp")]
