@@ -13,7 +13,7 @@ def _bins(events: DataFrame, ts: str, minutes: int) -> DataFrame:
     user has at most one row per bin, however many events.
     """
     width = minutes * 60_000_000
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     return (events.where(F.col("user_id").isNotNull() & F.col(ts).isNotNull())
             .groupBy("user_id", ((micros - F.pmod(micros, F.lit(width))) / width).cast("bigint").alias("bin"))
             .agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("events")))
@@ -21,7 +21,8 @@ def _bins(events: DataFrame, ts: str, minutes: int) -> DataFrame:
 
 def _numbered_bins(events: DataFrame, ts: str, minutes: int) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("bin")
-    pause = F.unix_micros("first") - F.unix_micros(F.lag("last").over(order))
+    pause = (F.unix_micros(F.col("first").cast("timestamp"))
+             - F.unix_micros(F.lag("last").over(order).cast("timestamp")))
     starts = F.when(pause <= minutes * 60_000_000, 0).otherwise(1)
     return (_bins(events, ts, minutes).withColumn("starts", starts)
             .withColumn("session_no", F.sum("starts").over(order)))
@@ -40,7 +41,7 @@ def sessionize(events: DataFrame, ts: str = "timestamp", minutes: int = 30) -> D
 def label_sessions(events: DataFrame, ts: str = "timestamp", minutes: int = 30) -> DataFrame:
     """Events with the ``session_no`` they belong to."""
     width = minutes * 60_000_000
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     bins = _numbered_bins(events, ts, minutes).select("user_id", "bin", "session_no")
     return (events.withColumn("bin", ((micros - F.pmod(micros, F.lit(width))) / width).cast("bigint"))
             .join(bins, ["user_id", "bin"]).drop("bin"))

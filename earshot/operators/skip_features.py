@@ -35,7 +35,7 @@ def _with_earlier_history(plays: DataFrame, key: str, rate: str, count: str) ->
     slots = (slotted.groupBy(key, "slot").agg(*(c.alias(n) for n, c in measures.items()))
              .select(key, "slot", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before")
                                     for n in measures)))
-    inside = (Window.partitionBy(key, "slot").orderBy(F.unix_micros("timestamp"))
+    inside = (Window.partitionBy(key, "slot").orderBy(F.unix_micros(F.col("timestamp").cast("timestamp")))
               .rangeBetween(Window.unboundedPreceding, -1))
 
     def so_far(name):

@@ -3,7 +3,7 @@
 A row's position is the md5 of a seed and its key, so the choice depends on
 neither partitioning nor task order, and a re-run task repeats it. Rows are
 counted per hash prefix; the prefix in which the quota is reached is the only
-one looked at row by row. What comes out is one limit hash per stratum, and
+one looked at hash by hash. What comes out is one limit hash per stratum, and
 the pick itself is a filter.
 """
 
@@ -56,9 +56,11 @@ def _mark(df, key, quotas, seed, strata, flag, side):
     edge = (counted.join(side(renamed(quotas, "quota")), same_stratum())
             .where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("_n"))))
     edge = renamed(edge, F.col("_prefix").alias("_edge"), (F.col("quota") - F.col("_before")).alias("_left"))
+    # Equal hashes are counted first: a repeated key is one row here, however often it occurs.
     limits = (hashes.join(side(edge), same_stratum() & (F.col("_prefix") == F.col("_edge")))
-              .withColumn("_nth", F.row_number().over(Window.partitionBy(*strata).orderBy("_hash")))
-              .where(F.col("_nth") == F.col("_left")))
+              .groupBy(*strata, "_hash", "_left").agg(F.count("*").alias("_n"))
+              .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*strata).orderBy("_hash")))
+              .where((F.col("_upto") - F.col("_n") < F.col("_left")) & (F.col("_left") <= F.col("_upto"))))
     limits = renamed(limits, F.col("_hash").alias("_limit"))
     return (rows.join(side(limits), same_stratum(), "left")
             .withColumn(flag, F.coalesce(F.col("_hash") <= F.col("_limit"), F.lit(False)))

@@ -60,6 +60,15 @@ def test_pick_without_broadcast(users, monkeypatch):
     assert test.count() == 250
 
 
+def test_rows_with_one_key_are_picked_together(spark):
+    """A third of the rows share a key; the pick never splits them."""
+    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    for n in (1, 200, 450, 700):
+        got = pr.sample(df, n=n, key=["k"])
+        hot = got.where("k = -1").count()
+        assert hot in (0, 300) and (got.count() == n or hot == 300 and n < got.count() <= n + 300)
+
+
 def test_sample_fraction_and_all(users):
     assert 60 < pr.sample(users, frac=0.1).count() < 140
     assert pr.sample(users).count() == 1000
