@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from earshot.operators import engagement as eng
 from registry.base import SKIP01, SKIPD, pct, query
 
-AS_OF = datetime(2001, 1, 1)
-
 
 @query("dau_mau_events", "date:date, dau:i, mau:i, stickiness_ratio:d", uses="", sql=f"""
 select d.date, d.dau, m.mau, {pct('d.dau * 1e2 / m.mau')} as stickiness_ratio
@@ -209,7 +205,7 @@ select date_trunc('month', signup_date) as cohort_month, tier, count(*) as users
  avg(date_diff('second', signup_date, timestamp '2001-01-01 00:00:00') / 86400.0e0) as avg_account_age_days
 from users group by 1, 2""")
 def view_user_cohort_summary(m):
-    return eng.user_cohort_summary(m.users, AS_OF)
+    return eng.user_cohort_summary(m.users, F.lit("2001-01-01").cast("timestamp"))
 
 
 @query("retention_curve_daily", "day:i, users:i, retention_rate:d", uses="sessions users", sql="""
