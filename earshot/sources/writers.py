@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame
 
 def save_tables(tables: dict[str, DataFrame], directory: str, fmt: str = "parquet",
                 partition_by: dict[str, list[str]] | None = None) -> None:
-    """Write each table under ``directory/<name>``; CSV gets a header row."""
+    """Write each table under ``directory/<name>``; CSV gets a header row.
+
+    Rows of a partitioned table are brought together by partition value first,
+    to write few files; AQE splits values that hold too many rows for a task.
+    """
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        if partition_by and name in partition_by:
-            writer = writer.partitionBy(*partition_by[name])
+        columns = (partition_by or {}).get(name)
+        writer = (df.hint("rebalance", *columns) if columns else df).write.mode("overwrite")
+        if columns:
+            writer = writer.partitionBy(*columns)
         if fmt == "csv":
             writer = writer.option("header", True)
         writer.format(fmt).save(f"{directory}/{name}")

@@ -44,7 +44,7 @@ where date_trunc('month', timestamp) >= timestamp '1997-01-01 00:00:00' group by
 def partitioned_by_month(m):
     """Plays stored by month; the filter reads only the folders it needs."""
     folder = run_folder(m.spark, "months")
-    plays = m.sessions.withColumn("month", F.trunc("timestamp", "month")).repartition("month")
+    plays = m.sessions.withColumn("month", F.trunc("timestamp", "month"))
     writers.save_tables({"sessions": plays}, folder, partition_by={"sessions": ["month"]})
     stored = readers.load_parquet(m.spark, f"{folder}/sessions").where(F.col("month") >= "1997-01-01")
     return stored.groupBy("month").agg(F.count("*").alias("plays"))
