@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import bpe, decontamination, line_dedup, simhash, suffix_dedup
+from earshot.llm import bpe, chat, decontamination, line_dedup, simhash, suffix_dedup
 from earshot.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted for training, with digests of what is read back."""
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the groups of near ones."""
@@ -49,4 +55,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op1_decontamination"] = decontamination.ORACLE_SQL
+ORACLE["op6_chat"] = chat.ORACLE_SQL
 ORACLE["op9_line_dedup"] = line_dedup.ORACLE_SQL
