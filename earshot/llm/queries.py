@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import bpe, chat, decontamination, line_dedup, simhash, suffix_dedup
+from earshot.llm import bpe, chat, decontamination, line_dedup, minhash, simhash, suffix_dedup
 from earshot.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of edited texts, and their likeness."""
+    return minhash.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 ORACLE["op1_decontamination"] = decontamination.ORACLE_SQL
 ORACLE["op6_chat"] = chat.ORACLE_SQL
 ORACLE["op9_line_dedup"] = line_dedup.ORACLE_SQL
