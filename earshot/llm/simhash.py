@@ -38,6 +38,8 @@ from earshot.llm.base import NULL_ID, carried, given_id, keyed_texts, materializ
 SEED = 42
 #: Fingerprints in a block: their variants are held at once.
 BLOCK_PRINTS = 2048
+#: Partitions that blocks are dealt into at most; beyond it a partition holds several blocks, one after the other.
+MOST_PARTITIONS = 20_000
 #: Bits of a mixed variant beyond those that number all variants: one value in 2^SPARE coincides for nothing.
 SPARE = 10
 
@@ -286,7 +288,9 @@ def print_links(prints: DataFrame, radius: int = 4, block_prints: int = BLOCK_PR
     n = prints.count()
     blocks = max(1, -(-n // block_prints))
     balls = Balls(radius // 2, blocks, n)
-    dealt = prints.select("print", F.pmod(F.xxhash64("print"), F.lit(blocks)).alias("block"))
+    # A row is eight bytes, its variants seventeen thousand: partitions by blocks, not by the bytes of their rows.
+    dealt = (prints.select("print", F.pmod(F.xxhash64("print"), F.lit(blocks)).alias("block"))
+             .repartition(min(blocks, MOST_PARTITIONS), "block"))
     sent = dealt.groupBy("block").applyInArrow(_send_values(balls), "block long, bucket long, packed binary")
     shared = sent.groupBy("bucket").applyInArrow(_return_shared(balls), "block long, bucket long, packed binary")
     emitted = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(

@@ -27,6 +27,7 @@ further columns are ignored. ``kept`` may cut through a character, so it is bina
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from earshot.llm.base import given_id, keyed_texts, text_bytes
 
 #: Bytes of text in a block, and about the bytes of runs in a bucket.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes worked on at once, so that temporaries stay in the processor's cache.
 CHUNK = 1 << 18
 #: Suffixes of one run; longer runs of one key are cut, each part keeps the key.
@@ -183,28 +184,58 @@ class Block:
             return keys, new
         return keys[at], np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
 
-    def shared_runs(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Runs with wanted keys; for each the number of its content, contents numbered by first (smallest) holder."""
-        picked = np.flatnonzero(np.isin(self.keys, wanted)) if len(wanted) else np.empty(0, dtype=np.int64)
-        if not len(picked):
-            return picked, picked
-        sizes = self.count[picked] + self.length - 1
-        mark = _mixed(run_hashes(self.data, self.first[picked], sizes)) ^ sizes.astype(np.uint64)
-        _, first, number = np.unique(mark, return_index=True, return_inverse=True)
-        # Collisions: a run whose bytes differ from the first of its number gets a number of its own.
-        view = self.data
-        lead = picked[first][number]
-        same = np.ones(len(picked), dtype=bool)
-        for size in np.unique(sizes).tolist():
-            own = np.flatnonzero((sizes == size) & (lead != picked))
-            if len(own):
-                rows = np.lib.stride_tricks.sliding_window_view(view, size)
-                for at in range(0, len(own), 65536):
-                    some = own[at:at + 65536]
-                    same[some] = (rows[self.first[picked[some]]] == rows[self.first[lead[some]]]).all(axis=1)
-        if not same.all():
-            number[~same] = number.max() + 1 + np.arange((~same).sum())
-        return picked, number
+    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys and whether ids differ, ordered by bucket and key, and each one's bucket."""
+        keys, twice = self.distinct_keys()
+        place = _bucket(keys, buckets)
+        order = np.argsort(place, kind="stable")
+        return keys[order], twice[order], place[order]
+
+    def shared_runs(self, wanted: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Runs whose keys have their bit set, and the number of each one's content."""
+        keys, _, place = self.by_bucket(buckets)
+        keep = np.zeros(len(keys), dtype=bool)
+        at, ends = _edges(place)
+        for a, z in zip(at.tolist(), ends.tolist()):
+            bits = wanted.get(int(place[a]))
+            if bits is not None:
+                keep[a:z] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=z - a)
+        picked = np.flatnonzero(np.isin(self.keys, keys[keep]))
+        return picked, numbered(self.data, self.first[picked], self.count[picked] + self.length - 1)[0]
+
+
+def _edges(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    if not len(place):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return at, np.append(at[1:], len(place))
+
+
+def numbered(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each string ``data[first:first + size]``, the same for equal ones, and the index of each number's first.
+
+    Strings of equal hash are compared byte by byte; one that differs from the first of its hash gets a number of its own.
+    """
+    if not len(first):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    mark = _mixed(run_hashes(data, first, sizes)) ^ sizes.astype(np.uint64)
+    _, lead, number = np.unique(mark, return_index=True, return_inverse=True)
+    other = lead[number]
+    same = sizes == sizes[other]
+    copies = np.flatnonzero((other != np.arange(len(first))) & same)
+    copies = copies[np.argsort(sizes[copies], kind="stable")]
+    at, ends = _edges(sizes[copies])
+    for a, z in zip(at.tolist(), ends.tolist()):
+        rows = np.lib.stride_tricks.sliding_window_view(data, int(sizes[copies[a]]))
+        for k in range(a, z, 32768):
+            some = copies[k:min(k + 32768, z)]
+            same[some] = (rows[first[some]] == rows[first[other[some]]]).all(axis=1)
+    if not same.all():
+        odd = np.flatnonzero(~same)
+        number[odd] = len(lead) + np.arange(len(odd))
+        lead = np.concatenate([lead, odd])
+    return number, lead
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
@@ -228,22 +259,25 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 _KEYS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
-_WANTED = pa.schema([("block", pa.int64()), ("keys", pa.binary())])
+_WANTED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
 _RUNS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("numbers", pa.binary()), ("ids", pa.binary()),
                    ("keys", pa.binary()), ("counts", pa.binary()), ("text", pa.binary())])
 _MARKS = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("marks", pa.binary())])
 _DONE = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept_sha256", pa.string())])
 
 
+def _squeezed(data: np.ndarray | bytes) -> bytes:
+    return zlib.compress(data if isinstance(data, bytes) else data.tobytes(), 1)
+
+
+def _freed(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(x.as_py()), dtype=kind) for x in column]
+
+
 def _list_keys(length: int, gram: int, buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        block = Block(group, length, gram)
-        keys, twice = block.distinct_keys()
-        place = _bucket(keys, buckets)
-        order = np.argsort(place, kind="stable")
-        keys, twice, place = keys[order], twice[order], place[order]
-        at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.empty(0, dtype=np.int64)
-        ends = np.append(at[1:], len(place))
+        keys, twice, place = Block(group, length, gram).by_bucket(buckets)
+        at, ends = _edges(place)
         number = group.column("block")[0].as_py()
         return pa.table([[number] * len(at), place[at].astype(np.int64), [_packed_keys(_cut(keys[a:z])) for a, z in zip(at, ends)],
                          [np.packbits(twice[a:z]).tobytes() for a, z in zip(at, ends)]], schema=_KEYS)
@@ -251,19 +285,21 @@ def _list_keys(length: int, gram: int, buckets: int):
 
 
 def _shared_keys(group: pa.Table) -> pa.Table:
-    blocks = group.column("block").to_pylist()
-    keys = [_unpacked_keys(k) for k in group.column("keys").to_pylist()]
-    twice = [np.unpackbits(np.frombuffer(t, dtype=np.uint8), count=len(k)).astype(bool)
-             for t, k in zip(group.column("twice").to_pylist(), keys)]
-    every = np.concatenate(keys)
-    distinct, number, count = np.unique(every, return_inverse=True, return_counts=True)
+    """To each block one bit for each key that it sent to this bucket: whether it is shared."""
+    keys = [_unpacked_keys(k.as_py()) for k in group.column("keys")]
+    twice = [np.unpackbits(np.frombuffer(t.as_py(), dtype=np.uint8), count=len(k)).astype(bool) for t, k in zip(group.column("twice"), keys)]
+    _, number, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     shared = count > 1
     shared[number[np.concatenate(twice)]] = True
-    out, at = [], 0
+    bits, at = [], 0
     for own in keys:
-        out.append(_packed_keys(own[shared[number[at:at + len(own)]]]))
+        bits.append(np.packbits(shared[number[at:at + len(own)]]).tobytes())
         at += len(own)
-    return pa.table([blocks, out], schema=_WANTED)
+    return pa.table([group.column("block"), group.column("bucket"), bits], schema=_WANTED)
+
+
+def _bits_by_bucket(wanted: pa.Table) -> dict[int, bytes]:
+    return {k: b for k, b in zip(wanted.column("bucket").to_pylist(), wanted.column("bits").to_pylist()) if b is not None}
 
 
 def _send_runs(length: int, gram: int, buckets: int):
@@ -271,39 +307,27 @@ def _send_runs(length: int, gram: int, buckets: int):
         if not texts.num_rows or not wanted.num_rows:
             return _RUNS.empty_table()
         block = Block(texts, length, gram)
-        picked, number = _picked_runs(block, wanted)
-        if not len(picked):
-            return _RUNS.empty_table()
-        numbers, first = np.unique(number, return_index=True)
+        picked, number = block.shared_runs(_bits_by_bucket(wanted), buckets)
         # Runs are in order of id, and np.unique gives the first of each number: the holder of smallest id.
+        numbers, first = np.unique(number, return_index=True)
         lead = picked[first]
         place = _bucket(block.keys[lead], buckets)
         order = np.argsort(place, kind="stable")
-        place = place[order]
-        at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        ends = np.append(at[1:], len(place))
         rows: dict[str, list] = {f.name: [] for f in _RUNS}
-        for a, z in zip(at, ends):
+        for a, z in zip(*_edges(place[order])):
             own = lead[order[a:z]]
             rows["block"].append(key[0].as_py())
-            rows["bucket"].append(int(place[a]))
-            rows["numbers"].append(numbers[order[a:z]].astype("<u4").tobytes())
-            rows["ids"].append(block.ids[block.doc[own]].astype("<i8").tobytes())
-            rows["keys"].append(block.keys[own].astype("<u8").tobytes())
-            rows["counts"].append(block.count[own].astype("<u1").tobytes())
-            rows["text"].append(b"".join([block.data[s:s + n].tobytes() for s, n in
-                                          zip(block.first[own].tolist(), (block.count[own] + length - 1).tolist())]))
+            rows["bucket"].append(int(place[order[a]]))
+            rows["numbers"].append(_squeezed(np.diff(numbers[order[a:z]], prepend=0).astype("<u4")))  # they ascend
+            rows["ids"].append(_squeezed(block.ids[block.doc[own]].astype("<i8")))
+            rows["keys"].append(block.keys[own].astype("<u4").tobytes())  # enough to keep the sort's groups small
+            rows["counts"].append(_squeezed(block.count[own].astype("u1")))
+            rows["text"].append(_squeezed(b"".join([block.data[s:s + n].tobytes() for s, n in
+                                                    zip(block.first[own].tolist(), (block.count[own] + length - 1).tolist())])))
         return pa.table([rows[f.name] for f in _RUNS], schema=_RUNS)
     return run
 
 
-def _picked_runs(block: Block, wanted: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    low = np.concatenate([_unpacked_keys(k) for k in wanted.column("keys").to_pylist()])
-    distinct, number = np.unique(block.keys, return_inverse=True)
-    keep = distinct[np.isin(_cut(distinct), low)]
-    return block.shared_runs(keep)
-
-
 # --- the suffix sort -------------------------------------------------------------------------------------------------
 
 def common_length(hashes: PrefixHashes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -318,28 +342,46 @@ def common_length(hashes: PrefixHashes, a: np.ndarray, b: np.ndarray, most: int)
     return low
 
 
-def less(hashes: PrefixHashes, data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, or_equal: np.ndarray) -> np.ndarray:
-    """Whether suffix ``a`` sorts before ``b`` by their first ``most`` bytes; ``or_equal``: ties count as before."""
-    same = common_length(hashes, a, b, most)
-    tie = same == most
-    reach = np.minimum(same, most - 1)
-    return np.where(tie, or_equal, data[a + reach] < data[b + reach])
+def heads(data: np.ndarray, suffixes: np.ndarray, most: int) -> np.ndarray:
+    """The first bytes of each suffix, eight at most, as a number that sorts like them."""
+    out = np.zeros(len(suffixes), dtype=np.uint64)
+    for k in range(min(8, most)):
+        out = (out << _u64(8)) | data[suffixes + k]
+    return out
+
+
+def less(hashes: PrefixHashes, data: np.ndarray, a: np.ndarray, b: np.ndarray, head_a: np.ndarray, head_b: np.ndarray, most: int,
+         or_equal: np.ndarray) -> np.ndarray:
+    """Whether suffix ``a`` sorts before ``b`` by their first ``most`` bytes; ``or_equal``: ties count as before.
+
+    Where the first bytes differ, they decide; else the length of the common start tells which bytes do.
+    """
+    out = head_a < head_b
+    open_ = np.flatnonzero(head_a == head_b)
+    if len(open_):
+        x, y = a[open_], b[open_]
+        same = common_length(hashes, x, y, most)
+        reach = np.minimum(same, most - 1)
+        out[open_] = np.where(same == most, or_equal[open_], data[x + reach] < data[y + reach])
+    return out
 
 
 def merge_sort(hashes: PrefixHashes, data: np.ndarray, suffixes: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
-    """``suffixes`` sorted by their first ``most`` bytes within each group (``group`` is sorted).
+    """Order of ``suffixes`` by their first ``most`` bytes within each group (``group`` is sorted).
 
     A bottom-up mergesort over all groups at once: an element's place after a merge is its place in its own run plus the
     number of elements of the sibling run before it, which a binary search finds.
     """
     n = len(suffixes)
+    current = np.arange(n)
     if n < 2:
-        return suffixes
+        return current
     begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(begins, n))
     begin, total = np.repeat(begins, size), np.repeat(size, size)
     place = np.arange(n) - begin
-    current, width = suffixes.copy(), 1
+    head = heads(data, suffixes, most)
+    width = 1
     while width < size.max():
         moving = np.flatnonzero(total > width)
         at, base, own = place[moving], begin[moving], total[moving]
@@ -355,7 +397,7 @@ def merge_sort(hashes: PrefixHashes, data: np.ndarray, suffixes: np.ndarray, gro
             middle = (lo[active] + hi[active]) // 2
             other = current[base[active] + middle]
             # Elements of the left run go before equal ones of the right run.
-            before = less(hashes, data, other, mine[active], most, right[active])
+            before = less(hashes, data, suffixes[other], suffixes[mine[active]], head[other], head[mine[active]], most, right[active])
             lo[active] = np.where(before, middle + 1, lo[active])
             hi[active] = np.where(before, hi[active], middle)
             active = active[lo[active] < hi[active]]
@@ -367,94 +409,103 @@ def merge_sort(hashes: PrefixHashes, data: np.ndarray, suffixes: np.ndarray, gro
     return current
 
 
-def classes(data: np.ndarray, suffixes: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted suffixes and the number of each one's class: equal first ``length`` bytes, compared byte by byte."""
-    hashes = PrefixHashes(data)
-    order = merge_sort(hashes, data, suffixes, group, length)
+def classes(data: np.ndarray, hashes: PrefixHashes, index: np.ndarray, suffixes: np.ndarray, group: np.ndarray,
+            length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``index`` in order of the suffixes, and each one's class: equal first ``length`` bytes, compared byte by byte."""
+    place = merge_sort(hashes, data, suffixes, group, length)
+    order = suffixes[place]
     rows = np.lib.stride_tricks.sliding_window_view(data, length)
     by_hash = np.zeros(len(order), dtype=bool)
     by_hash[1:] = hashes.of(order[1:], length) == hashes.of(order[:-1], length)
     same = np.zeros(len(order), dtype=bool)
     pairs = np.flatnonzero(by_hash)
-    for at in range(0, len(pairs), 65536):
-        some = pairs[at:at + 65536]
+    for at in range(0, len(pairs), 32768):
+        some = pairs[at:at + 32768]
         same[some] = (rows[order[some]] == rows[order[some - 1]]).all(axis=1)
     if (by_hash != same).any():  # a collision may have misled the sort: sort these suffixes by their bytes
         _, number = np.unique(np.ascontiguousarray(rows[suffixes]).view(f"V{length}").ravel(), return_inverse=True)
         again = np.argsort(number, kind="stable")
-        return suffixes[again], number[again]
-    return order, np.cumsum(~same) - 1
+        return index[again], number[again]
+    return index[place], np.cumsum(~same) - 1
+
+
+def mark_suffixes(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
+    """For each run (rows) and suffix (columns): whether a run of smaller id holds an equal string."""
+    # Equal runs of several blocks are one, held by the smallest id; other holders lose all of it.
+    number, lead = numbered(data, starts, counts + length - 1)
+    least = np.full(len(lead), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, ids)
+    owner = np.repeat(np.arange(len(lead)), counts[lead])
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts[lead]) - counts[lead], counts[lead])
+    suffix = starts[lead][owner] + nth
+    # A suffix whose hash no other one has is alone in its class; the sort need not see it.
+    hashes = PrefixHashes(data)
+    marks = hashes.of(suffix, length)
+    order = np.argsort(marks)
+    twin = marks[order[1:]] == marks[order[:-1]]
+    paired = np.zeros(len(order), dtype=bool)
+    paired[order[1:][twin]] = paired[order[:-1][twin]] = True
+    left = np.flatnonzero(paired)
+    left = left[np.argsort(keys[lead][owner[left]], kind="stable")]
+    bits = np.zeros((len(lead), RUN), dtype=bool)
+    if len(left):
+        order, number_of = classes(data, hashes, np.arange(len(left)), suffix[left], keys[lead][owner[left]], length)
+        which = left[order]
+        holder = least[owner[which]]
+        smallest = np.full(number_of.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, number_of, holder)
+        gone = which[holder > smallest[number_of]]
+        bits[owner[gone], nth[gone]] = True
+    return bits[number] | (ids > least[number])[:, None]
 
 
 def _mark_runs(length: int):
     def run(group: pa.Table) -> pa.Table:
-        def all_of(name, kind):
-            return np.concatenate([np.frombuffer(x, dtype=kind) for x in group.column(name).to_pylist()])
-        lengths = [len(x) for x in group.column("counts").to_pylist()]
-        ids, keys, counts = all_of("ids", "<i8"), all_of("keys", "<u8"), all_of("counts", "u1").astype(np.int64)
-        data = all_of("text", "u1")
+        per_block = _freed(group.column("counts"), "u1")
+        counts = np.concatenate(per_block).astype(np.int64)
+        ids = np.concatenate(_freed(group.column("ids"), "<i8"))
+        keys = np.concatenate([np.frombuffer(k.as_py(), dtype="<u4") for k in group.column("keys")])
+        data = np.concatenate(_freed(group.column("text"), "u1"))
         sizes = counts + length - 1
-        starts = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(counts)), counts)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        suffix = starts[owner] + nth
-        # A suffix whose hash no other one has is alone in its class; the sort need not see it.
-        marks = PrefixHashes(data).of(suffix, length)
-        order = np.argsort(marks, kind="stable")
-        equal = np.zeros(len(order) + 1, dtype=bool)
-        equal[1:-1] = marks[order[1:]] == marks[order[:-1]]
-        paired = np.zeros(len(order), dtype=bool)
-        paired[order[equal[:-1] | equal[1:]]] = True
-        left = np.flatnonzero(paired)
-        left = left[np.argsort(keys[owner[left]], kind="stable")]
-        removed = np.zeros(len(suffix), dtype=bool)
-        if len(left):
-            # Copies of one run from several blocks give equal suffixes; each distinct (key, hash) is sorted with all of them.
-            sorted_suffix, number = classes(data, suffix[left], keys[owner[left]], length)
-            where = np.searchsorted(suffix, sorted_suffix)  # suffix starts ascend
-            holder = ids[owner[where]]
-            least = np.full(number.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, number, holder)
-            removed[where[holder > least[number]]] = True
-        bits = np.zeros((len(counts), RUN), dtype=bool)
-        bits[owner, nth] = removed
-        packed = np.packbits(bits, axis=1)
+        marks = np.packbits(mark_suffixes(data, np.cumsum(sizes) - sizes, counts, ids, keys, length), axis=1)
         out, at = [], 0
-        for n in lengths:
-            out.append(packed[at:at + n].tobytes())
-            at += n
-        return pa.table([group.column("block").to_pylist(), group.column("numbers").to_pylist(), out], schema=_MARKS)
+        for own in per_block:
+            out.append(_squeezed(marks[at:at + len(own)]))
+            at += len(own)
+        return pa.table([group.column("block"), group.column("numbers"), out], schema=_MARKS)
     return run
 
 
-def _remove(length: int, gram: int):
+def _removed(block: Block, sides: pa.Table, buckets: int) -> np.ndarray | None:
+    """Which bytes of the block go, if any."""
+    length = block.length
+    picked, number = block.shared_runs(_bits_by_bucket(sides), buckets)
+    if not len(picked):
+        return None
+    bits = np.zeros((int(number.max()) + 1, RUN), dtype=bool)
+    marked = sides.filter(pc.is_valid(sides.column("marks")))
+    for steps, marks in zip(_freed(marked.column("numbers"), "<u4"), _freed(marked.column("marks"), "u1")):
+        bits[np.cumsum(steps, dtype=np.int64)] = np.unpackbits(marks.reshape(len(steps), RUN // 8), axis=1).astype(bool)
+    # In documents after the first holder in this block the whole run goes.
+    _, first = np.unique(number, return_index=True)
+    lead = np.zeros(len(bits), dtype=np.int64)
+    lead[number[first]] = block.ids[block.doc[picked[first]]]
+    own = bits[number] | (block.ids[block.doc[picked]] > lead[number])[:, None]
+    own &= np.arange(RUN) < block.count[picked][:, None]
+    which, nth = np.nonzero(own)
+    at = block.first[picked][which] + nth
+    change = np.bincount(at, minlength=len(block.data) + 1).astype(np.int32)
+    change -= np.bincount(at + length, minlength=len(block.data) + 1).astype(np.int32)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
+
+
+def _remove(length: int, gram: int, buckets: int):
     """``sides``: the wanted keys, which number the contents again, and the marks by number."""
     def run(key, texts: pa.Table, sides: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _DONE.empty_table()
-        gone = None
-        wanted = sides.filter(pc.is_valid(sides.column("keys"))) if sides.num_rows else sides
         block = Block(texts, length, gram)
-        if wanted.num_rows:
-            picked, number = _picked_runs(block, wanted)
-            marked = sides.filter(pc.is_valid(sides.column("marks")))
-            bits = np.zeros((int(number.max()) + 1 if len(number) else 0, RUN), dtype=bool)
-            for numbers, marks in zip(marked.column("numbers").to_pylist(), marked.column("marks").to_pylist()):
-                some = np.frombuffer(numbers, dtype="<u4")
-                bits[some] = np.unpackbits(np.frombuffer(marks, dtype=np.uint8).reshape(len(some), RUN // 8), axis=1).astype(bool)
-            if len(picked):
-                # In documents after the first holder in this block the whole run goes.
-                _, first = np.unique(number, return_index=True)
-                lead = np.zeros(int(number.max()) + 1, dtype=np.int64)
-                lead[number[first]] = block.ids[block.doc[picked[first]]]
-                own = bits[number] | (block.ids[block.doc[picked]] > lead[number])[:, None]
-                own &= np.arange(RUN) < block.count[picked][:, None]
-                which, nth = np.nonzero(own)
-                at = block.first[picked][which] + nth
-                change = np.zeros(len(block.data) + 1, dtype=np.int32)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + length, -1)
-                gone = np.cumsum(change[:-1]) > 0
+        gone = _removed(block, sides, buckets) if sides.num_rows else None
         spans, digests = [], []
         for text, a, z in zip(block.texts, block.starts[:-1].tolist(), block.starts[1:].tolist()):
             if gone is None or not gone[a:z].any():
@@ -478,15 +529,15 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, block_byte
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
     listed = dealt.groupBy("block").applyInArrow(
         _list_keys(length, gram, blocks), "block long, bucket long, keys binary, twice binary")
-    wanted = listed.groupBy("bucket").applyInArrow(_shared_keys, "block long, keys binary")
+    wanted = listed.groupBy("bucket").applyInArrow(_shared_keys, "block long, bucket long, bits binary")
     runs = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
         _send_runs(length, gram, blocks), "block long, bucket long, numbers binary, ids binary, keys binary, counts binary, text binary")
     marks = runs.groupBy("bucket").applyInArrow(_mark_runs(length), "block long, numbers binary, marks binary")
     none = F.lit(None).cast("binary")
-    sides = wanted.select("block", "keys", none.alias("numbers"), none.alias("marks")).unionByName(
-        marks.select("block", none.alias("keys"), "numbers", "marks"))
+    sides = wanted.select("block", "bucket", "bits", none.alias("numbers"), none.alias("marks")).unionByName(
+        marks.select("block", F.lit(None).cast("long").alias("bucket"), none.alias("bits"), "numbers", "marks"))
     return dealt.groupBy("block").cogroup(sides.groupBy("block")).applyInArrow(
-        _remove(length, gram), "id long, n_bytes long, spans array<long>, kept_sha256 string")
+        _remove(length, gram, blocks), "id long, n_bytes long, spans array<long>, kept_sha256 string")
 
 
 def substring_dedup_report(docs: DataFrame) -> DataFrame:
