@@ -120,7 +120,7 @@ class CohortAnalyzer:
 
     def get_retention_summary(self) -> DataFrame:
         if self.retention is None:
-            raise ValueError("No retention matrix available. Run calculate_retention first.")
+            raise ValueError("there is no retention matrix yet: call calculate_retention")
         return cohorts.retention_summary(self.retention, self.period)
 
 
@@ -153,8 +153,11 @@ class FunnelAnalyzer:
         return [FunnelStage(r["stage"], r["users"], r["conversion_rate"], r["drop_off_rate"])
                 for r in self.funnel_data.orderBy("stage_no").collect()]
 
-    def analyze_playlist_completion(self, sessions: DataFrame, playlist_tracks: DataFrame | None = None,
-                                    playlist_length: int = 20) -> DataFrame:
+    def analyze_playlist_completion(self, sessions: DataFrame, playlists: DataFrame | None = None,
+                                    playlist_tracks: DataFrame | None = None, playlist_length: int = 20) -> DataFrame:
+        """``playlists`` names the lists that count, ``playlist_tracks`` their contents; see ``playlist_progress``."""
+        if playlists is not None and "playlist_id" in sessions.columns:
+            sessions = sessions.join(playlists.select("playlist_id").distinct(), "playlist_id", "left_semi")
         progress = funnels.playlist_progress(sessions, playlist_length, playlist_tracks)
         self._remember(funnels.completion_counts(progress), list(funnels.COMPLETION_STAGES))
         return funnels.completion_metrics(progress)
@@ -171,7 +174,7 @@ class FunnelAnalyzer:
 
     def get_recommendations(self) -> list[str]:
         if self._counts is None:
-            return ["Run funnel analysis first to generate recommendations."]
+            return ["Nothing to advise yet: analyse a funnel first."]
         rows = funnels.recommendations(self._counts, self._stages).orderBy("position").collect()
         return [r["recommendation"] for r in rows]
 
@@ -180,8 +183,6 @@ class FunnelAnalyzer:
 class ExperimentConfig:
     name: str
     description: str = ""
-    control_name: str = "control"
-    treatment_name: str = "treatment"
     significance_level: float = ab.SIGNIFICANCE
 
 
@@ -237,7 +238,10 @@ class ABTestFramework:
                                   F.lit(metric_column).alias("metric_name"),
                                   F.col(metric_column).cast("double").alias("metric_value"))
         analysis = ab.analyze(self.assignments[experiment_name], long, self.significance_level)
-        row = analysis.head().asDict()
+        first = analysis.head()
+        if first is None:
+            raise ValueError(f"no assigned user of {experiment_name!r} has a value of {metric_column!r}")
+        row = first.asDict()
         spark = metric_data.sparkSession
         self._rows[experiment_name] = spark.createDataFrame([tuple(row.values())], analysis.schema)
         known = {k: v for k, v in row.items() if k in ExperimentResults.__dataclass_fields__}

@@ -20,7 +20,6 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _STANDARD = NormalDist()
-_LARGE_DF = 20_000.0
 
 
 def _each(function, values) -> np.ndarray:
@@ -40,41 +39,66 @@ def normal_quantile(p: float) -> float:
     return _STANDARD.inv_cdf(p)
 
 
-def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta by its continued fraction (DLMF 8.17.22)."""
-    x, a, b = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(x, a, b))
+def _log_gamma_step(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """log(gamma(x + a) / gamma(x)) without the cancellation of two large logarithms.
+
+    Stirling's series for the difference, after 16 steps of the recurrence, so that it is exact for small x too.
+    """
+    steps = sum(np.log1p(a / (x + k)) for k in range(16))
+    x = x + 16
+
+    def rest(y):
+        return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * y * y)) / (y * y)) / (y * y)) / y
+    return (x - 0.5) * np.log1p(a / x) + a * np.log(x + a) - a + rest(x + a) - rest(x) - steps
+
+
+def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray, complement: np.ndarray | None = None) -> np.ndarray:
+    """Regularised incomplete beta by its continued fraction (DLMF 8.17.22), iterated until it stands still.
+
+    ``complement`` is 1 - x where that is known more precisely than by subtraction.
+    """
+    y = 1 - np.asarray(x, dtype=float) if complement is None else complement
+    x, a, b, y = (np.array(v, dtype=float) for v in np.broadcast_arrays(x, a, b, y))
     swap = x > (a + 1) / (a + b + 2)
-    x, a, b = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(a * np.log(x) + b * np.log1p(-x) - np.log(a)
-                       + _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b))
-        # Evaluate the fraction from the tail, 400 terms: plenty for every a, b met here.
-        tail = np.ones_like(x)
-        for term in range(400, 0, -1):
-            m = term // 2
-            if term % 2:
-                d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            else:
-                d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            tail = 1 + d / tail
-        value = np.where(x <= 0, 0.0, front / tail)
+    x, y, a, b = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, b, a), np.where(swap, a, b)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        small, large = np.minimum(a, b), np.maximum(a, b)
+        front = np.exp(a * np.where(x < 0.5, np.log(x), np.log1p(-y)) + b * np.where(x < 0.5, np.log1p(-x), np.log(y)) - np.log(a)
+                       + _log_gamma_step(large, small) - _log_gamma(small))
+        # Lentz's rule: numerators and denominators as running ratios.
+        value, c, d, term = np.ones_like(x), np.full_like(x, np.inf), np.ones_like(x), 0
+        moving = (x > 0) & np.isfinite(a) & np.isfinite(b)
+        while moving.any():
+            m = (term + 1) // 2
+            part = (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if term % 2
+                    else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+            d = 1 / _apart(1 + part * d)
+            c = _apart(1 + part / c)
+            factor = c * d
+            value = np.where(moving, value * factor, value)
+            moving &= np.abs(factor - 1) > 2e-16
+            term += 1
+        value = np.where(x <= 0, 0.0, front * value)
     return np.where(swap, 1 - value, value)
 
 
+def _apart(v: np.ndarray) -> np.ndarray:
+    """Away from zero, for a division."""
+    return np.where(np.abs(v) < 1e-300, 1e-300, v)
+
+
 def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """P(|T| >= |t|) for Student's t with ``df`` degrees of freedom."""
     t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
-    small = np.minimum(df, _LARGE_DF)
-    p = incomplete_beta(small / (small + t * t), small / 2, np.full_like(df, 0.5))
-    # Many degrees of freedom: normal tail of the matched quantile (Abramowitz & Stegun 26.7.8).
-    z = np.abs(t) * (1 - 1 / (4 * df)) / np.sqrt(1 + t * t / (2 * df))
-    p = np.where(df > _LARGE_DF, _erfc(z / math.sqrt(2)), p)
-    return np.where(np.isinf(t), 0.0, p)
+    with np.errstate(invalid="ignore", over="ignore"):
+        p = incomplete_beta(df / (df + t * t), df / 2, np.full_like(df, 0.5), t * t / (df + t * t))
+    return np.where(np.isinf(t), 0.0, np.where(t == 0, 1.0, p))
 
 
 @F.pandas_udf(DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p value; null where t or df is missing."""
+    t, df = t.astype(float), df.astype(float).where(df.notna() | ~np.isinf(t.fillna(0.0)), 1.0)
     known = (t.notna() & df.notna()).to_numpy()
     out = np.full(len(t), np.nan)
     if known.any():

@@ -78,15 +78,6 @@ def weekday_name(ts: Column | str) -> Column:
 DAY_PARTS = {"night": 6, "morning": 12, "afternoon": 18, "evening": 24}
 
 
-def day_part(hour: Column | str) -> Column:
-    """Part of the day of an hour; hour 6 is still night, 12 morning, 18 afternoon."""
-    hour = _col(hour)
-    chain = None
-    for name, last in DAY_PARTS.items():
-        chain = F.when(hour <= last, name) if chain is None else chain.when(hour <= last, name)
-    return chain
-
-
 def part_hours() -> dict[str, tuple[int, int]]:
     """First and last hour of each part of the day."""
     hours, first = {}, 0

@@ -26,7 +26,7 @@ class LinearModel:
 
     def _check_fitted(self) -> None:
         if not self.is_fitted:
-            raise ValueError("Model not fitted. Call train() first.")
+            raise ValueError("model not fitted: train it or load one")
 
     def _split(self, df: DataFrame, key, share: float, stratify: str | None):
         """(frame to release, train, validation).
@@ -34,8 +34,10 @@ class LinearModel:
         The rows are materialized once, spilling to disk; the split and every
         pass of the fit then read them from there.
         """
+        if not key:
+            raise ValueError("training needs a key: columns that identify a row and never change between runs")
         rows = df.persist()
-        marked = mark_split(rows, key or df.columns, share, self.random_state, stratify).persist()
+        marked = mark_split(rows, key, share, self.random_state, stratify).persist()
         marked.count()
         rows.unpersist()
         return marked, marked.where(~F.col("is_test")), marked.where("is_test")
@@ -51,6 +53,9 @@ class LinearModel:
         """
         row = df.agg(*(F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f)
                        for f in features)).head()
+        empty = [f for f in features if row[f]["m"] is None or row[f]["m"] != row[f]["m"]]
+        if empty:
+            raise ValueError(f"features without a mean, since values are missing or NaN: {empty}")
         scaled = ", ".join(f"(`{f}` - ({row[f]['m']!r}D)) / {(row[f]['s'] or 1.0)!r}D AS `_z_{f}`"
                            for f in features)
         return [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
@@ -92,8 +97,7 @@ class LinearModel:
         about = {"config": self._config(), "feature_names": self.feature_names, "metrics": self.metrics,
                  **self._extra()}
         spark = SparkSession.active()
-        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(f"{path}/about")
+        spark.range(1).select(F.lit(json.dumps(about)).alias("value")).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
     def load(cls, path: str):

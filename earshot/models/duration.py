@@ -20,7 +20,7 @@ class SessionForecaster(LinearModel):
                  random_state: int = 42):
         super().__init__(random_state)
         if model_type not in MODEL_TYPES:
-            raise ValueError(f"Unknown model type: {model_type}")
+            raise ValueError(f"model_type must be one of {MODEL_TYPES}, not {model_type!r}")
         self.model_type, self.alpha, self.n_features = model_type, alpha, n_features
         self.selected_features: list[str] = []
 

@@ -102,5 +102,6 @@ def f_scores(df: DataFrame, features: list[str], label: str) -> DataFrame:
     items = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("correlation"))
                       for f in features))
     r2 = F.col("correlation") * F.col("correlation")
-    return (row.select("_n", F.inline(items))
-            .withColumn("f_score", ratio(r2 * (F.col("_n") - 2), 1 - r2, None)).drop("_n"))
+    # A perfectly correlated feature leaves no residual: its score is infinite.
+    score = F.when(r2 >= 1, F.lit(float("inf"))).otherwise(ratio(r2 * (F.col("_n") - 2), 1 - r2, None))
+    return row.select("_n", F.inline(items)).withColumn("f_score", score).drop("_n")

@@ -298,5 +298,5 @@ def upsert_user_metrics(current: DataFrame, sessions: DataFrame, changed: DataFr
     """
     who = changed.select("user_id").distinct()
     fresh = user_metrics(sessions.join(who, "user_id", "left_semi"))
-    kept = current.join(fresh.select("user_id"), "user_id", "left_anti")
+    kept = current.join(sessions.select("user_id").join(who, "user_id", "left_semi").distinct(), "user_id", "left_anti")
     return kept.unionByName(fresh)

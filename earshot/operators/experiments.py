@@ -162,19 +162,25 @@ def effects(assignments: DataFrame, results: DataFrame, alpha: float = SIGNIFICA
 
 
 def effects_from_moments(moments: DataFrame, alpha: float = SIGNIFICANCE) -> DataFrame:
-    """The same from n, sum and sum of squares per test, metric and arm.
+    """The same from n, mean and squared deviations from the mean (``m2``) per test, metric and arm.
 
-    This is what a running stream keeps up to date.
+    This is what a running stream keeps up to date. Several rows of an arm are
+    merged: their squared deviations, and those of their means from the whole mean.
     """
+    same = Window.partitionBy("test_name", "metric_name", "variant")
+    near = F.min("mean").over(same)  # sums of distances from it do not cancel
+    middle = near + ratio(F.sum(F.col("n") * (F.col("mean") - near)).over(same), F.sum("n").over(same), None)
+    placed = moments.withColumn("middle", middle)
     aggregates = []
     for arm in _ARMS:
-        def total(name):
-            return F.sum(F.when(F.col("variant") == arm, F.col(name)))
-        n, s, q = total("n"), total("sum_x"), total("sum_x2")
-        spread = F.greatest(ratio(q - s * s / n, n - 1, None), F.lit(0.0))
-        aggregates += [ratio(s, n, None).alias(f"{arm}_mean"), F.when(n > 1, F.sqrt(spread)).alias(f"{arm}_std"),
+        def of(column, arm=arm):
+            return F.when(F.col("variant") == arm, column)
+        n = F.sum(of(F.col("n")))
+        apart = F.col("mean") - F.col("middle")
+        spread = F.sum(of(F.col("m2") + F.col("n") * apart * apart))
+        aggregates += [F.max(of(F.col("middle"))).alias(f"{arm}_mean"), F.when(n > 1, F.sqrt(ratio(spread, n - 1, None))).alias(f"{arm}_std"),
                        F.coalesce(n, F.lit(0)).alias(f"{arm}_n")]
-    return _with_effects(moments.groupBy("test_name", "metric_name").agg(*aggregates), alpha)
+    return _with_effects(placed.groupBy("test_name", "metric_name").agg(*aggregates), alpha)
 
 
 def _with_effects(rows: DataFrame, alpha: float) -> DataFrame:
@@ -187,11 +193,13 @@ def _with_effects(rows: DataFrame, alpha: float) -> DataFrame:
     df = ratio((e1 + e2) * (e1 + e2), ratio(e1 * e1, n1 - 1, None) + ratio(e2 * e2, n2 - 1, None), None)
     pooled = F.sqrt(ratio((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2, None))
     half = F.lit(normal_quantile(1 - alpha / 2)) * se
+    # Two constant arms that differ: the difference is beyond any doubt.
+    t = F.coalesce(ratio(effect, se, None), F.when((se == 0) & (effect != 0), F.signum(effect) * F.lit(float("inf"))))
     return rows.select(
         "test_name", "metric_name", "control_mean", "treatment_mean", "control_std", "treatment_std",
         "control_n", "treatment_n", effect.alias("absolute_effect"),
         F.when(effect.isNotNull(), ratio(effect, c["control_mean"])).alias("relative_effect"),
-        se.alias("standard_error"), ratio(effect, se, None).alias("t_statistic"),
+        se.alias("standard_error"), t.alias("t_statistic"),
         df.alias("degrees_of_freedom"), (effect - half).alias("ci_lower"), (effect + half).alias("ci_upper"),
         F.when(effect.isNotNull() & pooled.isNotNull(), ratio(effect, pooled)).alias("effect_size"))
 
@@ -202,7 +210,7 @@ def significance(effect_rows: DataFrame, alpha: float = SIGNIFICANCE) -> DataFra
     Power is what the observed effect and error give, not the planned value.
     """
     z = F.lit(normal_quantile(1 - alpha / 2))
-    shift = F.abs(ratio("absolute_effect", "standard_error", None))
+    shift = F.abs(F.col("t_statistic"))
     return (effect_rows.withColumn("p_value", t_two_sided_p("t_statistic", "degrees_of_freedom"))
             .withColumn("is_significant", F.col("p_value") < alpha)
             .withColumn("power", normal_cdf(shift - z) + normal_cdf(-shift - z)))
@@ -250,6 +258,7 @@ def conversion_significance(assignments: DataFrame, converted: DataFrame) -> Dat
 
 def report(analysis: DataFrame) -> DataFrame:
     """One text block per test and metric."""
+    # Fixed value: the layout of the text.
     rule = "=" * 60
     text = "\n".join([
         "", rule, "A/B TEST: %s", rule, "Control: %,d users, Mean: %.4f", "Treatment: %,d users, Mean: %.4f", "",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from earshot import schemas
 
@@ -20,7 +20,7 @@ def validate(df: DataFrame, required: list[str], date_columns: list[str] | None
     """
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the frame lacks the columns {missing}")
     parse = F.try_to_timestamp if lenient else F.to_timestamp
     for name in date_columns or []:
         if name in df.columns:
@@ -95,6 +95,8 @@ def check_tables(tables: dict[str, DataFrame]) -> DataFrame:
             found.append(missing.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("violations")).select(
                 F.lit("reference").alias("rule"), F.lit(child).alias("table_name"),
                 F.lit(column).alias("column_name"), "violations"))
+    if not found:
+        return SparkSession.active().createDataFrame([], "rule string, table_name string, column_name string, violations bigint")
     result = found[0]
     for frame in found[1:]:
         result = result.unionByName(frame)

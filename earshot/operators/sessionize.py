@@ -39,9 +39,9 @@ def sessionize(events: DataFrame, ts: str = "timestamp", minutes: int = 30) -> D
 
 
 def label_sessions(events: DataFrame, ts: str = "timestamp", minutes: int = 30) -> DataFrame:
-    """Events with the ``session_no`` they belong to."""
+    """All events with the ``session_no`` they belong to; null for events without a user or a time."""
     width = minutes * 60_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     bins = _numbered_bins(events, ts, minutes).select("user_id", "bin", "session_no")
     return (events.withColumn("bin", ((micros - F.pmod(micros, F.lit(width))) / width).cast("bigint"))
-            .join(bins, ["user_id", "bin"]).drop("bin"))
+            .join(bins, ["user_id", "bin"], "left").drop("bin"))

@@ -9,17 +9,30 @@ the pick itself is a filter.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_PREFIX = 4  # hex digits, 65,536 prefixes
+#: Hex digits of a prefix: as many as leave some thousand rows to one prefix.
+_ROWS_OF_PREFIX = 4096
 
-#: Up to here the per-stratum limits are broadcast, beyond they are joined by shuffle.
+#: Up to here the per-stratum limits are broadcast, beyond they are joined by shuffle. The rows are the same.
 MANY_STRATA = 10_000
 
+#: Copies of one value that are numbered in one row at a time.
+_CHUNK = 10_000
+
 
 def row_hash(key: list[str], seed: int) -> Column:
-    """md5 of ``seed:key``, the order in which rows are picked."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in key)))
+    """md5 of ``seed:key``, the order in which rows are picked.
+
+    Several columns are told apart by their lengths, and null from every text.
+    """
+    if len(key) == 1:
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key[0]).cast("string")))
+    parts = [F.coalesce(F.concat_ws(":", F.length(F.col(c).cast("string")).cast("string"), F.col(c).cast("string")), F.lit("-"))
+             for c in key]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
 def mark_picked(df: DataFrame, key: list[str], quotas: DataFrame, seed: int = 42,
@@ -27,17 +40,34 @@ def mark_picked(df: DataFrame, key: list[str], quotas: DataFrame, seed: int = 42
     """``df`` with a boolean ``flag`` true on the first ``quota`` rows by hash.
 
     ``quotas`` has the strata columns and ``quota``, one row per stratum.
-    ``key`` must identify a row (rows that agree on it are picked together).
+
+    Where rows share the key, whole rows are hashed instead, and equal rows, which are interchangeable, are counted:
+    every copy gets a hash of its own, so they are picked one by one and spread over the pick, and the counts become rows
+    again. Rows with a key of their own are never moved.
     """
+    hashed = df.select(*strata, row_hash(key, seed).alias("_hash"))
+    rows, most = hashed.groupBy("_hash").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).head()
+    if (most or 0) <= 1:
+        return _picked(df, rows, key, quotas, seed, strata, flag)
+    whole = list(df.columns)
+    values = df.groupBy(*whole).agg(F.count("*").alias("_copies"))
+    copies = (values.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / _CHUNK))))
+              .withColumn("_copy", F.explode(F.sequence(F.col("_chunk") * _CHUNK + 1,
+                                                        F.least("_copies", (F.col("_chunk") + 1) * _CHUNK)))))
+    return _picked(copies, rows, [*whole, "_copy"], quotas, seed, strata, flag).drop("_copies", "_chunk", "_copy")
+
+
+def _picked(df, rows, key, quotas, seed, strata, flag):
+    prefix = max(4, math.ceil(math.log(max(rows / _ROWS_OF_PREFIX, 1), 16)))
     if not strata:
         return _mark(df.withColumn("_all", F.lit(1)), key, quotas.withColumn("_all", F.lit(1)), seed,
-                     ["_all"], flag, F.broadcast).drop("_all")
+                     ["_all"], flag, F.broadcast, prefix).drop("_all")
     few = quotas.limit(MANY_STRATA + 1).count() <= MANY_STRATA
-    return _mark(df, key, quotas, seed, list(strata), flag, F.broadcast if few else lambda d: d)
+    return _mark(df, key, quotas, seed, list(strata), flag, F.broadcast if few else lambda d: d, prefix)
 
 
-def _mark(df, key, quotas, seed, strata, flag, side):
-    """``side`` wraps the frames of one row per stratum that rows are joined to."""
+def _mark(df, key, quotas, seed, strata, flag, side, prefix):
+    """``side`` wraps the frames of one row per stratum that rows are joined to; ``prefix`` is the length of hash prefixes."""
     def renamed(frame, *others):
         return frame.select(*(F.col(c).alias(f"_of_{c}") for c in strata), *others)
 
@@ -49,14 +79,13 @@ def _mark(df, key, quotas, seed, strata, flag, side):
 
     of = [f"_of_{c}" for c in strata]
     rows = df.withColumn("_hash", row_hash(key, seed))
-    hashes = rows.select(*strata, "_hash", F.substring("_hash", 1, _PREFIX).alias("_prefix"))
+    hashes = rows.select(*strata, "_hash", F.substring("_hash", 1, prefix).alias("_prefix"))
     upto = Window.partitionBy(*strata).orderBy("_prefix")
     counted = (hashes.groupBy(*strata, "_prefix").agg(F.count("*").alias("_n"))
                .withColumn("_before", F.sum("_n").over(upto) - F.col("_n")))
     edge = (counted.join(side(renamed(quotas, "quota")), same_stratum())
             .where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("_n"))))
     edge = renamed(edge, F.col("_prefix").alias("_edge"), (F.col("quota") - F.col("_before")).alias("_left"))
-    # Equal hashes are counted first: a repeated key is one row here, however often it occurs.
     limits = (hashes.join(side(edge), same_stratum() & (F.col("_prefix") == F.col("_edge")))
               .groupBy(*strata, "_hash", "_left").agg(F.count("*").alias("_n"))
               .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*strata).orderBy("_hash")))

@@ -46,10 +46,6 @@ USER_METRICS = _table("user_id", user_id=_S, total_sessions=_L, total_listen_tim
                       skip_rate=_D, avg_session_duration_ms=_D, unique_tracks_played=_L,
                       unique_genres=_L, last_active_date=_DATE, engagement_score=_D)
 
-#: A track's audio analysis record.
-AUDIO_FEATURES = _table("", **{name: _D for name in AUDIO}, key=_I, mode=_I, time_signature=_I,
-                        duration_ms=_I)
-
 TABLES = {
     "users": USERS, "tracks": TRACKS, "sessions": SESSIONS, "playlists": PLAYLISTS,
     "playlist_tracks": PLAYLIST_TRACKS, "ab_test_assignments": AB_ASSIGNMENTS,

@@ -23,9 +23,9 @@ def save_tables(tables: dict[str, DataFrame], directory: str, fmt: str = "parque
 
 
 def export_reports(reports: dict[str, DataFrame], directory: str) -> None:
-    """One CSV part per report. For aggregated results: one row per day, genre, hour, ..."""
+    """Each report as CSV. Small reports end in one part: a rebalance merges small partitions and splits large ones."""
     for name, df in reports.items():
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{directory}/{name}")
+        df.hint("rebalance").write.mode("overwrite").option("header", True).csv(f"{directory}/{name}")
 
 
 def export_dashboard(dau_mau: DataFrame, skip_rates: dict[str, DataFrame],
@@ -39,5 +39,5 @@ def export_dashboard(dau_mau: DataFrame, skip_rates: dict[str, DataFrame],
 def save_results(results: dict[str, DataFrame], directory: str) -> None:
     """Result frames as JSON lines; dates and timestamps become ISO text."""
     for name, df in results.items():
-        df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False) \
+        df.hint("rebalance").write.mode("overwrite").option("ignoreNullFields", False) \
             .json(f"{directory}/{name}")

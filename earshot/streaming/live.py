@@ -49,7 +49,9 @@ def rolling_rate(events: DataFrame, flag: Column, ts: str = "ts", length: str =
 
 
 def experiment_moments(results: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Count, sum and sum of squares per test, metric and arm.
+    """Count, mean and squared deviations from it (``m2``) per test, metric and arm.
+
+    Unlike sums of squares these do not cancel where values are large and close together.
 
     ``assignments`` is a table. A handful of state rows; use update or complete
     mode, and ``effects_from_moments`` on the outcome.
@@ -58,4 +60,4 @@ def experiment_moments(results: DataFrame, assignments: DataFrame) -> DataFrame:
     return (results.where(x.isNotNull()).join(assignments.select("user_id", "test_name", "variant"),
                                               ["user_id", "test_name"])
             .groupBy("test_name", "metric_name", "variant")
-            .agg(F.count(x).alias("n"), F.sum(x).alias("sum_x"), F.sum(x * x).alias("sum_x2")))
+            .agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2")))

@@ -93,17 +93,30 @@ def test_degenerate_arms(rows):
     zero_mean = analysed(rows, [("a", "control", -1.0), ("b", "control", 1.0), ("c", "treatment", 2.0), ("d", "treatment", 3.0)])
     assert zero_mean.relative_effect == 0.0 and zero_mean.absolute_effect == 2.5
     no_spread = analysed(rows, [("a", "control", 1.0), ("b", "control", 1.0), ("c", "treatment", 2.0), ("d", "treatment", 2.0)])
-    assert no_spread.effect_size == 0.0 and no_spread.p_value is None
+    assert no_spread.effect_size == 0.0 and no_spread.t_statistic == float("inf")
+    assert no_spread.p_value == 0.0 and no_spread.is_significant and no_spread.power == 1.0
+    equal = analysed(rows, [("a", "control", 1.0), ("b", "control", 1.0), ("c", "treatment", 1.0), ("d", "treatment", 1.0)])
+    assert equal.p_value is None and equal.absolute_effect == 0.0
     empty = analysed(rows, [("a", "control", 1.0), ("b", "control", 2.0)])
     assert empty.treatment_n == 0 and empty.absolute_effect is None and empty.p_value is None
     gaps = analysed(rows, [("a", "control", 1.0), ("b", "control", None), ("e", "control", float("nan")), ("c", "treatment", 2.0)])
     assert (gaps.control_n, gaps.treatment_n) == (1, 1)
 
 
+def test_moments_of_large_close_values(rows):
+    base = 1.7e9
+    data = [(f"{arm}{i}", arm, base + i * 1e-3 + (arm == "treatment")) for arm in ("control", "treatment") for i in range(3)]
+    moments = rows([("t", "m", arm, 1, x, 0.0) for _, arm, x in data],
+                   "test_name string, metric_name string, variant string, n bigint, mean double, m2 double")
+    direct, other = analysed(rows, data), ex.effects_from_moments(moments).head()
+    assert other.control_std == pytest.approx(1e-3, rel=1e-3) == direct.control_std
+    assert other.absolute_effect == pytest.approx(1.0, rel=1e-6)
+
+
 def test_moments_give_the_same(rows):
     data = [("a", "control", 1.0), ("b", "control", 4.0), ("c", "treatment", 2.0), ("d", "treatment", 6.0), ("e", "treatment", 3.0)]
-    moments = rows([("t", "m", "control", 2, 5.0, 17.0), ("t", "m", "treatment", 3, 11.0, 49.0)],
-                   "test_name string, metric_name string, variant string, n bigint, sum_x double, sum_x2 double")
+    moments = rows([("t", "m", "control", 2, 2.5, 4.5), ("t", "m", "treatment", 2, 4.0, 8.0), ("t", "m", "treatment", 1, 3.0, 0.0)],
+                   "test_name string, metric_name string, variant string, n bigint, mean double, m2 double")
     direct, other = analysed(rows, data), ex.effects_from_moments(moments).head()
     for name in other.asDict():
         assert other[name] == pytest.approx(direct[name]), name

@@ -41,12 +41,6 @@ def test_period_labels(rows):
         ti.period_start("d", "daily")
 
 
-def test_day_parts_close_on_the_right(rows):
-    df = rows([(h,) for h in (0, 6, 7, 12, 13, 18, 19, 23)], "h int")
-    got = [r[0] for r in df.orderBy("h").select(ti.day_part("h")).collect()]
-    assert got == ["night"] * 2 + ["morning"] * 2 + ["afternoon"] * 2 + ["evening"] * 2
-
-
 def test_right_closed_bins(rows):
     df = rows([(0.0,), (0.33,), (0.34,), (1.0,), (1.1,), (None,)], "x double")
     got = [r[0] for r in df.select(ti.right_closed_bin("x", [0, 0.33, 0.66, 1], ["L", "M", "H"])).collect()]

@@ -117,7 +117,7 @@ def test_not_fitted(classes):
 
 
 def test_unknown_type():
-    with pytest.raises(ValueError, match="Unknown model type"):
+    with pytest.raises(ValueError, match="model_type"):
         SessionForecaster("forest")
 
 

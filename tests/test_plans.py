@@ -60,13 +60,22 @@ def test_pick_without_broadcast(users, monkeypatch):
     assert test.count() == 250
 
 
-def test_rows_with_one_key_are_picked_together(spark):
-    """A third of the rows share a key; the pick never splits them."""
+def test_sizes_are_exact_where_rows_repeat(spark):
+    """A third of the rows are equal; copies are picked one by one and spread over the pick."""
     df = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
-    for n in (1, 200, 450, 700):
-        got = pr.sample(df, n=n, key=["k"])
-        hot = got.where("k = -1").count()
-        assert hot in (0, 300) and (got.count() == n or hot == 300 and n < got.count() <= n + 300)
+    for n in (1, 10, 200, 450, 899, 900, 2000):
+        assert pr.sample(df, n=n).count() == min(n, 900)
+    assert 100 < pr.sample(df, n=450, key=["k"]).where("k = -1").count() < 200
+    train, test = pr.train_test_split(spark.range(1000).selectExpr("id % 3 as v"), ["v"], 0.2)
+    assert (train.count(), test.count()) == (800, 200)
+    kept = spark.range(1000).selectExpr("id % 3 as v", "id % 2 as s")
+    marked = pr.mark_split(kept, ["v"], 0.2, stratify="s").groupBy("s", "is_test").count().collect()
+    assert sorted((r.s, r["is_test"], r["count"]) for r in marked) == [(0, False, 400), (0, True, 100), (1, False, 400), (1, True, 100)]
+
+
+def test_keys_of_several_columns_are_told_apart(rows):
+    df = rows([("a:b", "c"), ("a", "b:c"), (None, "c"), ("c", None)], "x string, y string")
+    assert df.select(hashpick.row_hash(["x", "y"], 1)).distinct().count() == 4
 
 
 def test_sample_fraction_and_all(users):

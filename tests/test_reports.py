@@ -135,9 +135,9 @@ def test_playlists_by_their_own_length(plays, rows):
     p = plays(*[("a", "2024-01-01 10:00")] * 2).withColumn("playlist_id", F.lit("p"))
     contents = rows([("p", "x"), ("p", "y"), ("q", "x")], "playlist_id string, track_id string")
     analyzer = FunnelAnalyzer()
-    assert analyzer.analyze_playlist_completion(p, contents).head().overall_completion_rate == 1.0
+    assert analyzer.analyze_playlist_completion(p, None, contents).head().overall_completion_rate == 1.0
     assert analyzer.get_recommendations()[0].startswith("High drop-off (100.0%) at 'track_3_complete'")
-    assert FunnelAnalyzer().get_recommendations() == ["Run funnel analysis first to generate recommendations."]
+    assert FunnelAnalyzer().get_recommendations() == ["Nothing to advise yet: analyse a funnel first."]
 
 
 def test_event_order(rows):
