@@ -6,7 +6,7 @@ the choice depends on the empty bin and the attempt only, so two texts with equa
 the low bits are stored, packed as hex. Two fingerprints' share of equal bins, corrected for bins that agree by chance
 (one in 2^bits), estimates the Jaccard similarity of the shingle sets.
 
-Words are runs of characters other than ``\\x20\\x09-\\x0D``, A-Z lower-cased. A text of fewer words than a shingle is
+Words are runs of characters other than ``\\x20\\x09-\\x0D`` of the lower-cased text. A text of fewer words than a shingle is
 one shingle; a text without words has the hash of no word as its only one.
 
 Edge cases: a null text is empty; ids order the documents, a null id is the smallest, and rows of one id are ordered by
@@ -25,38 +25,18 @@ from earshot.llm.base import NULL_ID, given_id
 SHINGLE, BIN_BITS, LOW_BITS, GROUP = 5, 8, 8, 1024
 BINS = 1 << BIN_BITS
 
-#: Probes that are tried one by one before all are looked at.
-_TRIES = 12
-
-
-def shingle_hashes(text: Column) -> Column:
-    """Hashes of the distinct-or-not shingles of a text, as an array of longs."""
-    blank = r"[\x20\x09-\x0D]+"
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(lower, blank), lambda w: w != "")
-    return _over(F.transform(words, lambda w: F.xxhash64(w)), lambda own: F.when(
-        F.size(own) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(own) - SHINGLE), lambda i: F.xxhash64(
-            *(F.get(own, i + k) for k in range(SHINGLE))))).otherwise(F.array(_folded(own))))
-
-
-def _folded(words: Column) -> Column:
-    """Hash of all words of a short text."""
-    return F.xxhash64(*(F.get(words, F.lit(k)) for k in range(SHINGLE - 1)), F.size(words))
-
-
-def _over(value: Column, fn) -> Column:
-    """``fn(value)`` with ``value`` evaluated once: as the only element of an array that is transformed."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
+#: Probes that are tried one by one.
+_TRIES = 16
 
 
 def _bin(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BIN_BITS).cast("int")
+    """Top bits of a hash, in the order of signed numbers."""
+    return F.shiftright(h, 64 - BIN_BITS)
 
 
 def _last(b: int) -> int:
-    """The largest hash of bin ``b``, as a signed number."""
-    last = (b + 1 << 64 - BIN_BITS) - 1
-    return last - (1 << 64) if last >= 1 << 63 else last
+    """The largest hash of bin ``b``."""
+    return (b + 1 << 64 - BIN_BITS) - 1 - (1 << 63)
 
 
 def _stride(b: int) -> int:
@@ -73,30 +53,55 @@ def probes(b: int) -> list[int]:
     return [(j * _stride(b) + _offset(b)) % BINS for j in range(BINS)]
 
 
-def low_bits(text: Column) -> Column:
-    """The low bits of each bin as an array of :data:`BINS` bytes."""
-    flip = F.lit(-(1 << 63))  # unsigned order from the signed one
-
-    def dense(hashes: Column) -> Column:
-        """The least hash of each bin, bin by bin, null where empty."""
-        # The largest possible hash of each bin is added, so each bin comes up, and sorted hashes come bin by bin.
-        ordered = F.sort_array(F.transform(F.concat(hashes, F.lit([_last(b) for b in range(BINS)])), lambda h: h.bitwiseXOR(flip)))
-        return _over(ordered, lambda s: F.transform(
-            F.filter(s, lambda h, i: (i == 0) | (_bin(h) != _bin(F.get(s, i - 1)))),
-            lambda h, b: F.nullif(h.bitwiseXOR(flip), F.get(F.lit([_last(b) for b in range(BINS)]), b))))
-
-    strides = F.lit([_stride(b) for b in range(BINS)])
-    offsets = F.lit([_offset(b) % BINS for b in range(BINS)])
-
-    def filled(dense: Column) -> Column:
-        def probe(b: Column, j: Column | int) -> Column:
-            return F.get(dense, ((F.get(strides, b) * j + F.get(offsets, b)) % BINS).cast("int"))
-        return F.transform(dense, lambda v, b: F.coalesce(
-            v, *(probe(b, j) for j in range(_TRIES)),
-            F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: probe(b, j)), lambda x: x.isNotNull()), F.lit(0))))
-    low = _over(_over(shingle_hashes(text), dense), filled)
+def with_low_bits(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the low bits of each bin of a text column, as an array of :data:`BINS` bytes.
+
+    The sort stands by itself, outside of lambdas, where it runs on plain longs.
+    """
+    blank = F.lower(F.coalesce(F.col(text), F.lit("")))
+    for sign in "\t\n\v\f\r":
+        blank = F.replace(blank, F.lit(sign), F.lit(" "))
+    words = F.transform(F.filter(F.split(blank, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+    def shingles(own: Column) -> Column:
+        short = F.xxhash64(*(F.get(own, F.lit(k)) for k in range(SHINGLE - 1)), F.size(own))
+        return F.when(F.size(own) < SHINGLE, F.array(short)).otherwise(F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(own) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*(F.get(own, i + k) for k in range(SHINGLE)))))
+    # The largest possible hash of each bin is added, so each bin comes up, and sorted hashes come bin by bin.
+    lasts = F.lit([_last(b) for b in range(BINS)])
+    out = df.withColumn("_sorted", F.sort_array(F.concat(_over(words, shingles), lasts)))
+
+    def dense(ordered: Column) -> Column:
+        """The least hash of each bin, null where empty."""
+        least = F.filter(ordered, lambda h, i: F.coalesce(_bin(h) != _bin(F.get(ordered, i - 1)), F.lit(True)))
+        return F.transform(least, lambda h, b: F.nullif(h, F.get(lasts, b)))
+
+    # An empty bin tries its first probes; in texts that fill few bins these mostly fail, and then it is told for each
+    # filled bin when the probe order would reach it. Filled bins are packed as bin and low bits.
+    first_probes = [F.lit([probes(b)[j] for b in range(BINS)]) for j in range(_TRIES)]
+    offsets, inverses = F.lit([_offset(b) % BINS for b in range(BINS)]), F.lit([pow(_stride(b), -1, BINS) for b in range(BINS)])
+    low = (1 << LOW_BITS) - 1
+
+    def filled(held: Column) -> Column:
+        packed_bins = F.filter(F.transform(held, lambda h, b: F.shiftleft(b.cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))),
+                               lambda x: x.isNotNull())
+
+        def reached(full: Column) -> Column:
+            def when(x: Column, b: Column) -> Column:
+                attempt = ((F.shiftright(x, LOW_BITS) - F.get(offsets, b)) * F.get(inverses, b)).bitwiseAND(F.lit(BINS - 1))
+                return F.shiftleft(attempt, LOW_BITS).bitwiseOR(x.bitwiseAND(F.lit(low)))
+            return F.transform(held, lambda v, b: F.coalesce(
+                v, *(F.get(held, F.get(at, b)) for at in first_probes), F.array_min(F.transform(full, lambda x: when(x, b)))))
+        return _over(packed_bins, reached)
     # Shifted up and down again the low bits are a signed byte.
-    return F.transform(low, lambda h: F.shiftright(F.shiftleft(h, 64 - LOW_BITS), 64 - LOW_BITS).cast("byte"))
+    lows = F.transform(_over(_over(F.col("_sorted"), dense), filled),
+                       lambda h: F.shiftright(F.shiftleft(h, 64 - LOW_BITS), 64 - LOW_BITS).cast("byte"))
+    return out.withColumn(name, lows).drop("_sorted")
+
+
+def _over(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once: as the only element of an array that is transformed."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def packed(lows: Column) -> Column:
@@ -150,7 +155,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(id, text, lows): each row's low bits by bin."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.withColumn("lows", low_bits(F.col("text")))
+    return with_low_bits(texts, "text", "lows")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -160,7 +165,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.col("next.text"), F.lit(1), half))
     both = linked.select("id", n.cast("long").alias("n_chars"), "lows", F.col("next.lows").alias("next_lows"), edited.alias("edited"))
-    told = both.withColumn("edited_lows", low_bits(F.col("edited")))
+    told = with_low_bits(both, "edited", "edited_lows")
     return told.select(
         given_id(), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("lows")).alias("fingerprint"),
         packed(F.col("edited_lows")).alias("edited_fingerprint"), likeness(F.col("lows"), F.col("edited_lows")).alias("near_edited"),

@@ -26,7 +26,7 @@ class Int(int):
 
 
 def plain_lows(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
     own = [xx([w]) for w in words]
     if len(own) >= mh.SHINGLE:
         hashes = [xx(own[i:i + mh.SHINGLE]) for i in range(len(own) - mh.SHINGLE + 1)]
@@ -34,7 +34,7 @@ def plain_lows(text):
         hashes = [xx([*own[:mh.SHINGLE - 1], Int(len(own))])]
     least = {}
     for h in hashes:
-        b = h >> 64 - mh.BIN_BITS
+        b = h >> 64 - mh.BIN_BITS ^ mh.BINS // 2  # bins in the order of signed numbers
         least[b] = min(least.get(b, ALL), h)
     return [(least[b] if b in least else next(least[p] for p in mh.probes(b) if p in least)) & (1 << mh.LOW_BITS) - 1 for b in range(mh.BINS)]
 
