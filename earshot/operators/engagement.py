@@ -298,5 +298,7 @@ def upsert_user_metrics(current: DataFrame, sessions: DataFrame, changed: DataFr
     """
     who = changed.select("user_id").distinct()
     fresh = user_metrics(sessions.join(who, "user_id", "left_semi"))
+    if "updated_at" in current.columns:
+        fresh = fresh.withColumn("updated_at", F.current_timestamp())
     kept = current.join(sessions.select("user_id").join(who, "user_id", "left_semi").distinct(), "user_id", "left_anti")
     return kept.unionByName(fresh)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from earshot.operators.engagement import merge_metric_parts, metric_parts, metrics_of_parts
 from earshot.session import shared_folder
@@ -25,7 +26,12 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
-    """Process what is there in append mode into ``folder`` and read the result."""
+    """Process what is there in append mode into ``folder`` and read the result.
+
+    Append mode emits what the watermark has closed. What is open behind it, the
+    last day or session included, waits for later events; for a table that is
+    complete use the same function on a batch frame.
+    """
     query = (stream.writeStream.outputMode("append").format("parquet")
              .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
              .trigger(availableNow=True).start())
@@ -50,7 +56,8 @@ class UserMetricsTable:
     A batch writes only its own sums per user and track, into a folder named
     after it; reading adds the sums up. A batch that runs again overwrites its
     folder, so every play counts once. :meth:`compact` folds finished batches
-    into one base, from time to time, to keep reading cheap.
+    into one base, from time to time, to keep reading cheap. It takes nothing
+    away: frames read before stay valid until :meth:`remove_replaced`.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -61,13 +68,10 @@ class UserMetricsTable:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _complete(self, kind: str) -> list[int]:
-        """Numbers of the completely written ``deltas`` or ``bases``."""
-        fs, root = self._fs(f"{self.folder}/{kind}")
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n) for n in names
-                      if n.isdigit() and fs.exists(self._fs(f"{self.folder}/{kind}/{n}/_SUCCESS")[1]))
+        """Numbers of the completely written ``deltas`` or ``bases``, in one listing."""
+        fs, marks = self._fs(f"{self.folder}/{kind}/*/_SUCCESS")
+        names = [s.getPath().getParent().getName() for s in fs.globStatus(marks) or []]
+        return sorted(int(n) for n in names if n.isdigit())
 
     def _current(self) -> tuple[int, list[str]]:
         """Last compacted batch (-1 if none) and the folders that make up the table."""
@@ -78,7 +82,8 @@ class UserMetricsTable:
 
     def apply(self, plays: DataFrame, batch_id: int) -> None:
         """Take in one batch of plays; for ``foreachBatch``."""
-        if batch_id > self._current()[0]:
+        bases = self._complete("bases")
+        if not bases or batch_id > bases[-1]:
             metric_parts(plays).write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch_id}")
 
     def _parts(self) -> DataFrame | None:
@@ -89,20 +94,27 @@ class UserMetricsTable:
         return merge_metric_parts(self.spark.read.schema(schema).parquet(*folders))
 
     def snapshot(self) -> DataFrame | None:
-        """The table as of the last batch; None before the first."""
+        """The table as of the last batch, with the time of reading as ``updated_at``; None before the first."""
         parts = self._parts()
-        return None if parts is None else metrics_of_parts(parts)
+        return None if parts is None else metrics_of_parts(parts).withColumn("updated_at", F.current_timestamp())
 
     def compact(self) -> None:
-        """Fold all batches so far into a new base and drop what it replaces."""
+        """Fold all batches so far into a new base."""
         deltas = self._complete("deltas")
-        done, replaced = self._current()
-        if not deltas or deltas[-1] <= done:
-            return
-        self._parts().write.mode("overwrite").parquet(f"{self.folder}/bases/{deltas[-1]}")
-        for old in replaced:
-            fs, path = self._fs(old)
-            fs.delete(path, True)
+        if deltas and deltas[-1] > self._current()[0]:
+            self._parts().write.mode("overwrite").parquet(f"{self.folder}/bases/{deltas[-1]}")
+
+    def remove_replaced(self, min_age_hours: float = 24.0) -> int:
+        """Delete folders that the current base replaced and that are older than any reader; returns how many."""
+        done = self._current()[0]
+        removed = 0
+        for kind in ("deltas", "bases"):
+            for n in self._complete(kind):
+                fs, path = self._fs(f"{self.folder}/{kind}/{n}")
+                age = time.time() - fs.getFileStatus(path).getModificationTime() / 1000
+                if (n < done or kind == "deltas" and n == done) and age >= min_age_hours * 3600:
+                    removed += bool(fs.delete(path, True))
+        return removed
 
     def follow(self, plays: DataFrame) -> DataFrame:
         """Process the plays at hand and return the table."""

@@ -134,6 +134,15 @@ def ab_balance(m):
     return ex.balance(m.assignments)
 
 
+@query("ab_ratio_test", "test_name, chi_square:d, p_value:d", uses="assignments", ctes="""
+ch as (select test_name, pow(n2 - (n1 + n2) / 2e0, 2) / ((n1 + n2) / 2e0) * 2 as chi_square
+ from (select test_name, count(distinct user_id) filter (variant = 'control') as n1, count(distinct user_id) filter (variant = 'treatment') as n2
+ from assignments group by 1) x)""", sql=f"select *, 2 * (1 - {phi('sqrt(ch.chi_square)')}) as p_value from ch")
+def ab_ratio_test(m):
+    """Whether the arms' sizes agree with the planned ratio."""
+    return ex.balance_test(m.assignments).select("test_name", "chi_square", "p_value")
+
+
 @query("ab_effects", EFFECTS, uses=BOTH, sql=effects_sql("results"))
 def ab_effects(m):
     return ex.effects(m.assignments, m.results)

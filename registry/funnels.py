@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from earshot.operators import funnels as fu
 from registry.base import query
 
@@ -119,3 +121,15 @@ c as (select (select count(*) from t0) as n0, (select count(*) from t1) as n1, (
        sql=stages_sql(list(zip(EVENT_STAGES, ("n0", "n1", "n2", "n3")))))
 def ordered_event_funnel(m):
     return fu.event_funnel(m.events, EVENT_STAGES)
+
+
+@query("playlist_progress_by_list", "user_id:i, day:date, playlist_id:i, tracks_completed:i, playlist_length:i, completion_ratio:d", uses="sessions tracks",
+       ctes="""k as (select track_id % 50 as playlist_id, count(*) as n from tracks group by 1),
+r as (select user_id, cast(timestamp as date) as day, track_id % 50 as playlist_id, count(*) filter (not coalesce(skipped, false)) as done
+ from sessions where context = 'playlist' group by 1, 2, 3)""", sql="""
+select user_id, day, r.playlist_id, done as tracks_completed, n as playlist_length, least(done * 1e0 / n, 1) as completion_ratio
+from r left join k on r.playlist_id = k.playlist_id""")
+def playlist_progress_by_list(m):
+    """Each playlist on its own with its own length; here a track belongs to one of fifty lists."""
+    plays = m.sessions.withColumn("playlist_id", F.col("track_id") % 50)
+    return fu.playlist_progress(plays, playlist_tracks=m.tracks.select((F.col("track_id") % 50).alias("playlist_id"), "track_id"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window, functions as F
 
 from earshot.models import metrics as mt
 from earshot.models.duration import SessionForecaster
 from earshot.models.skip import SkipPredictor
 from earshot.operators import features as fe, skip_features as sk
+from earshot.operators.preparation import mark_split
 from registry.base import SKIPD, query
 
 # A fixed score, so that metrics can be checked apart from any fit: the skip rate of
@@ -130,36 +132,93 @@ def lasso_forecasts(m):
     return _penalized(m, "lasso", 20.0)
 
 
-def _one_row(m, values: dict):
-    return m.spark.createDataFrame([tuple(float(v) for v in values.values())],
-                                   ", ".join(f"{k} double" for k in values))
+PLAY_KEY = ["session_id", "user_id", "track_id"]
 
 
-@query("skip_model_training")
-def skip_model_training(m):
-    """Train and validation metrics of the skip model on all plays."""
-    data = sk.skip_features(m.sessions, m.tracks)
-    return _one_row(m, SkipPredictor().train(data, sk.SKIP_FEATURES))
+def _trained_skip_model(m, names):
+    """The model, and the rows it was fitted on, split off again by the same hash."""
+    data = sk.skip_features(m.sessions, m.tracks).select(*PLAY_KEY, *names, "skipped").persist()
+    model = SkipPredictor()
+    model.train(data, names, key=PLAY_KEY)
+    return model, mark_split(data, PLAY_KEY, 0.2, 42, "skipped").where(~F.col("is_test"))
+
 
+SOME = ["energy", "hour", "user_historical_skip_rate", "track_skip_rate", "context_radio"]
 
-@query("skip_model_importance")
+
+@query("skip_model_training", "feature, stationary:b", sql=" union all ".join(
+    f"select '{f}' as feature, true as stationary" for f in SOME))
+def skip_model_training(m):
+    """Whether the fit is an optimum: the slope of the penalized loss along each coefficient."""
+    model, train = _trained_skip_model(m, SOME)
+    sizes = {r["skipped"]: r["count"] for r in train.groupBy("skipped").count().collect()}
+    total = sum(sizes.values())
+    y = F.col("skipped").cast("double")
+    weight = F.when(F.col("skipped") == 1, total / (2 * sizes[1])).otherwise(total / (2 * sizes[0]))
+    scored = model.pipeline.transform(train)
+    miss = weight * (vector_to_array("_probability")[1] - y)
+    slopes = scored.agg(*(F.avg(miss * F.col(f"_z_{f}")).alias(f) for f in SOME)).head()
+    return m.spark.createDataFrame(
+        [(f, abs(slopes[f] + c / (model.C * total)) < 1e-4) for f, c in zip(SOME, model.linear.coefficients.toArray().tolist())],
+        "feature string, stationary boolean")
+
+
+@query("skip_model_importance", "rank:i, falling:b", sql=f"select unnest(range(1, {len(SOME) + 1})) as rank, true as falling")
 def skip_model_importance(m):
-    model = SkipPredictor()
-    model.train(sk.skip_features(m.sessions, m.tracks), sk.SKIP_FEATURES)
-    return model.feature_importance(m.spark, 20)
+    """Ranks from 1 on, by falling absolute coefficient."""
+    model, _ = _trained_skip_model(m, SOME)
+    ranked = model.feature_importance(m.spark, 20)
+    before = F.lag("abs_coefficient").over(Window.orderBy("rank"))  # one row per feature
+    return ranked.select("rank", (F.coalesce(before >= F.col("abs_coefficient"), F.lit(True))).alias("falling"))
+
+
+@query("skip_model_predictions", "plays:i, sound:b", sql="select count(*) as plays, true as sound from sessions")
+def skip_model_predictions(m):
+    """Every play gets a probability within 0 and 1, and the class on its side of one half."""
+    model, _ = _trained_skip_model(m, SOME)
+    scored = model.predict(sk.skip_features(m.sessions, m.tracks))
+    sound = F.col("probability").between(0, 1) & ((F.col("probability") > 0.5) == (F.col("prediction") == 1))
+    return scored.agg(F.count("*").alias("plays"), F.min(sound).alias("sound"))
+
 
+# Ridge on two standardized features: the 2 x 2 normal equations, on the rows that the hash leaves for training.
+_RIDGE = _USERS + """, h as (select user_id, y, session_count as x1, coalesce(skip_rate, 0) as x2,
+ row_number() over (order by md5(concat('42:', cast(user_id as varchar)))) <= ceil(count(*) over () * 0.2e0) as is_test from u),
+t as (select count(*) * 1e0 as n, avg(y) as my, avg(x1) as m1, stddev_pop(x1) as s1, avg(x2) as m2, stddev_pop(x2) as s2, corr(x1, x2) as r,
+ covar_pop(x1, y) / stddev_pop(x1) as c1, covar_pop(x2, y) / stddev_pop(x2) as c2 from h where not is_test),
+w as (select *, n * ((n + 1) * c1 - n * r * c2) / (pow(n + 1, 2) - pow(n * r, 2)) as w1, n * ((n + 1) * c2 - n * r * c1) / (pow(n + 1, 2) - pow(n * r, 2)) as w2 from t),
+f as (select user_id, y, is_test, my + w1 * (x1 - m1) / s1 + w2 * (x2 - m2) / s2 as p from h, w)"""
+_TWO = ["session_count", "skip_rate"]
 
-@query("duration_model_training")
+
+def _ridge(m):
+    data = fe.forecast_features(m.sessions).fillna(0.0)
+    model = SessionForecaster(n_features=5)
+    return model, model.train(data, _TWO, key=["user_id"]), model._ready(data, ["user_id"], _TWO, "avg_duration")
+
+
+@query("duration_model_training", "part, r2:d, rmse:d, mae:d", ctes=_RIDGE, sql="""
+select case when is_test then 'val' else 'train' end as part, round(1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)), 5) as r2,
+ round(sqrt(avg(pow(y - p, 2))), 2) as rmse, round(avg(abs(y - p)), 2) as mae from f group by is_test""")
 def duration_model_training(m):
     """Train and validation metrics of the ridge model on all users."""
-    data = fe.forecast_features(m.sessions).fillna(0.0)
-    return _one_row(m, SessionForecaster(n_features=5).train(data, FORECAST, key=["user_id"]))
+    _, found, _ = _ridge(m)
+    rows = [(part, round(found[f"{part}_r2"], 5), round(found[f"{part}_rmse"], 2), round(found[f"{part}_mae"], 2)) for part in ("train", "val")]
+    return m.spark.createDataFrame(rows, "part string, r2 double, rmse double, mae double")
 
 
-@query("duration_model_forecasts")
+@query("duration_model_forecasts", "user_id:i, prediction:d", ctes=_RIDGE, sql="select user_id, round(p, 2) as prediction from f")
 def duration_model_forecasts(m):
-    data = fe.duration_features(m.sessions)
-    model = SessionForecaster(n_features=15)
-    model.train(data, ["session_count", "duration_std", "skip_rate", "avg_hour"], key=["user_id"])
-    return model.predict(data.withColumns({c: F.col(c).cast("double") for c in ("session_count",)})).select(
-        "user_id", "avg_duration", "prediction")
+    model, _, data = _ridge(m)
+    return model.predict(data).select("user_id", F.round("prediction", 2).alias("prediction"))
+
+
+@query("duration_model_cross_validation", "fold:i, r2:d", ctes=_USERS + """,
+h as (select y, coalesce(skip_rate, 0) as x, cast(strpos('0123456789abcdef', substr(md5(concat('42:', cast(user_id as varchar))), 1, 1)) - 1 as int) // 4 as fold from u),
+l as (select k, regr_slope(y, x) as b, regr_intercept(y, x) as a from h, (select unnest(range(4)) as k) g where fold <> k group by k)""", sql="""
+select fold, round(1 - sum(pow(y - a - b * x, 2)) / (var_pop(y) * count(*)), 5) as r2 from h join l on fold = k group by fold""")
+def duration_model_cross_validation(m):
+    """A line on one feature, each quarter of the hashes held out in turn."""
+    data = fe.forecast_features(m.sessions).fillna(0.0)
+    out = SessionForecaster("linear").cross_validate(data, ["skip_rate"], cv=4, key=["user_id"])
+    return m.spark.createDataFrame([(i, round(s, 5)) for i, s in enumerate(out["cv_scores"])], "fold int, r2 double")

@@ -95,6 +95,62 @@ def sample_fraction(m):
     return pr.sample(m.events, frac=0.1, seed=7, key=["event_id"]).select("event_id", "user_id")
 
 
+_FLAGS_HASH = """md5(concat('42:1:', l_returnflag, ':1:', l_linestatus, ':', length(cast(nth as varchar)), ':', cast(nth as varchar)))"""
+_FLAGS = """n as (select l_returnflag, l_linestatus, row_number() over (partition by l_returnflag, l_linestatus) as nth from lineitem)"""
+
+
+def _flags(m):
+    """Rows that repeat thousands of times."""
+    return m.raw("lineitem").select("l_returnflag", "l_linestatus")
+
+
+@query("sample_of_repeated_rows", "l_returnflag, l_linestatus, picked:i", uses="", ctes=_FLAGS, sql=f"""
+select l_returnflag, l_linestatus, count(*) as picked from (select * from n order by {_FLAGS_HASH} limit 700) p group by 1, 2""")
+def sample_of_repeated_rows(m):
+    """Copies of equal rows are numbered and picked one by one."""
+    return pr.sample(_flags(m), n=700).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("picked"))
+
+
+@query("split_of_repeated_rows", "l_returnflag, l_linestatus, is_test:b, row_count:i", uses="", ctes=_FLAGS, sql=f"""
+select l_returnflag, l_linestatus, is_test, count(*) as row_count from (select l_returnflag, l_linestatus,
+ row_number() over (order by {_FLAGS_HASH}) <= ceil(count(*) over () * 0.2e0) as is_test from n) p group by 1, 2, 3""")
+def split_of_repeated_rows(m):
+    df = _flags(m)
+    return pr.mark_split(df, df.columns).groupBy("l_returnflag", "l_linestatus", "is_test").agg(F.count("*").alias("row_count"))
+
+
+# Energy with both kinds of gaps: null as it is, NaN for every seventh track.
+_GAPS = "g as (select track_id, case when track_id % 7 <> 0 then energy end as energy from tracks)"
+
+
+def _with_gaps(m):
+    return m.tracks.select("track_id", F.when(F.col("track_id") % 7 == 0, float("nan")).otherwise(F.col("energy")).alias("energy"))
+
+
+@query("missing_counts_with_nan", "energy:i", uses="tracks", ctes=_GAPS, sql="select count(*) filter (energy is null) as energy from g")
+def missing_counts_with_nan(m):
+    return pr.null_counts(_with_gaps(m), ["energy"])
+
+
+def _nan_query(strategy, value):
+    @query(f"missing_{strategy}_with_nan", "track_id:i, energy:d", uses="tracks", ctes=_GAPS,
+           sql=f"select track_id, coalesce(energy, {value}) as energy from g")
+    def filled(m):
+        return pr.handle_missing(_with_gaps(m), strategy, columns=["energy"])
+
+
+_nan_query("mean", "(select avg(energy) from g)")
+_nan_query("median", "(select median(energy) from g)")
+_nan_query("mode", "(select energy from g where energy is not null group by 1 order by count(*) desc, 1 limit 1)")
+
+
+@query("standardize_with_nan", "track_id:i, energy:d", uses="tracks", ctes=_GAPS, sql="""
+select track_id, (energy - avg(energy) over ()) / stddev_pop(energy) over () as energy from g""")
+def standardize_with_nan(m):
+    """Missing values stay missing."""
+    return pr.standardize(_with_gaps(m), ["energy"]).select("track_id", F.when(~F.isnan("energy"), F.col("energy")).alias("energy"))
+
+
 _TRACK = "track_id:i, energy:d, genre"
 _TRACK_COLUMNS = ["track_id", "energy", "genre"]
 
@@ -173,3 +229,17 @@ def formatted_totals(m):
     totals = m.sessions.groupBy("user_id").agg(F.sum("listen_duration_ms").alias("ms"), F.count("*").alias("n"))
     return totals.select("user_id", format_duration("ms").alias("listened"),
                          format_number(F.col("n") * 37).alias("plays"))
+
+
+@query("validated_dates", "o_orderkey:i, day:ts", uses="", sql="""
+select o_orderkey, case when o_orderkey % 10 <> 0 then o_orderdate end as day from orders""")
+def validated_dates(m):
+    """Text dates parsed, those that are none become null in the lenient form."""
+    texts = m.raw("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, "no date").otherwise(
+        F.col("o_orderdate").cast("string")).alias("day"))
+    return qu.validate(texts, ["o_orderkey", "day"], ["day"], lenient=True)
+
+
+@query("validated_dates_strict", "o_orderkey:i, day:ts", uses="", sql="select o_orderkey, o_orderdate as day from orders")
+def validated_dates_strict(m):
+    return qu.validate(m.raw("orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("day")), ["day"], ["day"])

@@ -40,9 +40,14 @@ def stream_daily_active_users(m):
     return _drained(m, "dau", live.daily_active_users(_stream(m)))
 
 
-@query("stream_approximate_daily_users")
+@query("stream_approximate_daily_users", "date:date, near:b", uses="", sql=f"""
+select cast(ts as date) as date, true as near from events group by 1
+having cast(cast(ts as date) as timestamp) + interval '1' day <= {LATEST}""")
 def stream_approximate_daily_users(m):
-    return _drained(m, "approx-dau", live.approximate_daily_users(_stream(m)))
+    """Days the watermark has closed, and whether the sketch is within 5 % of the exact number."""
+    sketched = _drained(m, "approx-dau", live.approximate_daily_users(_stream(m)))
+    exact = m.events.groupBy(F.to_date("ts").alias("date")).agg(F.countDistinct("user_id").alias("exact"))
+    return sketched.join(exact, "date").select("date", (F.abs(F.col("dau") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
 
 
 @query("stream_rolling_rate", "window_start:ts, window_end:ts, events:i, hits:i, rate:d", uses="", sql=f"""
@@ -67,6 +72,16 @@ def stream_experiment_effects(m):
     return ex.effects_from_moments(moments)
 
 
+@query("stream_experiment_effects_shifted", EFFECTS, uses="", ctes=_EVENT_TEST.replace("value as metric_value", "value + 1.7e9 as metric_value"),
+       sql=effects_sql("r"))
+def stream_experiment_effects_shifted(m):
+    """The same with values far from zero, where sums of squares would cancel."""
+    assigned = ex.assign(m.events.select("user_id").distinct(), "value")
+    results = _stream(m).selectExpr("user_id", "'value' as test_name", "'value' as metric_name", "value + 1.7e9 as metric_value")
+    moments = sinks.drain_complete(live.experiment_moments(results, assigned), sinks.run_folder(m.spark, "moments"))
+    return ex.effects_from_moments(moments)
+
+
 @query("stream_user_metrics",
        "user_id:i, total_sessions:i, total_listen_time_ms:d, skip_rate:d, avg_session_duration_ms:d, unique_tracks_played:i, last_active_date:date",
        uses="", sql="""
@@ -78,4 +93,4 @@ def stream_user_metrics(m):
     plays = _stream(m).selectExpr("user_id", "event_type as track_id", "ts as timestamp", "value as listen_duration_ms",
                                   "event_type = 'error' as skipped")
     table = sinks.UserMetricsTable(m.spark, sinks.run_folder(m.spark, "user-metrics"))
-    return table.follow(plays).drop("unique_genres", "engagement_score")
+    return table.follow(plays).drop("unique_genres", "engagement_score", "updated_at")

@@ -94,7 +94,7 @@ def table_by_name(m):
     return readers.load_table(m.spark, "mart_users").groupBy("tier").agg(F.count("*").alias("users_by_tier"))
 
 
-@query("model_save_and_load")
+@query("model_save_and_load", "user_id:i, same:b", sql="select distinct user_id, true as same from sessions")
 def model_save_and_load(m):
     """Forecasts of a model written to and read from the shared folder."""
     data = fe.duration_features(m.sessions).withColumn("session_count", F.col("session_count").cast("double"))
@@ -102,11 +102,6 @@ def model_save_and_load(m):
     model.train(data, ["session_count", "duration_std", "skip_rate", "avg_hour"], key=["user_id"])
     folder = run_folder(m.spark, "model")
     model.save(folder)
-    return SessionForecaster.load(folder).predict(data).select("user_id", "prediction")
-
-
-@query("duration_model_cross_validation")
-def duration_model_cross_validation(m):
-    data = fe.duration_features(m.sessions)
-    out = SessionForecaster().cross_validate(data, ["duration_std", "skip_rate", "avg_hour"], cv=3, key=["user_id"])
-    return m.spark.createDataFrame([(i, s) for i, s in enumerate(out["cv_scores"])], "fold int, r2 double")
+    both = model.predict(data).select("user_id", F.col("prediction").alias("before")).join(
+        SessionForecaster.load(folder).predict(data).select("user_id", "prediction"), "user_id")
+    return both.select("user_id", (F.col("before") == F.col("prediction")).alias("same"))

@@ -7,7 +7,7 @@ from oracle_check import compare, duck
 
 from tests.conftest import SF_DIR
 
-TRAINING = {"skip_model_training", "skip_model_importance"}  # covered by test_models
+from registry import base
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - TRAINING))
+@pytest.mark.parametrize("name", sorted(base.QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, name, SF_DIR) == ""
 
@@ -24,5 +24,9 @@ def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
 
+def test_every_query_has_an_oracle():
+    assert set(base.ORACLE) == set(base.QUERIES)
+
+
 def test_oracles_belong_to_queries():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())

@@ -137,11 +137,17 @@ def test_metrics_table_follows_and_repeats_safely(spark, plays, tmp_path):
     table.apply(batches[2], 2)  # the same batch again, as after a failure
     everything = batches[0].unionByName(batches[1]).unionByName(batches[2])
     want = sorted(map(tuple, user_metrics(everything).collect()))
-    assert sorted(map(tuple, table.snapshot().collect())) == want
+    early = table.snapshot().drop("updated_at")
+    assert sorted(map(tuple, early.collect())) == want
     table.compact()
     table.compact()
     table.apply(batches[2], 2)  # and once more, after it was folded in
-    assert sorted(map(tuple, table.snapshot().collect())) == want
+    assert sorted(map(tuple, table.snapshot().drop("updated_at").collect())) == want
+    assert sorted(map(tuple, early.collect())) == want  # a frame from before the compaction stays valid
+    assert table.remove_replaced() == 0 and table._complete("deltas") == [0, 1, 2]
+    assert table.remove_replaced(min_age_hours=0) == 3
     assert table._complete("bases") == [2] and table._complete("deltas") == []
+    assert sorted(map(tuple, table.snapshot().drop("updated_at").collect())) == want
+    assert table.snapshot().where("updated_at is null").isEmpty()
     table.apply(plays(("a", "2024-01-04 10:00")), 3)
     assert {r.user_id: r.total_sessions for r in table.snapshot().collect()} == {"a": 2, "b": 2, "c": 1}
