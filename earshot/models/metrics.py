@@ -57,14 +57,10 @@ def roc_curve(scored: DataFrame, label: str = "label", score: str = "probability
 
     The first point has an infinite threshold.
     """
-    groups = _by_score(scored, label, score).withColumn("one", F.lit(1))
-    points = running_totals(groups, "score", ["pos", "neg", "one"], descending=True)
-    following = points.select((F.col("one_before") - 1).alias("at"), F.col("pos").alias("next_pos"),
-                              F.col("neg").alias("next_neg"))
+    groups = _by_score(scored, label, score)
+    points = running_totals(groups, "score", ["pos", "neg"], descending=True, following=["pos", "neg"])
     if drop_intermediate:
-        points = (points.join(following, F.col("one_before") == F.col("at"), "left")
-                  .where(F.col("at").isNull() | (F.col("next_pos") != F.col("pos"))
-                         | (F.col("next_neg") != F.col("neg"))))
+        points = points.where(F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
     totals = groups.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
     curve = points.select(ratio(F.col("neg_before") + F.col("neg"), totals["n"], None).alias("fpr"),
                           ratio(F.col("pos_before") + F.col("pos"), totals["p"], None).alias("tpr"),

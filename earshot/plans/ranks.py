@@ -7,30 +7,50 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 _ACCURACY = 10_000
 
+#: Rows that one range may hold before more ranges are made.
+_ROWS = 1_000_000
+
+
+def _cuts(df: DataFrame, order: str, buckets: int) -> tuple[list, int]:
+    """Values that cut the rows into near equal ranges, and the number of rows, in one pass."""
+    points = [i / buckets for i in range(1, buckets)]
+    found, n = df.select(F.percentile_approx(order, points, max(_ACCURACY, 20 * buckets)), F.count("*")).head()
+    return found or [], n
+
 
 def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = False,
-                   buckets: int = 512) -> DataFrame:
+                   buckets: int = 512, following: list[str] = ()) -> DataFrame:
     """Add ``<name>_before``: the sum of ``name`` over all rows earlier in order.
 
-    ``df`` must have one row per value of the numeric column ``order``. Rows
-    go to ``buckets`` ranges of near equal size; totals per range are
-    accumulated over one row per range, rows within their range. One window
-    over everything would put all rows into a single task.
+    ``following`` names columns whose value in the next row in order is added
+    as ``next_<name>``, null in the last row. ``df`` must have one row per
+    value of the numeric column ``order``. Rows go to ranges of near equal
+    size, ``buckets`` of them or more, so that none holds more than about
+    :data:`_ROWS` rows; totals per range are accumulated over one row per
+    range, rows within their range. One window over everything would put all
+    rows into a single task.
     """
-    points = [i / buckets for i in range(1, buckets)]
-    cuts = df.select(F.percentile_approx(order, points, _ACCURACY)).head()[0] or []
+    cuts, n = _cuts(df, order, buckets)
+    if n > buckets * _ROWS:
+        cuts, _ = _cuts(df, order, -(-n // _ROWS))
     splits = [float("-inf"), *sorted(set(float(c) for c in cuts)), float("inf")]
     ranged = (Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep")
               .transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order"))
     bucket_order, row_order = (F.desc("_bucket"), F.desc(order)) if descending else ("_bucket", order)
-    earlier = Window.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (ranged.groupBy("_bucket").agg(*(F.sum(s).alias(s) for s in sums))
-              .select("_bucket", *(F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_{s}") for s in sums)))
-    inside = Window.partitionBy("_bucket").orderBy(row_order).rowsBetween(Window.unboundedPreceding, -1)
+    over_buckets, inside = Window.orderBy(bucket_order), Window.partitionBy("_bucket").orderBy(row_order)
+    earlier, above = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (over_buckets, inside))
+    own = F.struct(*following) if following else F.lit(None).cast("int")
+    first = (F.max_by if descending else F.min_by)(own, F.col(order)).alias("_first")
+    totals = (ranged.groupBy("_bucket").agg(*(F.sum(s).alias(s) for s in sums), first)
+              .select("_bucket", *(F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_{s}") for s in sums),
+                      F.lead("_first").over(over_buckets).alias("_after")))
     out = ranged.join(totals, "_bucket")
-    for s in sums:
-        out = out.withColumn(f"{s}_before", F.col(f"_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0)))
-    return out.drop("_bucket", *(f"_{s}" for s in sums))
+    added = {f"{s}_before": F.col(f"_{s}") + F.coalesce(F.sum(s).over(above), F.lit(0)) for s in sums}
+    if following:
+        added["_next"] = F.coalesce(F.lead(own).over(inside), F.col("_after"))
+    out = out.withColumns(added)
+    out = out.withColumns({f"next_{c}": F.col(f"_next.{c}") for c in following}) if following else out
+    return out.drop("_bucket", "_after", "_next", *(f"_{s}" for s in sums))
 
 
 def exact_medians(df: DataFrame, columns: list[str], small: int = 10_000) -> dict[str, float | None]:
