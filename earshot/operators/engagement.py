@@ -8,7 +8,7 @@ from earshot.functions.numbers import percent, ratio, round_half_up, skip_flag
 from earshot.functions.times import (
     age_days, floor_days, hour_of, period_start, right_closed_bin, weekday_name,
 )
-from earshot.plans.calendar import active_days, users_per_day
+from earshot.plans.calendar import active_days, day_list, users_per_day
 from earshot.operators.plays import (
     mean_listen, merge_totals, play_totals, skip_percent, skip_share, totals_by_track,
 )
@@ -241,9 +241,11 @@ def listening_heatmap(sessions: DataFrame) -> DataFrame:
 
 def retention_curve(users: DataFrame, sessions: DataFrame, days: int = 30) -> DataFrame:
     """Share of all users active exactly 0..``days`` days after signup."""
-    active = sessions.select("user_id", F.to_date("timestamp").alias("day_active")).distinct()
-    since = (active.join(users.select("user_id", "signup_date"), "user_id")
-             .select("user_id", floor_days("day_active", "signup_date").alias("day"))
+    # Months that can hold a wanted day meet their user as bit sets; only then do bits become days.
+    near = ((F.col("month") >= F.trunc("signup_date", "month")) & (F.col("month") <= F.date_add(F.to_date("signup_date"), days + 1)))
+    active = (active_days(sessions).join(users.select("user_id", "signup_date"), "user_id").where(near)
+              .select("user_id", "signup_date", F.explode(day_list()).alias("day_active")))
+    since = (active.select("user_id", floor_days("day_active", "signup_date").alias("day"))
              .where(F.col("day").between(0, days)))
     counts = since.groupBy("day").agg(F.countDistinct("user_id").alias("users"))
     everyone = users.agg(F.countDistinct("user_id")).scalar()
