@@ -6,9 +6,10 @@ import json
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from earshot.operators.preparation import hash_share, mark_split
+from earshot.plans.hashpick import row_hash
 
 
 class LinearModel:
@@ -45,6 +46,19 @@ class LinearModel:
     def _fold(self, key: list[str], folds: int):
         return F.floor(hash_share(key, self.random_state) * folds).cast("int")
 
+    def _stratified_folds(self, df: DataFrame, key: list[str], label: str, folds: int) -> DataFrame:
+        """``df`` with ``_fold``: every class is dealt evenly over the folds.
+
+        Rows are counted by class and hash cell; the running count of a class says which fold a cell belongs to. A class
+        has at most 4,096 cells, so their window and the join are small whatever the rows.
+        """
+        celled = df.where(F.col(label).isNotNull()).withColumn("_cell", F.substring(row_hash(key, self.random_state), 1, 3))
+        cells = celled.groupBy(label, "_cell").agg(F.count("*").alias("_n"))
+        of_class = Window.partitionBy(label)
+        before = F.sum("_n").over(of_class.orderBy("_cell")) - F.col("_n")
+        placed = cells.select(label, "_cell", F.floor(before * folds / F.sum("_n").over(of_class)).cast("int").alias("_fold"))
+        return celled.join(placed, [label, "_cell"]).drop("_cell")
+
     @staticmethod
     def _scaling(df: DataFrame, features: list[str]) -> list:
         """Stages from raw columns to a standardized vector.

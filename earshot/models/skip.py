@@ -80,9 +80,9 @@ class SkipPredictor(LinearModel):
 
     def cross_validate(self, df: DataFrame, features: list[str], label: str = "skipped", cv: int = 5,
                        key: list[str] | None = None) -> dict:
-        """AUC over ``cv`` hash folds: mean, population deviation, scores."""
+        """AUC over ``cv`` hash folds with even shares of both classes: mean, population deviation, scores."""
         names = list(dict.fromkeys([*(key or []), *features, label]))
-        data = df.select(*names).withColumn("_fold", self._fold(key or names, cv)).persist()
+        data = self._stratified_folds(df.select(*names), key or names, label, cv).persist()
         scores = []
         try:
             for k in range(cv):

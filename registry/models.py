@@ -181,6 +181,19 @@ def skip_model_predictions(m):
     return scored.agg(F.count("*").alias("plays"), F.min(sound).alias("sound"))
 
 
+@query("skip_model_folds", "fold:i, label:i, plays:i", ctes="""
+h as (select cast(skipped as int) as label, substr(md5(concat('42:', length(cast(session_id as varchar)), ':', session_id, ':',
+  length(cast(user_id as varchar)), ':', user_id, ':', length(cast(track_id as varchar)), ':', track_id)), 1, 3) as cell from sessions),
+c as (select label, cell, count(*) as n from h group by 1, 2),
+f as (select label, n, floor((sum(n) over (partition by label order by cell) - n) * 4e0 / sum(n) over (partition by label)) as fold from c)""",
+       sql="select fold, label, sum(n) as plays from f group by 1, 2")
+def skip_model_folds(m):
+    """Plays by fold and class of the cross validation."""
+    data = m.sessions.select(*PLAY_KEY, F.col("skipped").cast("int").alias("label"))
+    return SkipPredictor()._stratified_folds(data, PLAY_KEY, "label", 4).groupBy(F.col("_fold").alias("fold"), "label").agg(
+        F.count("*").alias("plays"))
+
+
 # Ridge on two standardized features: the 2 x 2 normal equations, on the rows that the hash leaves for training.
 _RIDGE = _USERS + """, h as (select user_id, y, session_count as x1, coalesce(skip_rate, 0) as x2,
  row_number() over (order by md5(concat('42:', cast(user_id as varchar)))) <= ceil(count(*) over () * 0.2e0) as is_test from u),
