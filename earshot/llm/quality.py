@@ -145,6 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, trees: int
     texts = rows.join(F.broadcast(known), F.col("doc.doc_id").cast("long") == F.col("labelled id"))
     told = texts.select(F.struct("label").alias("doc"), "text")
     sample = materialize(with_statistics(told).select(F.col("doc.label").alias("label"), *STATS), "quality-sample")
+    # Some megabytes at most, from as many files as there were tasks; every pass of the fits would visit each of them.
+    sample = sample.coalesce(8)
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(classes) < 2:
         return _constant(1.0 if 1.0 in classes or not classes else 0.0)
