@@ -331,8 +331,13 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words_in: int = 4, radius: int = 4) -> DataFrame:
     """(id, print, component): each row's fingerprint and the smallest id linked to it, directly or not."""
     prints = materialize(fingerprints(docs, words_in), "simhash")
+    return grouped(prints, print_links(prints.select("print").distinct(), radius))
+
+
+def grouped(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, print, component): each row of ``prints`` and the smallest id that ``links`` between prints connect it to."""
     distinct = prints.groupBy("print").agg(F.min("id").alias("least"))
-    roots = components(print_links(distinct.select("print"), radius))
+    roots = components(links)
     classes = distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component"))
     return prints.join(classes.select("print", "root").join(smallest, "root").select("print", "component"), "print")
@@ -347,7 +352,11 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 def keep_first_of_group(docs: DataFrame, words_in: int = 4, radius: int = 4) -> DataFrame:
     """One row of ``docs`` for each component, that of the smallest id; of rows that repeat this id, one."""
-    found = near_duplicates(docs.select("doc_id", "text"), words_in, radius)
+    return keep_smallest(docs, near_duplicates(docs.select("doc_id", "text"), words_in, radius))
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``found``, that of the smallest id; of rows that repeat this id, one."""
     kept = found.filter(F.col("id") == F.col("component")).select("id").distinct()
     rows = carried(docs).select("doc", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(NULL_ID)).alias("id"))
     stay = rows.join(kept, "id", "left_semi")
