@@ -16,8 +16,10 @@ with one key travels as one short string. Five steps, all of whose groups are bo
    smaller id is marked.
 5. ``block``: marks become removed bytes.
 
-A text is written to the shuffle once; the three block steps read the same exchange. A passage that any number of
-documents share sends one run per block, so no group grows with the number of its copies.
+A text is written to the shuffle once; the three block steps read the same exchange. Inside a passage that any number of
+documents share, equal runs are sent once per block. At its ends runs hold bytes of the surroundings too, so they differ
+in each document. Blocks therefore tell the bytes of a key's distinct runs in step 1, and the suffixes of a key that exceeds
+``hot_bytes`` in all travel one by one in step 3, once per block, dealt by a hash of their ``length`` bytes.
 
 Edge cases: a null text is empty; texts under ``length`` bytes lose nothing; a null id counts as the smallest; rows of
 one id never remove each other's bytes, so repeated rows give equal results; an empty table gives an empty result;
@@ -40,6 +42,10 @@ from earshot.llm.base import given_id, keyed_texts, text_bytes
 
 #: Bytes of text in a block, and about the bytes of runs in a bucket.
 BLOCK_BYTES = 4 << 20
+#: Bytes of distinct runs from which a key's suffixes are dealt one by one.
+HOT_BYTES = BLOCK_BYTES // 4
+#: Runs of a key in a block from which equal ones are told apart to find their bytes, and the unit these are told in.
+MANY_RUNS, UNIT = 16, 64
 #: Bytes worked on at once, so that temporaries stay in the processor's cache.
 CHUNK = 1 << 18
 #: Suffixes of one run; longer runs of one key are cut, each part keeps the key.
@@ -173,6 +179,18 @@ class Block:
         self.first, self.count, self.keys = heads, ends - heads, keys[heads] if len(heads) else keys[:0]
         self.doc = np.searchsorted(self.starts, heads, side="right") - 1
 
+    def units(self, keys: np.ndarray) -> np.ndarray:
+        """Bytes of the runs of each of the distinct keys in units; of many runs with one key, equal ones count once."""
+        by_key, number = np.argsort(keys), np.empty(0, dtype=np.int64)
+        if len(keys):
+            number = by_key[np.searchsorted(keys[by_key], self.keys)]
+        many = np.flatnonzero(np.bincount(number, minlength=len(keys))[number] > MANY_RUNS)
+        alone = np.ones(len(number), dtype=bool)
+        alone[many] = False
+        alone[many[numbered(self.data, self.first[many], self.count[many] + self.length - 1)[1]]] = True
+        size = np.bincount(number[alone], weights=self.count[alone] + self.length - 1, minlength=len(keys))
+        return np.minimum(-(-size // UNIT), (1 << 32) - 1).astype("<u4")
+
     def distinct_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct keys, and whether documents of different ids hold the key."""
         order = np.argsort(self.keys, kind="stable")
@@ -192,15 +210,27 @@ class Block:
         return keys[order], twice[order], place[order]
 
     def shared_runs(self, wanted: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Runs whose keys have their bit set, and the number of each one's content."""
+        """Runs whose keys have their bit set, and the number of each one's content; of hot keys, each suffix is a run."""
         keys, _, place = self.by_bucket(buckets)
-        keep = np.zeros(len(keys), dtype=bool)
+        keep, hot = np.zeros((2, len(keys)), dtype=bool)
         at, ends = _edges(place)
         for a, z in zip(at.tolist(), ends.tolist()):
             bits = wanted.get(int(place[a]))
             if bits is not None:
-                keep[a:z] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=z - a)
+                keep[a:z], hot[a:z] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8).reshape(2, -1), axis=1, count=z - a)
+        self.place = _bucket(self.keys, buckets)
         picked = np.flatnonzero(np.isin(self.keys, keys[keep]))
+        split = np.isin(self.keys[picked], keys[hot])
+        if split.any():
+            # The runs stay in order of position, which is that of ids.
+            times = np.where(split, self.count[picked], 1)
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            one, picked = np.repeat(split, times), np.repeat(picked, times)
+            self.first, self.count = self.first[picked] + nth, np.where(one, 1, self.count[picked])
+            self.keys, self.doc, self.place = self.keys[picked], self.doc[picked], self.place[picked]
+            hashes = _mixed(run_hashes(self.data, self.first[one], np.full(int(one.sum()), self.length)))
+            self.place[one] = _bucket(hashes, buckets)
+            picked = np.arange(len(picked))
         return picked, numbered(self.data, self.first[picked], self.count[picked] + self.length - 1)[0]
 
 
@@ -258,7 +288,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((_cut(keys) * _u64(0xD6E8FEB86659FD93)) >> _u64(16)) % _u64(buckets)
 
 
-_KEYS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
+_KEYS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary()), ("units", pa.binary())])
 _WANTED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
 _RUNS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("numbers", pa.binary()), ("ids", pa.binary()),
                    ("keys", pa.binary()), ("counts", pa.binary()), ("text", pa.binary())])
@@ -276,26 +306,34 @@ def _freed(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
 
 def _list_keys(length: int, gram: int, buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        keys, twice, place = Block(group, length, gram).by_bucket(buckets)
+        block = Block(group, length, gram)
+        keys, twice, place = block.by_bucket(buckets)
+        units = block.units(keys)
         at, ends = _edges(place)
         number = group.column("block")[0].as_py()
         return pa.table([[number] * len(at), place[at].astype(np.int64), [_packed_keys(_cut(keys[a:z])) for a, z in zip(at, ends)],
-                         [np.packbits(twice[a:z]).tobytes() for a, z in zip(at, ends)]], schema=_KEYS)
+                         [np.packbits(twice[a:z]).tobytes() for a, z in zip(at, ends)],
+                         [_squeezed(units[a:z]) for a, z in zip(at, ends)]], schema=_KEYS)
     return run
 
 
-def _shared_keys(group: pa.Table) -> pa.Table:
-    """To each block one bit for each key that it sent to this bucket: whether it is shared."""
-    keys = [_unpacked_keys(k.as_py()) for k in group.column("keys")]
-    twice = [np.unpackbits(np.frombuffer(t.as_py(), dtype=np.uint8), count=len(k)).astype(bool) for t, k in zip(group.column("twice"), keys)]
-    _, number, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    shared = count > 1
-    shared[number[np.concatenate(twice)]] = True
-    bits, at = [], 0
-    for own in keys:
-        bits.append(np.packbits(shared[number[at:at + len(own)]]).tobytes())
-        at += len(own)
-    return pa.table([group.column("block"), group.column("bucket"), bits], schema=_WANTED)
+def _shared_keys(hot_bytes: int):
+    """To each block two bits for each key that it sent to this bucket: whether it is shared, and whether it is hot too."""
+    def run(group: pa.Table) -> pa.Table:
+        keys = [_unpacked_keys(k.as_py()) for k in group.column("keys")]
+        twice = [np.unpackbits(np.frombuffer(t.as_py(), dtype=np.uint8), count=len(k)).astype(bool) for t, k in zip(group.column("twice"), keys)]
+        _, number, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        shared = count > 1
+        shared[number[np.concatenate(twice)]] = True
+        units = np.bincount(number, weights=np.concatenate(_freed(group.column("units"), "<u4")))
+        hot = shared & (units * UNIT > hot_bytes)
+        bits, at = [], 0
+        for own in keys:
+            mine = number[at:at + len(own)]
+            bits.append(np.packbits(np.stack([shared[mine], hot[mine]]), axis=1).tobytes())
+            at += len(own)
+        return pa.table([group.column("block"), group.column("bucket"), bits], schema=_WANTED)
+    return run
 
 
 def _bits_by_bucket(wanted: pa.Table) -> dict[int, bytes]:
@@ -311,7 +349,7 @@ def _send_runs(length: int, gram: int, buckets: int):
         # Runs are in order of id, and np.unique gives the first of each number: the holder of smallest id.
         numbers, first = np.unique(number, return_index=True)
         lead = picked[first]
-        place = _bucket(block.keys[lead], buckets)
+        place = block.place[lead]
         order = np.argsort(place, kind="stable")
         rows: dict[str, list] = {f.name: [] for f in _RUNS}
         for a, z in zip(*_edges(place[order])):
@@ -519,7 +557,8 @@ def _remove(length: int, gram: int, buckets: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, block_bytes: int = BLOCK_BYTES,
+                   hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(id, n_bytes, spans, kept_sha256) per row: removed byte ranges as start, end, start, end, ... and the digest of the rest."""
     if not 0 < gram <= length:
         raise ValueError("gram must lie between 1 and length")
@@ -528,8 +567,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, block_byte
     blocks = max(1, -(-total // block_bytes))
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
     listed = dealt.groupBy("block").applyInArrow(
-        _list_keys(length, gram, blocks), "block long, bucket long, keys binary, twice binary")
-    wanted = listed.groupBy("bucket").applyInArrow(_shared_keys, "block long, bucket long, bits binary")
+        _list_keys(length, gram, blocks), "block long, bucket long, keys binary, twice binary, units binary")
+    wanted = listed.groupBy("bucket").applyInArrow(_shared_keys(hot_bytes), "block long, bucket long, bits binary")
     runs = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
         _send_runs(length, gram, blocks), "block long, bucket long, numbers binary, ids binary, keys binary, counts binary, text binary")
     marks = runs.groupBy("bucket").applyInArrow(_mark_runs(length), "block long, numbers binary, marks binary")
