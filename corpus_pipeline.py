@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import base, bpe, decontamination, line_dedup, near_copies, quality
+from earshot.llm import base, bpe, decontamination, line_dedup, quality, simhash
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles of similarity 0.8 or more, the one of smallest id stays."""
+    """Of documents whose fingerprints are linked, the one of smallest id stays: shingles of four words, at most four bits apart."""
     base.prepare(spark)
-    return near_copies.keep_first_of_copies(docs)
+    return simhash.keep_first_of_group(docs, words_in=4, radius=4)
 
 
 def drop_leaked_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("byte_bpe", tokenize),
 ]
 
-#: Classifier weights, shingle sets and merges of tokens are beyond SQL; tests hold the stages against plain versions.
+#: Classifier weights, fingerprints and merges of tokens are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
