@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import bpe, chat, decontamination, licenses, line_dedup, minhash, pii, quality, simhash, suffix_dedup
+from earshot.llm import (bpe, chat, decontamination, licenses, line_dedup, merkle, minhash, pii, quality, ranked_search, sharding, simhash,
+                         suffix_dedup)
 from earshot.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +79,26 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked_search.search_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and inclusion proofs of all documents, some of them tampered with."""
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty shards of equally many documents that keep equal texts together."""
+    return sharding.sharding_report(table(spark, sf_dir, "documents"))
+
+
 ORACLE["op1_decontamination"] = decontamination.ORACLE_SQL
 ORACLE["op6_chat"] = chat.ORACLE_SQL
 ORACLE["op9_line_dedup"] = line_dedup.ORACLE_SQL
+ORACLE["op11_ranked_search"] = ranked_search.ORACLE_SQL
+ORACLE["op12_merkle"] = merkle.ORACLE_SQL
