@@ -164,14 +164,18 @@ def effects(assignments: DataFrame, results: DataFrame, alpha: float = SIGNIFICA
 def effects_from_moments(moments: DataFrame, alpha: float = SIGNIFICANCE) -> DataFrame:
     """The same from n, mean and squared deviations from the mean (``m2``) per test, metric and arm.
 
-    This is what a running stream keeps up to date. Several rows of an arm are
-    merged: their squared deviations, and those of their means from the whole mean.
+    This is what a running stream keeps up to date. Means are counted from ``pivot``, where there is such a column. Several
+    rows of an arm are merged: their squared deviations, and those of their means from the whole mean. All differences are
+    taken between numbers near zero; the pivot is added to the means at the end.
     """
+    given = F.col("pivot") if "pivot" in moments.columns else F.lit(0.0)
+    metric = Window.partitionBy("test_name", "metric_name")  # a row per arm and batch at most
     same = Window.partitionBy("test_name", "metric_name", "variant")
+    placed = moments.withColumn("origin", F.min(given).over(metric)).withColumn("mean", F.col("mean") + (given - F.col("origin")))
     near = F.min("mean").over(same)  # sums of distances from it do not cancel
     middle = near + ratio(F.sum(F.col("n") * (F.col("mean") - near)).over(same), F.sum("n").over(same), None)
-    placed = moments.withColumn("middle", middle)
-    aggregates = []
+    placed = placed.withColumn("middle", middle)
+    aggregates = [F.min("origin").alias("origin")]
     for arm in _ARMS:
         def of(column, arm=arm):
             return F.when(F.col("variant") == arm, column)
@@ -180,10 +184,12 @@ def effects_from_moments(moments: DataFrame, alpha: float = SIGNIFICANCE) -> Dat
         spread = F.sum(of(F.col("m2") + F.col("n") * apart * apart))
         aggregates += [F.max(of(F.col("middle"))).alias(f"{arm}_mean"), F.when(n > 1, F.sqrt(ratio(spread, n - 1, None))).alias(f"{arm}_std"),
                        F.coalesce(n, F.lit(0)).alias(f"{arm}_n")]
-    return _with_effects(placed.groupBy("test_name", "metric_name").agg(*aggregates), alpha)
+    return _with_effects(placed.groupBy("test_name", "metric_name").agg(*aggregates), alpha, F.col("origin"))
 
 
-def _with_effects(rows: DataFrame, alpha: float) -> DataFrame:
+def _with_effects(rows: DataFrame, alpha: float, origin: Column | None = None) -> DataFrame:
+    """``origin``: what the means are counted from."""
+    origin = F.lit(0.0) if origin is None else origin
     c = {name: F.col(name) for name in rows.columns}
     n1, n2 = c["control_n"], c["treatment_n"]
     v1, v2 = c["control_std"] * c["control_std"], c["treatment_std"] * c["treatment_std"]
@@ -196,9 +202,9 @@ def _with_effects(rows: DataFrame, alpha: float) -> DataFrame:
     # Two constant arms that differ: the difference is beyond any doubt.
     t = F.coalesce(ratio(effect, se, None), F.when((se == 0) & (effect != 0), F.signum(effect) * F.lit(float("inf"))))
     return rows.select(
-        "test_name", "metric_name", "control_mean", "treatment_mean", "control_std", "treatment_std",
-        "control_n", "treatment_n", effect.alias("absolute_effect"),
-        F.when(effect.isNotNull(), ratio(effect, c["control_mean"])).alias("relative_effect"),
+        "test_name", "metric_name", *((origin + F.col(f"{arm}_mean")).alias(f"{arm}_mean") for arm in _ARMS),
+        "control_std", "treatment_std", "control_n", "treatment_n", effect.alias("absolute_effect"),
+        F.when(effect.isNotNull(), ratio(effect, origin + c["control_mean"])).alias("relative_effect"),
         se.alias("standard_error"), t.alias("t_statistic"),
         df.alias("degrees_of_freedom"), (effect - half).alias("ci_lower"), (effect + half).alias("ci_upper"),
         F.when(effect.isNotNull() & pooled.isNotNull(), ratio(effect, pooled)).alias("effect_size"))

@@ -48,16 +48,33 @@ def rolling_rate(events: DataFrame, flag: Column, ts: str = "ts", length: str =
                     "hits", ratio("hits", "events", None).alias("rate")))
 
 
-def experiment_moments(results: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Count, mean and squared deviations from it (``m2``) per test, metric and arm.
+def experiment_moments(results: DataFrame, assignments: DataFrame, pivot: float = 0.0) -> DataFrame:
+    """Count, mean above ``pivot`` and squared deviations from it (``m2``) per test, metric and arm.
 
-    Unlike sums of squares these do not cancel where values are large and close together.
+    ``pivot`` is the mean that the plan expects. It is taken off before anything is summed, so sums stay as small as what the
+    arms differ by, and squared deviations, unlike sums of squares, do not cancel where values lie close together.
 
     ``assignments`` is a table. A handful of state rows; use update or complete
     mode, and ``effects_from_moments`` on the outcome.
     """
-    x = F.col("metric_value")
-    return (results.where(x.isNotNull()).join(assignments.select("user_id", "test_name", "variant"),
-                                              ["user_id", "test_name"])
-            .groupBy("test_name", "metric_name", "variant")
-            .agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2")))
+    return _arm_values(results, assignments, pivot).groupBy("test_name", "metric_name", "variant").agg(*_moments(pivot))
+
+
+def daily_moments(results: DataFrame, assignments: DataFrame, ts: str = "ts", pivot: float = 0.0,
+                  delay: str = "1 hour") -> DataFrame:
+    """The same per day, closed by the watermark: what ``sequential.looks`` needs."""
+    timed = results.withWatermark(ts, delay)
+    return (_arm_values(timed, assignments, pivot).groupBy(F.window(ts, "1 day").alias("_day"), "test_name", "metric_name", "variant")
+            .agg(*_moments(pivot)).withColumn("day", F.to_date("_day.start")).drop("_day"))
+
+
+def _arm_values(results: DataFrame, assignments: DataFrame, pivot: float) -> DataFrame:
+    return (results.where(F.col("metric_value").isNotNull() & ~F.isnan(F.col("metric_value").cast("double")))
+            .withColumn("_above", F.col("metric_value") - F.lit(float(pivot)))
+            .join(assignments.select("user_id", "test_name", "variant"), ["user_id", "test_name"]))
+
+
+def _moments(pivot: float) -> list[Column]:
+    x = F.col("_above")
+    return [F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"),
+            F.first(F.lit(float(pivot))).alias("pivot")]

@@ -17,16 +17,21 @@ EFFECTS = ("test_name, metric_name, control_mean:d, treatment_mean:d, control_st
            "absolute_effect:d, relative_effect:d, standard_error:d, t_statistic:d, degrees_of_freedom:d, ci_lower:d, ci_upper:d, effect_size:d")
 
 
-def effects_sql(results: str) -> str:
+def effects_sql(results: str, pivot: str = "0e0", digits: int | None = None) -> str:
+    """``pivot`` is taken off the values before anything is summed; means are given to so many ``digits``."""
+    def rounded(x):
+        return x if digits is None else f"round({x}, {digits})"
+    value = "metric_value" if pivot == "0e0" else f"(metric_value - {pivot})"
+    m1 = "m1" if pivot == "0e0" else f"(m1 + {pivot})"
     return f"""
-select test_name, metric_name, m1 as control_mean, m2 as treatment_mean, s1 as control_std, s2 as treatment_std,
- n1 as control_n, n2 as treatment_n, m2 - m1 as absolute_effect, coalesce((m2 - m1) / nullif(m1, 0), 0) as relative_effect,
+select test_name, metric_name, {rounded(m1)} as control_mean, {rounded(m1.replace('m1', 'm2'))} as treatment_mean, s1 as control_std, s2 as treatment_std,
+ n1 as control_n, n2 as treatment_n, m2 - m1 as absolute_effect, coalesce((m2 - m1) / nullif({m1}, 0), 0) as relative_effect,
  sqrt(s1 * s1 / n1 + s2 * s2 / n2) as standard_error, (m2 - m1) / sqrt(s1 * s1 / n1 + s2 * s2 / n2) as t_statistic,
  pow(s1 * s1 / n1 + s2 * s2 / n2, 2) / (pow(s1 * s1 / n1, 2) / (n1 - 1) + pow(s2 * s2 / n2, 2) / (n2 - 1)) as degrees_of_freedom,
  m2 - m1 - {Z} * sqrt(s1 * s1 / n1 + s2 * s2 / n2) as ci_lower, m2 - m1 + {Z} * sqrt(s1 * s1 / n1 + s2 * s2 / n2) as ci_upper,
  (m2 - m1) / sqrt(((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / (n1 + n2 - 2)) as effect_size
-from (select a.test_name, metric_name, avg(metric_value) filter (variant = 'control') as m1, avg(metric_value) filter (variant = 'treatment') as m2,
- stddev_samp(metric_value) filter (variant = 'control') as s1, stddev_samp(metric_value) filter (variant = 'treatment') as s2,
+from (select a.test_name, metric_name, avg({value}) filter (variant = 'control') as m1, avg({value}) filter (variant = 'treatment') as m2,
+ stddev_samp({value}) filter (variant = 'control') as s1, stddev_samp({value}) filter (variant = 'treatment') as s2,
  count(*) filter (variant = 'control') as n1, count(*) filter (variant = 'treatment') as n2
  from assignments a join {results} r on a.user_id = r.user_id and a.test_name = r.test_name group by 1, 2) g"""
 
