@@ -3,8 +3,9 @@
 Windowed operators drop what lies behind their watermark without a trace. :func:`follow` runs in front of them. Each
 batch is written in one pass, divided into rows in time and late ones; the same pass counts both and finds the latest time
 (``DataFrame.observe``), which is stored beside the batch. The horizon of a batch is the latest time of all earlier
-batches less the allowed delay, the rule of Spark's own watermarks. A batch that is run again finds the same horizon and
-overwrites its own folder, so each row counts once.
+batches less the allowed delay, as Spark's own watermarks have it; what a window drops, since it has ended before the
+watermark, is among the late rows. A batch that is run again finds the same horizon and overwrites its own folder, so each
+row counts once.
 
     folder/rows/batch=N/is_late=false|true     the rows
     folder/arrivals/batch=N                    counts, horizon and latest time
