@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from earshot.models import metrics as mt
+from earshot.models import gram, metrics as mt
 from earshot.models.base import LinearModel
 from earshot.models.skip import _deviation, _mean
 
@@ -92,17 +92,14 @@ class SessionForecaster(LinearModel):
 
     def cross_validate(self, df: DataFrame, features: list[str], label: str = "avg_duration", cv: int = 5,
                        key: list[str] | None = None) -> dict:
-        """R2 over ``cv`` hash folds with all features: mean, population deviation, scores."""
-        ready = self._ready(df, key, features, label)
-        data = ready.withColumn("_fold", self._fold(key or ready.columns, cv)).persist()
-        scores = []
-        try:
-            for k in range(cv):
-                part = type(self)(**self._config())
-                part.feature_names = part.selected_features = list(features)
-                part.pipeline = part._fit(data.where(F.col("_fold") != k), part.feature_names, label)
-                scores.append(mt.regression_metrics(part.predict(data.where(F.col("_fold") == k)), label)
-                              .head()["r2"])
-        finally:
-            data.unpersist()
+        """R2 over ``cv`` hash folds with all features: mean, population deviation, scores.
+
+        All folds are fitted and scored on moments that one pass over the rows gathers; see :mod:`earshot.models.gram`.
+        """
+        ready = self._ready(df, key, features, label).where(F.col(label).isNotNull())
+        data = ready.withColumn("_fold", self._fold(key or ready.columns, cv))
+        found = gram.held_out_r2(gram.moments_by(data, list(features), label, "_fold"), self.model_type, self.alpha)
+        if len(found) < cv or None in found.values():
+            raise ValueError(f"too few rows, or labels without spread, for {cv} folds")
+        scores = list(found.values())
         return {"cv_r2_mean": _mean(scores), "cv_r2_std": _deviation(scores), "cv_scores": scores}

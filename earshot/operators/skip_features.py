@@ -23,28 +23,48 @@ def _history(sessions: DataFrame, key: str, rate: str, count: str) -> DataFrame:
     return sessions.groupBy(key).agg(F.avg(_flag()).alias(rate), F.count("session_id").alias(count))
 
 
-def _with_earlier_history(plays: DataFrame, key: str, rate: str, count: str) -> DataFrame:
-    """Add rate and count over the plays of ``key`` strictly before each play.
+#: Microseconds of the slots of time above single moments.
+_SECOND, _DAY = 1_000_000, 86_400_000_000
+_SUMS = ("skips", "flags", "plays")
 
-    Two levels keep a hot key out of one task: totals per (key, hour of the
-    calendar) are accumulated per key, rows only within their hour.
+
+def earlier_history(sessions: DataFrame, key: str, rate: str, count: str) -> DataFrame:
+    """Rate and count over the plays of ``key`` strictly before each moment at which it has plays: key, _at, rate, count.
+
+    Prefix sums over a radix of time. Plays become totals per moment, these totals per second, and these totals per day.
+    What lies before a moment is the earlier days, the earlier seconds of its day and the earlier moments of its second,
+    and each of the three is a window over totals whose number the clock bounds: a million moments a second, 86,400 seconds
+    a day, the days of the calendar. No window holds plays, so a key with a third of all plays in one hour, or in one
+    moment, is no harder than any other.
     """
-    slotted = plays.withColumn("slot", F.date_trunc("hour", "timestamp"))
-    measures = {"skips": F.sum(_flag()), "flags": F.count("skipped"), "plays": F.count("session_id")}
-    before = Window.partitionBy(key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = (slotted.groupBy(key, "slot").agg(*(c.alias(n) for n, c in measures.items()))
-             .select(key, "slot", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before")
-                                    for n in measures)))
-    inside = (Window.partitionBy(key, "slot").orderBy(F.unix_micros(F.col("timestamp").cast("timestamp")))
-              .rangeBetween(Window.unboundedPreceding, -1))
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    moments = (sessions.where(F.col(key).isNotNull() & F.col("timestamp").isNotNull()).groupBy(key, at.alias("_at"))
+               .agg(F.sum(_flag()).alias("skips"), F.count("skipped").alias("flags"), F.count("session_id").alias("plays"))
+               .withColumn("_second", F.floor(F.col("_at") / _SECOND)))
+
+    def summed(totals, slot):
+        return totals.groupBy(key, slot).agg(*(F.sum(n).alias(n) for n in _SUMS))
+
+    def before(totals, level, *parts):
+        """What earlier rows of the same part of the radix add up to, as ``<name>_<level>``."""
+        earlier = Window.partitionBy(key, *parts).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.withColumns({f"{n}{level}": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in _SUMS})
 
-    def so_far(name):
-        return F.coalesce(measures[name].over(inside), F.lit(0)) + F.col(f"{name}_before")
+    seconds = summed(moments, "_second").withColumn("_day", F.floor(F.col("_second") / (_DAY // _SECOND)))
+    days = before(summed(seconds, "_day"), "_day").drop(*_SUMS)
+    seconds = before(seconds, "_second", "_day").drop(*_SUMS).join(days, [key, "_day"])
+    placed = before(moments, "_at", "_second").drop(*_SUMS).join(seconds, [key, "_second"])
+    so_far = {n: sum((F.col(f"{n}{level}") for level in ("_day", "_second")), F.col(f"{n}_at")) for n in _SUMS}
+    return placed.select(key, "_at", F.try_divide(so_far["skips"], so_far["flags"]).alias(rate), so_far["plays"].alias(count))
 
-    return (slotted.join(slots, [key, "slot"], "left")
-            .withColumn(rate, F.try_divide(so_far("skips"), so_far("flags")))
-            .withColumn(count, so_far("plays"))
-            .drop("slot", *(f"{n}_before" for n in measures)))
+
+def _with_earlier_history(plays: DataFrame, sessions: DataFrame, key: str, rate: str, count: str) -> DataFrame:
+    """``plays``, which have their moment as ``_at``, with rate and count over the earlier plays of their key.
+
+    A play without a time or key has no earlier ones.
+    """
+    return plays.join(earlier_history(sessions, key, rate, count), [key, "_at"], "left").withColumn(
+        count, F.coalesce(F.col(count), F.lit(0)))
 
 
 def skip_features(sessions: DataFrame, tracks: DataFrame, point_in_time: bool = False) -> DataFrame:
@@ -57,8 +77,9 @@ def skip_features(sessions: DataFrame, tracks: DataFrame, point_in_time: bool =
     """
     hour = hour_of("timestamp")
     if point_in_time:
-        joined = _with_earlier_history(sessions, "user_id", "user_historical_skip_rate", "user_listen_count")
-        joined = _with_earlier_history(joined, "track_id", "track_skip_rate", "track_count")
+        joined = sessions.withColumn("_at", F.unix_micros(F.col("timestamp").cast("timestamp")))
+        joined = _with_earlier_history(joined, sessions, "user_id", "user_historical_skip_rate", "user_listen_count")
+        joined = _with_earlier_history(joined, sessions, "track_id", "track_skip_rate", "track_count")
         joined = joined.join(tracks.select("track_id", *AUDIO), "track_id", "left")
     else:
         by_track = _history(sessions, "track_id", "track_skip_rate", "track_count")

@@ -135,50 +135,82 @@ def lasso_forecasts(m):
 PLAY_KEY = ["session_id", "user_id", "track_id"]
 
 
-def _trained_skip_model(m, names):
-    """The model, and the rows it was fitted on, split off again by the same hash."""
-    data = sk.skip_features(m.sessions, m.tracks).select(*PLAY_KEY, *names, "skipped").persist()
-    model = SkipPredictor()
-    model.train(data, names, key=PLAY_KEY)
-    return model, mark_split(data, PLAY_KEY, 0.2, 42, "skipped").where(~F.col("is_test"))
+_models: dict[tuple[str, str], SkipPredictor] = {}
 
 
-SOME = ["energy", "hour", "user_historical_skip_rate", "track_skip_rate", "context_radio"]
+def _trained_skip_model(m, names):
+    """The model, fitted once per session and data, and the rows it was fitted on, split off again by the same hash."""
+    data = sk.skip_features(m.sessions, m.tracks).select(*PLAY_KEY, *names, "skipped")
+    place = (m.spark.sparkContext.applicationId, m.directory)
+    if place not in _models:
+        model = SkipPredictor()
+        model.train(data, names, key=PLAY_KEY)
+        _models[place] = model
+    return _models[place], mark_split(data, PLAY_KEY, 0.2, 42, "skipped").where(~F.col("is_test"))
 
 
 @query("skip_model_training", "feature, stationary:b", sql=" union all ".join(
-    f"select '{f}' as feature, true as stationary" for f in SOME))
+    f"select '{f}' as feature, true as stationary" for f in sk.SKIP_FEATURES))
 def skip_model_training(m):
-    """Whether the fit is an optimum: the slope of the penalized loss along each coefficient."""
-    model, train = _trained_skip_model(m, SOME)
+    """Whether the fit on all features is an optimum: the slope of the penalized loss along each coefficient.
+
+    No other coefficients pass, those of an unfitted model least of all.
+    """
+    model, train = _trained_skip_model(m, list(sk.SKIP_FEATURES))
     sizes = {r["skipped"]: r["count"] for r in train.groupBy("skipped").count().collect()}
     total = sum(sizes.values())
     y = F.col("skipped").cast("double")
     weight = F.when(F.col("skipped") == 1, total / (2 * sizes[1])).otherwise(total / (2 * sizes[0]))
     scored = model.pipeline.transform(train)
     miss = weight * (vector_to_array("_probability")[1] - y)
-    slopes = scored.agg(*(F.avg(miss * F.col(f"_z_{f}")).alias(f) for f in SOME)).head()
+    slopes = scored.agg(*(F.avg(miss * F.col(f"_z_{f}")).alias(f) for f in sk.SKIP_FEATURES)).head()
     return m.spark.createDataFrame(
-        [(f, abs(slopes[f] + c / (model.C * total)) < 1e-4) for f, c in zip(SOME, model.linear.coefficients.toArray().tolist())],
+        [(f, abs(slopes[f] + c / (model.C * total)) < 1e-4) for f, c in zip(sk.SKIP_FEATURES, model.linear.coefficients.toArray().tolist())],
         "feature string, stationary boolean")
 
 
-@query("skip_model_importance", "rank:i, falling:b", sql=f"select unnest(range(1, {len(SOME) + 1})) as rank, true as falling")
+@query("skip_model_importance", "rank:i, feature_known:b, falling:b, of_the_model:b, weighs:b", sql=f"""
+select rank, true as feature_known, true as falling, true as of_the_model, rank > 1 or true as weighs
+from (select unnest(range(1, {len(sk.SKIP_FEATURES) + 1})) as rank) r""")
 def skip_model_importance(m):
-    """Ranks from 1 on, by falling absolute coefficient."""
-    model, _ = _trained_skip_model(m, SOME)
-    ranked = model.feature_importance(m.spark, 20)
+    """All features ranked from 1 on by falling absolute coefficient, held against the fitted coefficients one by one."""
+    model, _ = _trained_skip_model(m, list(sk.SKIP_FEATURES))
+    fitted = m.spark.createDataFrame(list(zip(sk.SKIP_FEATURES, model.linear.coefficients.toArray().tolist())), "feature string, fitted double")
+    ranked = model.feature_importance(m.spark, len(sk.SKIP_FEATURES)).join(fitted, "feature", "left")
     before = F.lag("abs_coefficient").over(Window.orderBy("rank"))  # one row per feature
-    return ranked.select("rank", (F.coalesce(before >= F.col("abs_coefficient"), F.lit(True))).alias("falling"))
+    return ranked.select(
+        "rank", F.col("fitted").isNotNull().alias("feature_known"), F.coalesce(before >= F.col("abs_coefficient"), F.lit(True)).alias("falling"),
+        ((F.col("coefficient") == F.col("fitted")) & (F.col("abs_coefficient") == F.abs("fitted"))).alias("of_the_model"),
+        ((F.col("rank") > 1) | (F.col("abs_coefficient") > 0.01)).alias("weighs"))
 
 
-@query("skip_model_predictions", "plays:i, sound:b", sql="select count(*) as plays, true as sound from sessions")
+@query("skip_model_predictions", "session_id:i, user_id:i, track_id:i, plays:i, sound:b", sql="""
+select session_id, user_id, track_id, count(*) as plays, true as sound from sessions group by 1, 2, 3""")
 def skip_model_predictions(m):
-    """Every play gets a probability within 0 and 1, and the class on its side of one half."""
-    model, _ = _trained_skip_model(m, SOME)
+    """Every play's probability against the sigmoid of the stored coefficients, and its class on its side of one half."""
+    names = list(sk.SKIP_FEATURES)
+    model, train = _trained_skip_model(m, names)
+    middle = train.agg(*(F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in names)).head()
+    weights = dict(zip(names, model.linear.coefficients.toArray().tolist()))
+    logit = F.lit(model.linear.intercept)
+    for f in names:
+        logit = logit + (F.col(f) - middle[f]["m"]) / (middle[f]["s"] or 1.0) * weights[f]
+    expected = 1 / (1 + F.exp(-logit))
+    sound = (F.abs(F.col("probability") - expected) < 1e-9) & ((F.col("probability") > 0.5) == (F.col("prediction") == 1))
     scored = model.predict(sk.skip_features(m.sessions, m.tracks))
-    sound = F.col("probability").between(0, 1) & ((F.col("probability") > 0.5) == (F.col("prediction") == 1))
-    return scored.agg(F.count("*").alias("plays"), F.min(sound).alias("sound"))
+    return scored.groupBy(*PLAY_KEY).agg(F.count("*").alias("plays"), F.min(sound).alias("sound"))
+
+
+@query("skip_model_cross_validation", "fold:i, above_chance:b, below_one:b", sql="""
+select fold, true as above_chance, true as below_one from (select unnest(range(4)) as fold) f""")
+def skip_model_cross_validation(m):
+    """AUC over four folds with even classes, on all features; their mean and deviation must be those of the scores."""
+    data = sk.skip_features(m.sessions, m.tracks)
+    out = SkipPredictor().cross_validate(data, list(sk.SKIP_FEATURES), "skipped", cv=4, key=PLAY_KEY)
+    scores = out["cv_scores"]
+    mean = sum(scores) / len(scores)
+    agree = abs(mean - out["cv_auc_mean"]) < 1e-12 and abs(sum((s - mean) ** 2 for s in scores) / len(scores) - out["cv_auc_std"] ** 2) < 1e-12
+    return m.spark.createDataFrame([(i, agree and s > 0.5, s < 1) for i, s in enumerate(scores)], "fold int, above_chance boolean, below_one boolean")
 
 
 @query("skip_model_folds", "fold:i, label:i, plays:i", ctes="""
@@ -194,43 +226,81 @@ def skip_model_folds(m):
         F.count("*").alias("plays"))
 
 
-# Ridge on two standardized features: the 2 x 2 normal equations, on the rows that the hash leaves for training.
-_RIDGE = _USERS + """, h as (select user_id, y, session_count as x1, coalesce(skip_rate, 0) as x2,
- row_number() over (order by md5(concat('42:', cast(user_id as varchar)))) <= ceil(count(*) over () * 0.2e0) as is_test from u),
-t as (select count(*) * 1e0 as n, avg(y) as my, avg(x1) as m1, stddev_pop(x1) as s1, avg(x2) as m2, stddev_pop(x2) as s2, corr(x1, x2) as r,
- covar_pop(x1, y) / stddev_pop(x1) as c1, covar_pop(x2, y) / stddev_pop(x2) as c2 from h where not is_test),
-w as (select *, n * ((n + 1) * c1 - n * r * c2) / (pow(n + 1, 2) - pow(n * r, 2)) as w1, n * ((n + 1) * c2 - n * r * c1) / (pow(n + 1, 2) - pow(n * r, 2)) as w2 from t),
-f as (select user_id, y, is_test, my + w1 * (x1 - m1) / s1 + w2 * (x2 - m2) / s2 as p from h, w)"""
-_TWO = ["session_count", "skip_rate"]
+# Ridge in SQL: the normal equations of all scaled features, solved by elimination. One system for each value of ``part``,
+# over the rows for which ``of`` holds; only the ``n_best`` features by absolute correlation get a weight.
+def _ridge_sql(parts: str, of: str, n_best: int, alpha: float = 1.0) -> str:
+    p = len(FORECAST)
+    moments = ", ".join(
+        [f"avg({f}) as m_{f}, stddev_pop({f}) as s_{f}, abs(corr({f}, y)) as c_{f}" for f in FORECAST]
+        + [f"covar_pop({a}, {b}) as v_{i}_{j}" for i, a in enumerate(FORECAST) for j, b in enumerate([*FORECAST, "y"]) if j >= i])
+
+    def cell(i: int, j: int) -> str:
+        """Row i, column j of the system; unused features have a row of their own and no weight."""
+        used = f"list_contains(best, {i})" + (f" and list_contains(best, {j})" if j < p else "")
+        value = f"n * v_{min(i, j)}_{max(i, j)} / (s_{FORECAST[i]}" + (f" * s_{FORECAST[j]})" if j < p else ")")
+        return f"case when {used} then {value} else 0 end" + (f" + {alpha}" if i == j else "")
+    rows = ", ".join("[" + ", ".join(cell(i, j) for j in range(p + 1)) + "]" for i in range(p))
+    order = ", ".join(f"struct_pack(c := -coalesce(c_{f}, -1), i := {i})" for i, f in enumerate(FORECAST))
+    spots = range(1, p + 1)
+    steps = ", ".join(
+        f"s{k} as (select part, list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {p + 2}), lambda j: case when i = {k} then a[i][j] "
+        f"else a[i][j] - a[i][{k}] / a[{k}][{k}] * a[{k}][j] end)) as a from s{k - 1})" for k in spots)
+    weights = ", ".join(f"a[{i}][{p + 1}] / a[{i}][{i}] as w{i}" for i in spots)
+    forecast = " + ".join(f"w{i} * ({f} - m_{f}) / s_{f}" for i, f in zip(spots, FORECAST))
+    return f"""
+t as (select part, count(*) * 1e0 as n, avg(y) as my, {moments} from h, (select unnest({parts}) as part) q where {of} group by part),
+b as (select *, list_transform(list_slice(list_sort([{order}]), 1, {n_best}), lambda x: x.i) as best from t),
+s0 as (select part, [{rows}] as a from b),
+{steps},
+w as (select part, {weights} from s{p}),
+f as (select h.*, t.part, my + {forecast} as p from h, t join w using (part))"""
+
+
+_SEVEN = f"""{_USERS}, u7 as (select user_id, y, {', '.join(f'coalesce({f}, 0) * 1e0 as {f}' for f in FORECAST)} from u)"""
+_TRAINED = _SEVEN + """,
+h as (select *, row_number() over (order by md5(concat('42:', cast(user_id as varchar)))) <= ceil(count(*) over () * 0.2e0) as is_test from u7),
+""" + _ridge_sql("[0]", "not is_test", 5)
+_FOLDED = _SEVEN + """,
+h as (select *, cast(strpos('0123456789abcdef', substr(md5(concat('42:', cast(user_id as varchar))), 1, 1)) - 1 as int) // 4 as fold from u7),
+""" + _ridge_sql("range(4)", "fold <> part", len(FORECAST))
 
 
 def _ridge(m):
     data = fe.forecast_features(m.sessions).fillna(0.0)
     model = SessionForecaster(n_features=5)
-    return model, model.train(data, _TWO, key=["user_id"]), model._ready(data, ["user_id"], _TWO, "avg_duration")
+    return model, model.train(data, FORECAST, key=["user_id"]), model._ready(data, ["user_id"], FORECAST, "avg_duration")
 
 
-@query("duration_model_training", "part, r2:d, rmse:d, mae:d", ctes=_RIDGE, sql="""
+@query("duration_model_training", "part, r2:d, rmse:d, mae:d", ctes=_TRAINED, sql="""
 select case when is_test then 'val' else 'train' end as part, round(1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)), 5) as r2,
  round(sqrt(avg(pow(y - p, 2))), 2) as rmse, round(avg(abs(y - p)), 2) as mae from f group by is_test""")
 def duration_model_training(m):
-    """Train and validation metrics of the ridge model on all users."""
+    """Train and validation metrics of the ridge model on all users: the five best of seven features."""
     _, found, _ = _ridge(m)
     rows = [(part, round(found[f"{part}_r2"], 5), round(found[f"{part}_rmse"], 2), round(found[f"{part}_mae"], 2)) for part in ("train", "val")]
     return m.spark.createDataFrame(rows, "part string, r2 double, rmse double, mae double")
 
 
-@query("duration_model_forecasts", "user_id:i, prediction:d", ctes=_RIDGE, sql="select user_id, round(p, 2) as prediction from f")
+@query("duration_model_forecasts", "user_id:i, prediction:d", ctes=_TRAINED, sql="select user_id, round(p, 2) as prediction from f")
 def duration_model_forecasts(m):
     model, _, data = _ridge(m)
     return model.predict(data).select("user_id", F.round("prediction", 2).alias("prediction"))
 
 
-@query("duration_model_cross_validation", "fold:i, r2:d", ctes=_USERS + """,
+@query("duration_model_cross_validation", "fold:i, r2:d", ctes=_FOLDED, sql="""
+select fold, round(1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)), 6) as r2 from f where fold = part group by fold""")
+def duration_model_cross_validation(m):
+    """Ridge on all seven features, each quarter of the hashes held out in turn, from one pass over the users."""
+    data = fe.forecast_features(m.sessions).fillna(0.0)
+    out = SessionForecaster("ridge").cross_validate(data, FORECAST, cv=4, key=["user_id"])
+    return m.spark.createDataFrame([(i, round(s, 6)) for i, s in enumerate(out["cv_scores"])], "fold int, r2 double")
+
+
+@query("duration_model_cross_validation_linear", "fold:i, r2:d", ctes=_USERS + """,
 h as (select y, coalesce(skip_rate, 0) as x, cast(strpos('0123456789abcdef', substr(md5(concat('42:', cast(user_id as varchar))), 1, 1)) - 1 as int) // 4 as fold from u),
 l as (select k, regr_slope(y, x) as b, regr_intercept(y, x) as a from h, (select unnest(range(4)) as k) g where fold <> k group by k)""", sql="""
 select fold, round(1 - sum(pow(y - a - b * x, 2)) / (var_pop(y) * count(*)), 5) as r2 from h join l on fold = k group by fold""")
-def duration_model_cross_validation(m):
+def duration_model_cross_validation_linear(m):
     """A line on one feature, each quarter of the hashes held out in turn."""
     data = fe.forecast_features(m.sessions).fillna(0.0)
     out = SessionForecaster("linear").cross_validate(data, ["skip_rate"], cv=4, key=["user_id"])

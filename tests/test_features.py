@@ -110,3 +110,44 @@ def test_sessionize_pause_at_the_limit(rows):
     got = sz.sessionize(df, "ts").orderBy("session_no").collect()
     assert [r.events for r in got] == [2, 1, 1]
     assert sz.label_sessions(df, "ts").count() == 4
+
+
+def test_earlier_history_of_one_hot_hour(spark, rows):
+    """All plays of one track in one hour, many at the same moment: exact, and no task holds them all."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    data = [(i, 7, rng.choice([rng.randrange(3_600_000), 1000 * rng.randrange(3600), 5_000]), rng.random() < 0.3 if i % 9 else None) for i in range(6000)]
+    p = spark.createDataFrame(data, "session_id long, track_id long, ms long, skipped boolean").withColumn(
+        "timestamp", F.timestamp_micros(F.lit(1_700_000_000_000_000 // 3_600_000_000 * 3_600_000_000) + F.col("ms") * 1000))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = sk.earlier_history(p, "track_id", "rate", "plays").withColumn("part", F.spark_partition_id())
+        at = {r["_at"]: (r["rate"], r["plays"]) for r in found.collect()}
+        sizes = [r["count"] for r in found.groupBy("part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    base = 1_700_000_000_000_000 // 3_600_000_000 * 3_600_000_000
+    for moment in rng.sample(sorted({d[2] for d in data}), 200):
+        earlier = [d[3] for d in data if d[2] < moment]
+        known = [s for s in earlier if s is not None]
+        rate, plays = at[base + moment * 1000]
+        assert plays == len(earlier)
+        assert rate is None if not known else abs(rate - sum(known) / len(known)) < 1e-12
+    assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.split("\n"):
+        if "Window [" in line:  # windows hold totals only
+            assert "_windowspecdefinition" in line or "sum(" in line
+            assert "skipped#" not in line
+
+
+def test_plays_without_time_or_key_have_no_history(spark, rows, plays):
+    from pyspark.sql import functions as F
+
+    p = plays(("u", "2024-01-01 10:00"), ("u", "2024-01-01 11:00"), (None, "2024-01-01 12:00"))
+    p = p.unionByName(p.limit(1).withColumn("timestamp", F.lit(None).cast("timestamp")).withColumn("session_id", F.lit("none")))
+    got = {r.session_id: r.user_listen_count for r in sk.skip_features(p, tracks(rows, ("t1", "pop", 0.5, 0.1)), point_in_time=True).collect()}
+    assert got == {"s0": 0, "s1": 1, "s2": 0, "none": 0}
