@@ -16,6 +16,8 @@ from earshot.functions.distributions import (
 from earshot.functions.numbers import percent, ratio
 from earshot.operators.preparation import hash_share
 from earshot.plans.hashpick import mark_picked, stratum_quotas
+from earshot.plans.ranks import least_onward, running_totals
+from earshot.plans.stored import stored
 
 # Design defaults.
 SIGNIFICANCE, POWER, MIN_SAMPLE = 0.05, 0.80, 1000
@@ -227,16 +229,20 @@ def analyze(assignments: DataFrame, results: DataFrame, alpha: float = SIGNIFICA
 
 
 def adjust_for_many(tests: DataFrame, rate: float = SIGNIFICANCE, p: str = "p_value") -> DataFrame:
-    """Benjamini-Hochberg: adjusted p values over one row per test and metric."""
-    everything = Window.partitionBy()
-    upwards = Window.orderBy(p)
-    scaled = F.col(p) * F.col("tests") / F.col("rank")
-    falling = Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return (tests.where(F.col(p).isNotNull())
-            .withColumn("rank", F.row_number().over(upwards))
-            .withColumn("tests", F.count("*").over(everything))
-            .withColumn("adjusted_p", F.least(F.min(scaled).over(falling), F.lit(1.0)))
-            .withColumn("is_discovery", F.col("adjusted_p") <= rate).drop("tests"))
+    """Benjamini-Hochberg: adjusted p values over one row per test and metric, of any number.
+
+    ``rank`` is the number of tests with a p value up to the row's own, so tests that tie share it. Tests become one row
+    per p value; ranks are totals over ranges of these, and the least scaled value from each on runs back over ranges, so
+    no task sees all tests.
+    """
+    tested = tests.where(F.col(p).isNotNull() & ~F.isnan(p))
+    values = stored(tested.groupBy(F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_n")), "p-values")
+    total = values.agg(F.coalesce(F.sum("_n"), F.lit(0))).head()[0]
+    ranked = running_totals(values, "_p", ["_n"]).withColumn("rank", F.col("_n_before") + F.col("_n"))
+    ranked = least_onward(ranked.withColumn("_scaled", F.col("_p") * total / F.col("rank")), "_p", "_scaled")
+    adjusted = ranked.select("_p", "rank", F.least("_scaled_onward", F.lit(1.0)).alias("adjusted_p"))
+    return (tested.join(adjusted, F.col(p).cast("double") == F.col("_p"))
+            .withColumn("is_discovery", F.col("adjusted_p") <= rate).drop("_p"))
 
 
 def conversion_test(assignments: DataFrame, converted: DataFrame) -> DataFrame:
