@@ -82,6 +82,17 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
             yield bytes(view[ends[i]:ends[i + 1]]) if valid is None or valid[i] else b""
 
 
+def text_strings(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
+    """Each text of a string column; null is empty. Bytes that are no UTF-8 become U+FFFD, as Python's decoder deals them out."""
+    for text in text_bytes(column):
+        yield text.decode("utf-8", "replace")
+
+
+def string_array(texts: list[bytes]) -> pa.Array:
+    """A string column of these bytes, whatever they hold."""
+    return pa.array(texts, type=pa.binary()).view(pa.string())
+
+
 def word_bytes(text: bytes) -> list[bytes]:
     """Words of letters, digits and characters beyond ASCII, A-Z lower-cased."""
     return text.translate(WORD_BYTES).split()
@@ -97,4 +108,5 @@ def char_offsets(text: bytes, positions: np.ndarray) -> np.ndarray:
 
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch of the named columns in the schema's order."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+    return pa.RecordBatch.from_arrays(
+        [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in schema], schema=schema)

@@ -6,7 +6,7 @@ space), so the pieces' tokens joined are the text's tokens, and no call sees an
 a token may end inside a character.
 
 Edge cases: a null or empty text has no tokens and decodes to no bytes; strings that look like special tokens are
-ordinary text; repeated rows give repeated results.
+ordinary text; bytes that are no UTF-8 are encoded as U+FFFD; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.base import given_id, keyed_texts, record
+from earshot.llm.base import given_id, keyed_texts, record, text_strings
 
 #: Code points of a text that are encoded at once, up to the next safe boundary.
 PIECE_CHARS = 100_000
 
-_BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
+# Only blanks and newlines end a piece: what else counts as white space differs between this module and the tokenizer.
+_BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 def default_rank_file() -> str:
@@ -84,7 +85,7 @@ def encode_texts(docs: DataFrame, rank_file: str | None = None, pattern: str | N
     def run(batches):
         encoding, _ = load(rank_file, pattern)
         for batch in batches:
-            yield record(_TOKENS, id=batch.column("id"), tokens=[encode(t or "", encoding) for t in batch.column("text").to_pylist()])
+            yield record(_TOKENS, id=batch.column("id"), tokens=[encode(t, encoding) for t in text_strings(batch.column("text"))])
     return keyed_texts(docs).mapInArrow(run, "id long, tokens array<int>")
 
 
@@ -108,8 +109,8 @@ def round_trip_report(docs: DataFrame, rank_file: str | None = None, pattern: st
         encoding, digits = load(rank_file, pattern)
         for batch in batches:
             counts, ids_hex, bytes_hex = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = encode(text or "", encoding)
+            for text in text_strings(batch.column("text")):
+                ids = encode(text, encoding)
                 counts.append(len(ids))
                 ids_hex.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
                 bytes_hex.append(hashlib.sha256(encoding.decode_bytes(ids)).hexdigest())

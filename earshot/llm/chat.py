@@ -6,7 +6,9 @@ numbered over the conversation, and its reference and expanded token count are r
 
 A turn is ``<|im_start|>role``, a newline, the body, ``<|im_end|>`` and a newline. Control strings inside texts are made
 harmless by a word joiner after their first character; a text that holds such a broken string already gets one more, so
-unescaping (one less) gives every text back. In roles, backslashes and newlines are escaped.
+unescaping (one less) gives every text back. Neighbouring text parts are joined before they are escaped, so no control
+string can be put together over an edge; a placeholder starts and ends a text, as its own signs cannot continue one. In
+roles, backslashes and newlines are escaped, and control strings like those in texts.
 
 The loss mask is a list of byte ranges of the formatted text, ``<|im_end|>`` excluded: one for each trained turn.
 
@@ -43,13 +45,13 @@ def unescaped(text: Column) -> Column:
 
 
 def _escaped_role(role: Column) -> Column:
-    return F.replace(F.replace(F.coalesce(role, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return F.replace(F.replace(escaped(role), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
 
 
 def _unescaped_role(role: Column) -> Column:
     """Undo the escapes left to right: halves of double backslashes are kept apart from the newline escape."""
     halves = F.split(role, r"\\\\", -1)
-    return F.array_join(F.transform(halves, lambda h: F.replace(h, F.lit("\\n"), F.lit("\n"))), "\\")
+    return unescaped(F.array_join(F.transform(halves, lambda h: F.replace(h, F.lit("\\n"), F.lit("\n"))), "\\"))
 
 
 def expanded_tokens(part: Column) -> Column:
@@ -74,13 +76,21 @@ def _is_text(part: Column) -> Column:
 def flattened(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, pieces, attachments): what the visitor makes of each message's parts, in order.
 
-    ``pieces``: the escaped text, or the kind of a placeholder. ``attachments``: the place, kind, reference and expanded
-    tokens of each part that is no text.
+    ``pieces``: the escaped text, or the kind of a placeholder. The first of neighbouring texts holds all of them, the others
+    are empty, so pieces keep the places of their parts. ``attachments``: the place, kind, reference and expanded tokens of
+    each part that is no text.
     """
     parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
     kind = lambda p: F.regexp_replace(F.coalesce(p["type"], F.lit("none")), r"[|<>\n]", "")
-    pieces = F.transform(parts, lambda p: F.struct(F.when(_is_text(p), escaped(p["text"])).alias("text"),
-                                                   F.when(~_is_text(p), kind(p)).alias("kind")))
+    is_text, said = F.transform(parts, _is_text), F.transform(parts, lambda p: F.coalesce(p["text"], F.lit("")))
+
+    def run_from(i: Column) -> Column:
+        """The texts from part ``i`` up to the next part that is none."""
+        upto = F.array_position(F.slice(is_text, i + 1, F.size(parts)), False)
+        return F.array_join(F.slice(said, i + 1, F.when(upto > 0, upto - 1).otherwise(F.size(parts)).cast("int")), "")
+    starts = lambda i: (i == 0) | ~F.coalesce(F.get(is_text, i - 1), F.lit(False))
+    pieces = F.transform(parts, lambda p, i: F.struct(
+        F.when(_is_text(p), F.when(starts(i), escaped(run_from(i))).otherwise("")).alias("text"), F.when(~_is_text(p), kind(p)).alias("kind")))
     others = F.filter(F.transform(parts, lambda p, i: F.when(~_is_text(p), F.struct(
         F.col("turn").cast("long").alias("turn"), i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"),
         expanded_tokens(p).alias("tokens")))), lambda x: x.isNotNull())
@@ -153,7 +163,8 @@ with rows as (
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), told as (
   select *, regexp_replace(text, '([<\[])(\x{2060}*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2' || chr(8288) || '\3', 'g') as body,
-         replace(replace(role, '\', '\\'), chr(10), '\n') as head
+         replace(replace(regexp_replace(role, '([<\[])(\x{2060}*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2' || chr(8288) || '\3', 'g'),
+                         '\', '\\'), chr(10), '\n') as head
   from rows
 )
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, body)) as turns_sha256,

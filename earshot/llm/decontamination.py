@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earshot.llm.base import WORD_BYTES, carried, char_offsets, materialize, record, restored, text_bytes, word_bytes
+from earshot.llm.base import WORD_BYTES, carried, char_offsets, record, restored, text_bytes, word_bytes
 
 #: Bytes of item text that one automaton holds. Windows overlap, so its trie has up to ``window`` times as many nodes,
-#: some 50 bytes each. Larger item tables are scanned in blocks of this size, one automaton after the other.
+#: some 50 bytes each. Larger item tables are cut into blocks of this size.
 BLOCK_BYTES = 200_000
+#: Bytes of text that are scanned by one automaton before the next is built, where there are several.
+GROUP_BYTES = 64 << 20
 
 _FOUND = [("n_words", pa.int64()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string())),
           ("spans", pa.list_(pa.list_(pa.int64())))]
@@ -53,10 +55,10 @@ def automaton(items: list[tuple[str | None, bytes]], window: int):
     return machine
 
 
-@lru_cache(maxsize=2)
-def _shared_automaton(block: Broadcast, window: int):
-    """Built once in each Python worker."""
-    return automaton(block.value, window)
+@lru_cache(maxsize=1)
+def _shared_automaton(blocks: Broadcast, k: int, window: int):
+    """That of block ``k``; a Python worker keeps the last one."""
+    return automaton(blocks.value[k], window)
 
 
 def scan(machine, text: bytes, known: list[int] = ()) -> tuple[int, np.ndarray, set[str], np.ndarray]:
@@ -89,46 +91,60 @@ def scan(machine, text: bytes, known: list[int] = ()) -> tuple[int, np.ndarray,
     return len(words), runs, {i for _, value in found for i in value[1]}, np.stack([starts[runs[:, 0]], stops[runs[:, 1]]], axis=1)
 
 
-def _scanner(block: Broadcast, window: int, keep_text: bool):
+def _gathered(batches, size: int):
+    """Lists of batches of about ``size`` bytes of text."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.column("text").nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def _scanner(blocks: Broadcast, n_blocks: int, window: int):
     def run(batches):
-        machine = _shared_automaton(block, window)
-        for batch in batches:
-            runs, items, spans, n_words = [], [], [], []
-            before = batch.column("runs").to_pylist()
-            earlier = batch.column("items").to_pylist()
-            for i, text in enumerate(text_bytes(batch.column("text"))):
-                n, own, ids, places = scan(machine, text, before[i] or ())
-                n_words.append(n)
-                runs.append(own.ravel().tolist())
-                items.append(sorted(ids | set(earlier[i] or ())))
-                spans.append(char_offsets(text, places).tolist() if len(places) else [])
-            schema = pa.schema([batch.schema.field("doc"), batch.schema.field("text"), *_FOUND])
-            yield record(schema, doc=batch.column("doc"), text=batch.column("text") if keep_text else [None] * len(runs),
-                         n_words=n_words, runs=runs, items=items, spans=spans)
+        # One block needs no gathering. With several, each machine is built once for many texts.
+        for group in _gathered(batches, 1 if n_blocks == 1 else GROUP_BYTES):
+            found = [[(0, np.empty((0, 2), dtype=np.int64), set(), np.empty((0, 2), dtype=np.int64))] * b.num_rows for b in group]
+            for k in range(n_blocks):
+                machine = _shared_automaton(blocks, k, window)
+                for batch, own in zip(group, found):
+                    for i, text in enumerate(text_bytes(batch.column("text"))):
+                        _, runs, ids, _ = own[i]
+                        n, runs, more, places = scan(machine, text, runs.ravel().tolist())
+                        own[i] = (n, runs, ids | more, places)
+            for batch, own in zip(group, found):
+                schema = pa.schema([batch.schema.field("doc"), *_FOUND])
+                spans = [char_offsets(text, places).tolist() if len(places) else []
+                         for text, (_, _, _, places) in zip(text_bytes(batch.column("text")), own)]
+                yield record(schema, doc=batch.column("doc"), n_words=[n for n, _, _, _ in own], runs=[r.ravel().tolist() for _, r, _, _ in own],
+                             items=[sorted(ids) for _, _, ids, _ in own], spans=spans)
     return run
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: the row as struct ``doc``, n_words, n_hit, ids of items found, hit spans as code-point offsets [start, end).
 
-    ``docs``: doc_id, text. ``items``: item_id, text. The item table is measured first. Up to ``block_bytes`` of it go
-    into one automaton and no row is shuffled. A larger table is dealt into blocks by hash; the texts pass the blocks'
-    automata one after the other, with the rows written between, so that a worker holds one automaton at a time.
+    ``docs``: doc_id, text. ``items``: item_id, text. Texts are read once and not shuffled. Up to ``block_bytes`` of items go
+    into one automaton. More are cut into blocks, and each part of the texts is scanned by the blocks' automata in turn
+    before the next is read, so a worker holds one automaton and :data:`GROUP_BYTES` of texts.
     """
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    found = carried(docs).withColumns({"runs": F.lit(None).cast("array<long>"), "items": F.lit(None).cast("array<string>")})
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        block = spark.sparkContext.broadcast(sorted(((r.item, r.text.encode()) for r in part.collect()), key=str))
-        last = k == blocks - 1
-        found = found.select("doc", "text", "runs", "items")
-        schema = T.StructType([*found.schema.fields[:2], *T.StructType.fromDDL(_FOUND_DDL)])
-        found = found.mapInArrow(_scanner(block, window, not last), schema)
-        if not last:
-            found = materialize(found, "scanned")
+    blocks: list[list[tuple[str | None, bytes]]] = [[]]
+    size = 0
+    texts = items.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    for item in sorted(((r.item, bytes(r.text)) for r in texts.collect()), key=str):
+        if size >= block_bytes:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(item)
+        size += len(item[1])
+    carried_docs = carried(docs)
+    schema = T.StructType([T.StructField("doc", carried_docs.schema["doc"].dataType), *T.StructType.fromDDL(_FOUND_DDL)])
+    found = carried_docs.mapInArrow(_scanner(spark.sparkContext.broadcast(blocks), len(blocks), window), schema)
     n_hit = F.aggregate(F.transform("spans", lambda s, i: F.get("runs", 2 * i + 1) - F.get("runs", 2 * i) + 1), F.lit(0).cast("long"),
                         lambda a, n: a + n)
     return found.select("doc", "n_words", n_hit.alias("n_hit"), "items", "spans")

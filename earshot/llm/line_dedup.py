@@ -5,7 +5,7 @@ A text is split at newlines; a null or empty text is one empty line. A line's ke
 least ``min_docs`` documents lose all their lines except in the largest id holding them.
 
 Edge cases: a null id counts as the smallest id; rows of one id are one document when documents are counted, and all
-their lines of a key stay or go together; a document that loses every line keeps an empty text; an empty table gives an
+their lines of a key stay or go together; a document that loses every line keeps an empty text; bytes that are no UTF-8 stay as they are; an empty table gives an
 empty result; further columns stay where ``dedup_lines`` is asked for them.
 
 Hot lines: only 128-bit hashes and ids are shuffled, a hash's rows are counted map-side before the shuffle, and the join
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earshot.llm.base import NULL_ID, carried, keyed_texts, record, text_bytes
+from earshot.llm.base import NULL_ID, carried, keyed_texts, materialize, record, string_array, text_bytes
 
 #: The blanks stripped from a line.
 BLANKS = b" \t\n\v\f\r"
@@ -64,9 +64,10 @@ def line_keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 def dropped_keys(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(id, keys): for each document that loses lines, the hashes it loses.
 
-    Keys with enough rows are found first; only for those, which are few, are distinct documents counted.
+    Keys with enough rows are found first; only for those, which are few, are distinct documents counted. Hashes and ids
+    are written once and read by each step.
     """
-    lines = line_keys(docs, min_chars)
+    lines = materialize(line_keys(docs, min_chars), "line-keys")
     often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("key")
     held = lines.join(often.hint("shuffle_hash"), "key")
     spread = (held.groupBy("key", "id").agg(F.lit(1).alias("one")).groupBy("key")
@@ -84,10 +85,10 @@ def _rebuilder(min_chars: int):
                 lines = text.split(b"\n")
                 lose = set(keys or ())
                 kept = [line for line in lines if _hashed(line, min_chars) not in lose] if lose else lines
-                texts.append((b"\n".join(kept) if lose else text).decode())
+                texts.append(b"\n".join(kept) if lose else text)
                 counts.append(len(lines))
                 dropped.append(len(lines) - len(kept))
-            yield record(schema, doc=batch.column("doc"), kept=texts, n_lines=counts, n_dropped=dropped)
+            yield record(schema, doc=batch.column("doc"), kept=string_array(texts), n_lines=counts, n_dropped=dropped)
     return run
 
 

@@ -116,9 +116,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (equal - chance) / (1 - chance))
 
 
-def with_successor(rows: DataFrame, columns: list[str]) -> DataFrame:
+def with_successor(rows: DataFrame, columns: list[str], derive=lambda df: df) -> DataFrame:
     """``rows`` (id, text, ...) with struct ``next``: ``columns`` of the following row by descending id, the last row's being the first.
 
+    ``derive`` adds the columns that are costly: it is applied to the rows once, and to the first rows of ranges, which are
+    picked by id and text before.
+
     Ids are cut into ranges of :data:`GROUP` values. A window orders each range, and each range's last row gets the first
     row of the next range that has rows. Those first rows are handled alike, with ranges of ranges, until few are left,
     so no task orders more than one range whatever the ids. The texts are shuffled by range once.
@@ -127,12 +130,13 @@ def with_successor(rows: DataFrame, columns: list[str]) -> DataFrame:
     shift = GROUP.bit_length() - 1
     ranged = rows.withColumn("range", F.shiftright("id", shift))
     inside = Window.partitionBy("range").orderBy(*order)
-    told = ranged.withColumns({"next": F.lead(F.struct(*columns)).over(inside), "nth": F.row_number().over(inside)})
-    heads = told.filter("nth = 1").select(F.col("range").alias("own"), F.struct(*columns).alias("head"))
+    told = derive(ranged).withColumn("next", F.lead(F.struct(*columns)).over(inside))
+    firsts = ranged.withColumn("nth", F.row_number().over(inside)).filter("nth = 1").drop("nth")
+    heads = derive(firsts).select(F.col("range").alias("own"), F.struct(*columns).alias("head"))
     following = _next_ranges(ranged.select("range").distinct(), shift)  # from the ids alone
     first = heads.join(following, F.col("own") == F.col("after")).select("before", "head")
     found = told.join(first, (F.col("range") == F.col("before")) & F.col("next").isNull(), "left")
-    return found.withColumn("next", F.coalesce("next", "head")).drop("range", "nth", "before", "head")
+    return found.withColumn("next", F.coalesce("next", "head")).drop("range", "before", "head")
 
 
 def _next_ranges(ranges: DataFrame, shift: int) -> DataFrame:
@@ -151,16 +155,20 @@ def _next_ranges(ranges: DataFrame, shift: int) -> DataFrame:
         F.col("range").alias("before"), F.coalesce("inside", "head").alias("after"))
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """(id, text): null ids as the smallest, null texts empty."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(id, text, lows): each row's low bits by bin."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"),
-                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return with_low_bits(texts, "text", "lows")
+    return with_low_bits(texts(docs), "text", "lows")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """The digest columns of query op10."""
-    linked = with_successor(fingerprints(docs), ["text", "lows"])
+    linked = with_successor(texts(docs), ["text", "lows"], lambda df: with_low_bits(df, "text", "lows"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.col("next.text"), F.lit(1), half))

@@ -7,23 +7,23 @@ word before, in B/I form for the four kinds; it is trained by gradient ascent fr
 is the decoding of the whole text. Spans of the CRF must hold what their kind needs (:func:`plausible`) and are added
 where no base span lies.
 
-Edge cases: null and empty texts have no spans; spans are code-point offsets, end exclusive; the scans are linear in the
+Edge cases: null and empty texts have no spans; bytes that are no UTF-8 count as one unknown character each; spans are code-point offsets, end exclusive; the scans are linear in the
 text, whatever it holds; repeated rows give repeated results; an empty table gives an empty result; further columns are
 ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from earshot.llm.base import given_id, keyed_texts, record
+from earshot.llm.base import given_id, keyed_texts, record, text_strings
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -48,8 +48,14 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_byte(digits: str) -> bool:
+    """At most 255, however many zeros come first."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _byte_parts(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    return all(map(_is_byte, text.split(".")))
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -88,7 +94,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- words and features ----------------------------------------------------------------------------------------------
 
 _MARKED = re.compile(r"[0-9@]")
-_PLAIN_TAIL = 40  # code points looked at for the word before
 
 
 def chains(text: str) -> list[list[tuple[int, int]]]:
@@ -114,14 +119,14 @@ def chains(text: str) -> list[list[tuple[int, int]]]:
 
 def shape(word: str) -> str:
     """Digits as d, letters as x or X, all else as it is; runs over four are one sign and +."""
-    signs = "".join("d" if c.isdigit() else ("X" if c.isupper() else "x") if c.isalpha() else c for c in word[:80])
+    signs = "".join("d" if c.isdigit() else ("X" if c.isupper() else "x") if c.isalpha() else c for c in word)
     return re.sub(r"(.)\1{4,}", r"\1+", signs)
 
 
 def word_features(word: str) -> list[str]:
     form = shape(word)
-    digits = sum(c.isdigit() for c in word[:200])
-    letters = sum(c.isalpha() for c in word[:200])
+    digits = sum(map(str.isdigit, word))
+    letters = sum(map(str.isalpha, word))
     return ["s=" + form, "c=" + re.sub(r"(.)\1+", r"\1", form), f"n={min(digits, 20)}", f"a={min(letters, 3)}",
             f"@={'@' in word}", f".={min(word.count('.'), 4)}", "b=" + form[:1], f"-={min(word.count('-'), 4)}"]
 
@@ -137,8 +142,14 @@ def chain_features(words: list[str], before: str) -> list[list[str]]:
 
 
 def _word_before(text: str, start: int) -> str:
-    words = text[max(0, start - _PLAIN_TAIL):start].split()
-    return words[-1] if words else ""
+    """The word before a chain, over all blanks between; each gap of a text is walked once."""
+    end = start
+    while end and text[end - 1].isspace():
+        end -= 1
+    first = end
+    while first and not text[first - 1].isspace():
+        first -= 1
+    return text[first:end]
 
 
 # --- the model -------------------------------------------------------------------------------------------------------
@@ -299,7 +310,7 @@ def plausible(kind: int, text: str) -> bool:
         return "@" in text[1:-1]
     if kind == 1:
         parts = text.split(":")[0].split(".")
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and _is_byte(p) for p in parts)
     return (13 <= digits <= 19 if kind == 2 else 7 <= digits <= 15) and not any(c.isalpha() for c in text)
 
 
@@ -333,25 +344,35 @@ def find_spans(texts: list[str], model: ChainModel) -> list[tuple[list, list]]:
     return list(zip(base, added))
 
 
-_SPANS = pa.schema([("id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
-
-
-def _told(spans: list) -> str:
-    return ",".join(f"{KINDS[kind]}:{a}:{z}" for a, kind, z in sorted(spans))
+_SPAN = "struct<start:long,end:long,kind:string,base:boolean>"
+_FOUND = pa.schema([("id", pa.int64()), ("spans", pa.list_(pa.struct(
+    [("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("base", pa.bool_())])))])
 
 
-def personal_data_report(docs: DataFrame, model: ChainModel | None = None) -> DataFrame:
-    """The columns of query op8: counts and digest of the base spans, and all spans."""
+def personal_data(docs: DataFrame, model: ChainModel | None = None) -> DataFrame:
+    """(id, spans) per row: spans by start, then kind, as structs of code-point offsets, kind, and whether a pattern gave it."""
     model = model or default_model()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some thousand weights, whatever the input
 
     def run(batches):
         for batch in batches:
-            found = find_spans([t or "" for t in batch.column("text").to_pylist()], shared.value)
-            counts = [[sum(k == kind for _, k, _ in base) for base, _ in found] for kind in range(len(KINDS))]
-            yield record(_SPANS, id=batch.column("id"), **{f"n_{name}": c for name, c in zip(KINDS, counts)},
-                         base_sha256=[hashlib.sha256(_told(base).encode()).hexdigest() for base, _ in found],
-                         spans=[_told(base + added) for base, added in found])
-    fields = ", ".join(f"n_{k} long" for k in KINDS)
-    return keyed_texts(docs).mapInArrow(run, f"id long, {fields}, base_sha256 string, spans string").select(
-        given_id(), *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
+            found = find_spans(list(text_strings(batch.column("text"))), shared.value)
+            told = [sorted([(a, k, z, True) for a, k, z in base] + [(a, k, z, False) for a, k, z in added]) for base, added in found]
+            yield record(_FOUND, id=batch.column("id"), spans=[
+                [{"start": a, "end": z, "kind": KINDS[k], "base": is_base} for a, k, z, is_base in spans] for spans in told])
+    return keyed_texts(docs).mapInArrow(run, f"id long, spans array<{_SPAN}>")
+
+
+def _told(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def personal_data_report(docs: DataFrame, model: ChainModel | None = None) -> DataFrame:
+    """The columns of query op8: counts and digest of the base spans, and all spans."""
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return personal_data(docs, model).select(
+        given_id(), *map(count, KINDS),
+        F.sha2(_told(base), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))

@@ -55,3 +55,16 @@ def test_report_and_round_trip(docs):
     encoded = bpe.encode_texts(frame)
     assert sorted(bytes(r.bytes) for r in bpe.decode_tokens(encoded).collect()) == sorted((t or "").encode() for _, t in rows)
     assert bpe.round_trip_report(docs([])).collect() == []
+
+
+def test_a_separator_after_punctuation_is_no_boundary():
+    encoding, _ = bpe.load(bpe.default_rank_file())
+    text = ("word " * 30)[:100] + "!\x1c!\x1f?" * 60 + " end of it" * 40
+    for size in (90, 100, 101, 110):
+        assert bpe.encode(text, encoding, size) == encoding.encode_ordinary(text)
+
+
+def test_bytes_that_are_no_text(docs):
+    odd = docs([(1, "6162ff63")]).selectExpr("doc_id", "cast(unhex(text) as string) as text")
+    row = bpe.round_trip_report(odd).first()
+    assert row.decoded_sha256 == hashlib.sha256("ab\ufffdc".encode()).hexdigest()

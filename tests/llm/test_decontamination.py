@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import types as T
 
 from earshot.llm import decontamination as dc
 
@@ -71,3 +72,18 @@ def test_contaminated_rows_go_and_columns_stay(spark, docs):
     assert kept.columns == ["doc_id", "text", "n_hit"] and sorted(r.doc_id for r in kept.collect()) == [2, 3]
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.drop_contaminated(frame, none).count() == 3 and dc.contamination_report(docs([]), items).collect() == []
+
+
+def test_columns_that_cannot_be_null(spark, docs):
+    schema = T.StructType([T.StructField("doc_id", T.LongType(), False), T.StructField("text", T.StringType(), False)])
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "beta x")], "item_id long, text string")
+    frame = spark.createDataFrame([(1, "x alpha beta y"), (2, "alpha")], schema)
+    for block_bytes in (1, dc.BLOCK_BYTES):
+        got = {r.doc.doc_id: (r.n_hit, list(r["items"])) for r in dc.find_contamination(frame, items, block_bytes=block_bytes).collect()}
+        assert got == {1: (2, ["1"]), 2: (0, [])}
+
+
+def test_bytes_that_are_no_text(spark, docs):
+    items = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    odd = docs([(1, "616c70686120ff20616c706861206265746120fe")]).selectExpr("doc_id", "cast(unhex(text) as string) as text")
+    assert [(r.n_words, r.n_hit) for r in dc.contamination_report(odd, items).collect()] == [(5, 2)]

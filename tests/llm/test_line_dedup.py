@@ -44,3 +44,11 @@ def test_empty_table_and_columns(docs):
     assert ld.line_dedup_report(docs([])).collect() == []
     frame = docs([(1, "x")]).selectExpr("doc_id", "text", "1 as kept")
     assert ld.dedup_lines(frame).first().doc.kept == 1
+
+
+def test_bytes_that_are_no_text(docs):
+    line = "41ff" * 12
+    odd = docs([(i, f"{line}0a6f776e{i:02d}") for i in range(3)]).selectExpr("doc_id", "cast(unhex(text) as string) as text")
+    found = ld.dedup_lines(odd).selectExpr("doc.doc_id as id", "n_dropped", "cast(kept as binary) as raw")
+    got = {r.id: (r.n_dropped, bytes(r.raw)) for r in found.collect()}
+    assert got == {0: (1, b"own\x00"), 1: (1, b"own\x01"), 2: (0, bytes.fromhex(line) + b"\nown\x02")}

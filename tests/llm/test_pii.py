@@ -81,3 +81,25 @@ def test_report(docs):
     assert got == sorted([(1, 1, 0, 0, 0, sha("email:0:6"), "email:0:6")] * 2 + [(2, 0, 0, 0, 0, sha(""), ""), (3, 0, 0, 0, 0, sha(""), ""),
                          (None, 0, 1, 0, 1, sha(both), both)], key=str)
     assert pii.personal_data_report(docs([])).collect() == []
+
+
+def test_long_numbers(docs):
+    long = "0" * 5000 + ".0.0.0"
+    assert [(k, z - a) for a, k, z in pii.base_spans(long)] == [(1, len(long))]
+    assert pii.base_spans("9" * 5000 + ".1.1.1") == []
+    rows = [(1, "ip " + long + " and " + "7" * 6000 + ".1.2.3"), (2, "x" * 300_000 + "1 " + " " * 1000 + "5" * 10_000)]
+    got = {r.doc_id: (r.n_ip, r.n_card) for r in pii.personal_data_report(docs(rows)).collect()}
+    assert got == {1: (1, 0), 2: (0, 0)}
+
+
+def test_features_see_whole_words_and_all_blanks():
+    assert pii.shape("ab" * 100 + "1") != pii.shape("ab" * 100 + "-")
+    assert pii.word_features("x" * 300 + "12345")[2] == "n=5"
+    text = "tel" + " " * 500 + "555 1234"
+    assert pii._word_before(text, text.index("555")) == "tel" and pii._word_before("555", 0) == ""
+
+
+def test_spans_as_structs(docs):
+    odd = docs([(1, "ff20612e62406578616d706c652e636f6d")]).selectExpr("doc_id", "cast(unhex(text) as string) as text")
+    row = pii.personal_data(odd).first()
+    assert [(s.start, s.end, s.kind, s.base) for s in row.spans] == [(2, 17, "email", True)]
