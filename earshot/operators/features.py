@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earshot.functions.numbers import clip, mapped, ratio, share_entropy
 from earshot.functions.times import floor_days, hour_of, is_weekend, part_hours
-from earshot.plans.calendar import active_days, day_list
+from earshot.plans.calendar import active_days, dates_of, day_list
 
 # The measures with preference features, and category codes.
 PREFERENCE_AUDIO = ["tempo", "energy", "danceability", "valence", "acousticness"]
@@ -264,30 +264,87 @@ def country_shares(rows: DataFrame) -> DataFrame:
 
 # --- all features -----------------------------------------------------------
 
+def _grains(plays: DataFrame) -> DataFrame:
+    """One row per user: months with their active days as bits, plays per genre, distinct tracks and sessions.
+
+    Each play is expanded into one narrow row per grain (user and month, genre, track, session). All grains are aggregated
+    together inside the map tasks, shuffled once, and gathered by user; what is gathered is bounded by calendar and genres.
+    """
+    grains = {"month": (F.trunc(F.to_date("timestamp"), "month"), F.expr("shiftleft(1L, dayofmonth(to_date(timestamp)))")),
+              "genre": (F.col("genre"), F.lit(0).cast("bigint")), "track_id": (F.col("track_id"), F.lit(0).cast("bigint")),
+              "session_id": (F.col("session_id"), F.lit(0).cast("bigint"))}
+    kinds = {"month": "date", **{c: plays.schema[c].dataType for c in ("genre", "track_id", "session_id")}}
+    rows = [F.struct(F.lit(name).alias("grain"), *((value if c == name else F.lit(None).cast(kinds[c])).alias(c) for c in grains), bit.alias("bit"))
+            for name, (value, bit) in grains.items()]
+    tagged = _known(plays).select("user_id", F.inline(F.array(*rows))).where(F.coalesce(*(F.col(c).cast("string") for c in grains)).isNotNull())
+    grouped = tagged.groupBy("user_id", "grain", *grains).agg(F.count("*").alias("n"), F.bit_or("bit").alias("days"))
+
+    def of(grain, value):
+        return F.when(F.col("grain") == grain, value)
+    return grouped.groupBy("user_id").agg(
+        F.sort_array(F.collect_list(of("month", F.struct("month", "days")))).alias("months"), F.collect_list(of("genre", F.col("n"))).alias("genres"),
+        F.count_if(F.col("grain") == "track_id").alias("unique_tracks"), F.count_if(F.col("grain") == "session_id").alias("session_count"))
+
+
+def _streak_columns() -> dict[str, Column]:
+    """Streaks from ``active``, the sorted array of active days; the same as :func:`streaks` makes by windows."""
+    days, n = F.col("active"), F.size("active")
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.datediff(F.get(days, i), F.get(days, i - 1)) > 1, F.lit(True)))
+    lengths = F.zip_with(first, F.concat(F.slice(first, 2, F.size(first)), F.array(n)), lambda a, z: z - a)
+    some = n > 0
+    columns = {"current_streak": F.element_at(lengths, -1).cast("bigint"), "max_streak": F.array_max(lengths).cast("bigint"),
+               "avg_streak": n / F.size(first), "streak_count": F.size(first).cast("bigint"), "active_days": n.cast("bigint"),
+               "active_days_ratio": n / (F.datediff(F.element_at(days, -1), F.get(days, F.lit(0))) + 1)}
+    return {name: F.when(some, c) for name, c in columns.items()}
+
+
+def _genre_columns() -> dict[str, Column]:
+    """Genre diversity from ``genres``, the plays of each; the same as :func:`genre_diversity` makes by windows."""
+    def added(values):
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate("genres", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    shares = F.transform("genres", lambda n: n / total)
+    n = F.size("genres")
+    rare = added(F.transform(shares, lambda s: (s < 0.05).cast("double"))) / n
+    columns = {"genre_entropy": added(F.transform(shares, share_entropy)), "genre_count": n.cast("bigint"), "top_genre_ratio": F.array_max(shares),
+               "genre_exploration_rate": F.when(n > 1, rare).otherwise(0.0), "genre_concentration": added(F.transform(shares, lambda s: s * s))}
+    return {name: F.when(n > 0, c) for name, c in columns.items()}
+
+
+def _listener_countries(sessions: DataFrame, demographics: DataFrame, as_of: Column | None) -> DataFrame:
+    """One row per country of listeners, null included: its share among known ones, and the time that counts as now."""
+    last = sessions.groupBy("user_id").agg(F.max("timestamp").alias("last"))
+    by_country = (last.join(demographics.select("user_id", "country"), "user_id", "left").groupBy("country")
+                  .agg(F.count("*").alias("n"), F.max("last").alias("last")))
+    whole = Window.partitionBy()  # over one row per country
+    known = F.when(F.col("country").isNotNull(), F.col("n"))
+    now = F.max("last").over(whole) if as_of is None else as_of
+    return by_country.select(F.col("country").alias("_country"), (known / F.sum(known).over(whole)).alias("country_frequency"), now.alias("now"))
+
+
 def user_features(sessions: DataFrame, users: DataFrame, tracks: DataFrame,
                   as_of: Column | None = None) -> DataFrame:
     """All groups, demographics and their encodings; missing numbers become 0.
 
-    Every branch ends hash-partitioned by user, so joining them adds no
+    Plays are read three times: for plain aggregates by user, for the finer grains, and for the last play of each listener,
+    which gives the shares of countries and "now". All branches end hash-partitioned by user, so joining them adds no
     shuffle.
     """
-    now = _last_play(sessions) if as_of is None else as_of
     plays = with_tracks(sessions, tracks)
     base = _timed(_known(plays)).groupBy("user_id").agg(
         *_playlist_aggregates(), *_listening_aggregates(), *_audio_aggregates(),
-        *_temporal_aggregates(), *_engagement_aggregates()).withColumn("now", now)
-    plain = {**_playlist_columns(), **_listening_columns(), **_audio_columns(),
-             **_temporal_columns(), **_engagement_columns()}
+        *_temporal_aggregates(), *_engagement_aggregates())
     demographics = users.select("user_id", "tier", "country", "age_group")
-    wide = _finish(base.join(_distinct_ids(sessions), "user_id"), plain)
-    for group in (streaks(sessions), genre_diversity(plays)):
-        wide = wide.join(group, "user_id", "left")
-    listeners = _known(sessions).select("user_id").distinct()
-    shares = country_shares(listeners.join(demographics, "user_id"))
+    wide = base.join(_grains(plays), "user_id", "left").join(demographics, "user_id", "left")
+    told = wide.join(_listener_countries(sessions, demographics, as_of), F.col("country").eqNullSafe(F.col("_country")), "left")
+    told = told.withColumns({"active": dates_of("months"), "unique_tracks": F.coalesce("unique_tracks", F.lit(0)), "session_count": F.coalesce("session_count", F.lit(0))})
+    columns = {**_playlist_columns(), **_listening_columns(), **_audio_columns(), **_temporal_columns(), **_engagement_columns(),
+               **_streak_columns(), **_genre_columns()}
     names = [n for group in list(FEATURE_GROUPS)[:-1] for n in FEATURE_GROUPS[group]]
     names += ["avg_track_duration_ms", "avg_tracks_per_session"]
-    filled = wide.select("user_id", *(F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names))
-    return encode_demographics(filled.join(demographics, "user_id", "left"), shares)
+    return told.select("user_id", *(F.coalesce(columns[n], F.lit(0)).alias(n) for n in names), "tier", "country", "age_group",
+                       F.coalesce("country_frequency", F.lit(DEFAULT_COUNTRY_SHARE)).alias("country_frequency"),
+                       mapped("tier", TIER_CODES, DEFAULT_TIER).alias("tier_encoded"), mapped("age_group", AGE_CODES, DEFAULT_AGE).alias("age_group_encoded"))
 
 
 # --- model inputs -----------------------------------------------------------

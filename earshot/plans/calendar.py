@@ -32,3 +32,9 @@ def day_list() -> Column:
     """The dates behind ``month`` and ``days``, as an array in order."""
     return F.expr("transform(filter(sequence(1, 31), d -> (shiftright(days, d) & 1L) = 1L), "
                   "d -> date_add(month, d - 1))")
+
+
+def dates_of(months: str) -> Column:
+    """The dates behind an array of (month, days), months in order."""
+    return F.expr(f"flatten(transform({months}, m -> transform(filter(sequence(1, 31), d -> (shiftright(m.days, d) & 1L) = 1L), "
+                  "d -> date_add(m.month, d - 1))))")
