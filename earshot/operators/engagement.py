@@ -288,19 +288,25 @@ def metrics_of_parts(parts: DataFrame) -> DataFrame:
                     F.lit(None).cast("double").alias("engagement_score")))
 
 
-def user_metrics(sessions: DataFrame) -> DataFrame:
-    """One metrics row per user. Genre and score columns are left unset."""
-    return metrics_of_parts(metric_parts(sessions))
+def user_metrics(sessions: DataFrame, updated_at: Column | None = None) -> DataFrame:
+    """One metrics row per user. Genre and score columns are left unset.
+
+    With ``updated_at``, the time of the run, rows carry it as the table's last column.
+    """
+    metrics = metrics_of_parts(metric_parts(sessions))
+    return metrics if updated_at is None else metrics.withColumn("updated_at", updated_at.cast("timestamp"))
 
 
-def upsert_user_metrics(current: DataFrame, sessions: DataFrame, changed: DataFrame) -> DataFrame:
+def upsert_user_metrics(current: DataFrame, sessions: DataFrame, changed: DataFrame, updated_at: Column | None = None) -> DataFrame:
     """``current`` with the rows of ``changed`` users computed afresh.
 
-    ``changed`` needs a ``user_id`` column. Untouched users are not recomputed.
+    ``changed`` needs a ``user_id`` column. Untouched users are not recomputed, and keep the time of their last update;
+    ``updated_at`` is by default the time of the run.
     """
     who = changed.select("user_id").distinct()
-    fresh = user_metrics(sessions.join(who, "user_id", "left_semi"))
+    stamp = None
     if "updated_at" in current.columns:
-        fresh = fresh.withColumn("updated_at", F.current_timestamp())
+        stamp = F.current_timestamp() if updated_at is None else updated_at
+    fresh = user_metrics(sessions.join(who, "user_id", "left_semi"), stamp)
     kept = current.join(sessions.select("user_id").join(who, "user_id", "left_semi").distinct(), "user_id", "left_anti")
     return kept.unionByName(fresh)

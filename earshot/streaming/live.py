@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from earshot.functions.numbers import ratio
+from earshot.operators.sketches import users_sketch
 
 
 def sessions(events: DataFrame, ts: str = "ts", gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
@@ -39,6 +40,26 @@ def approximate_daily_users(events: DataFrame, ts: str = "ts", delay: str = "1 h
             .select(F.to_date("day.start").alias("date"), "dau"))
 
 
+def user_sketches(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """One sketch of distinct users per closed day, to be stored: ``operators.sketches`` merges them to months and spans."""
+    return (events.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("day"))
+            .agg(users_sketch().alias("sketch"), F.count("*").alias("events"))
+            .select(F.to_date("day.start").alias("date"), "sketch", "events"))
+
+
+def streaks(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Runs of consecutive active days per user, each emitted once it is over.
+
+    A streak is a session of days: its state is one row that a further day extends and the watermark closes, when no event
+    of the next day can come any more. The gap is a day and a bit, so neighbouring days join and a skipped day parts.
+    """
+    days = events.where(F.col("user_id").isNotNull()).withColumn("_day", F.date_trunc("day", F.col(ts))).withWatermark("_day", delay)
+    return (days.groupBy("user_id", F.session_window("_day", "25 hours").alias("run"))
+            .agg(F.min("_day").alias("first"), F.max("_day").alias("last"))
+            .select("user_id", F.to_date("first").alias("first_day"), F.to_date("last").alias("last_day"),
+                    (F.datediff("last", "first") + 1).alias("length")))
+
+
 def rolling_rate(events: DataFrame, flag: Column, ts: str = "ts", length: str = "1 hour",
                  slide: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
     """Share of events with ``flag`` in sliding windows, e.g. the skip rate of plays."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earshot.operators import engagement as eng
+from earshot.operators import sketches
+from earshot.plans.stored import stored
 from registry.base import SKIP01, SKIPD, pct, query
 
 
@@ -239,3 +241,38 @@ def user_metrics_upsert(m):
     cut = F.lit("1997-07-01").cast("timestamp")
     current = eng.user_metrics(m.sessions.where(F.col("timestamp") < cut))
     return eng.upsert_user_metrics(current, m.sessions, m.sessions.where(F.col("timestamp") >= cut))
+
+
+@query("user_metrics_stamped", _METRICS + ", updated_at:ts", sql=f"""
+select *, case when user_id % 3 = 0 then timestamp '2001-02-03 04:05:06' else timestamp '2000-01-01 00:00:00' end as updated_at
+from ({_METRICS_SQL}) x""")
+def user_metrics_stamped(m):
+    """The table with the time of each row's last update: all users at first, a third of them once more."""
+    first = eng.user_metrics(m.sessions, F.lit("2000-01-01 00:00:00"))
+    return eng.upsert_user_metrics(first, m.sessions, m.users.where("user_id % 3 = 0"), F.lit("2001-02-03 04:05:06"))
+
+
+_NEAR = "grain, date:date, near:b"
+_NEAR_SQL = """
+select 'day' as grain, cast(ts as date) as date, true as near from events {closed_days} group by 2
+union all select 'month', cast(date_trunc('month', ts) as date), true from events {closed_days} group by 2
+union all select 'rolling', cast(ts as date), true from events {closed_days} group by 2"""
+
+
+def near_the_exact_number(events, daily):
+    """Sketched users per day, month and 28 days, and whether each is within 5 % of the exact number."""
+    seen = events.where("user_id is not null").select(F.to_date("ts").alias("date"), "user_id").distinct()
+    count = F.countDistinct("user_id").alias("exact")
+    spread = seen.select("user_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(27)), lambda d: F.date_add("date", d))).alias("date"))
+    pairs = {"day": (sketches.days(daily), seen.groupBy("date").agg(count)),
+             "month": (sketches.months(daily).withColumnRenamed("month", "date"), seen.groupBy(F.trunc("date", "month").alias("date")).agg(count)),
+             "rolling": (sketches.rolling(daily), spread.groupBy("date").agg(count))}
+    out = [guess.join(exact, "date").select(F.lit(grain).alias("grain"), "date", (F.abs(F.col("users") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
+           for grain, (guess, exact) in pairs.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("sketched_active_users", _NEAR, uses="", sql=_NEAR_SQL.format(closed_days=""))
+def sketched_active_users(m):
+    """Days, months and rolling four weeks from one stored sketch a day."""
+    return near_the_exact_number(m.events, stored(sketches.daily_sketches(m.events), "sketches"))

@@ -8,6 +8,7 @@ from earshot.operators import experiments as ex, sequential
 from earshot.sources.mart import RAW_SCHEMAS
 from earshot.streaming import late, live, sinks
 from registry.base import query
+from registry.engagement import _NEAR, _NEAR_SQL, near_the_exact_number
 from registry.experiments import EFFECTS, effects_sql
 
 LATEST = "(select max(ts) - interval '1' hour from events)"  # where the watermark ends
@@ -171,6 +172,27 @@ def stream_late_corrections(m):
     return late.corrected_days(m.spark, _delivered(m), m.events.schema)
 
 
+_CLOSED_DAYS = f"where cast(cast(ts as date) as timestamp) + interval '1' day <= {LATEST}"
+
+
+@query("stream_sketched_users", _NEAR, uses="", sql=_NEAR_SQL.format(closed_days=_CLOSED_DAYS))
+def stream_sketched_users(m):
+    """The same from the sketches of the days that a stream has closed."""
+    daily = _drained(m, "sketches", live.user_sketches(_stream(m)))
+    closed = m.events.join(daily.select("date"), F.to_date("ts") == F.col("date"), "left_semi")
+    return near_the_exact_number(closed, daily)
+
+
+@query("stream_streaks", "user_id:i, first_day:date, last_day:date, length:i", uses="", ctes="""
+ad as (select distinct user_id, cast(ts as date) as day from events where user_id is not null),
+ru as (select user_id, day, day - cast(row_number() over (partition by user_id order by day) as int) as run from ad)""", sql="""
+select user_id, min(day) as first_day, max(day) as last_day, count(*) as length from ru group by user_id, run
+having cast(max(day) as timestamp) + interval '25' hour <= (select cast(max(day) as timestamp) - interval '1' hour from ad)""")
+def stream_streaks(m):
+    """Listening streaks that are over, from a stream; one row of state per open streak."""
+    return _drained(m, "streaks", live.streaks(_stream(m)))
+
+
 @query("stream_user_metrics",
        "user_id:i, total_sessions:i, total_listen_time_ms:d, skip_rate:d, avg_session_duration_ms:d, unique_tracks_played:i, last_active_date:date",
        uses="", sql="""

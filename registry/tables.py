@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from earshot.operators import engagement as eng, features as fe
 from earshot.models.duration import SessionForecaster
-from earshot.sources import readers, views, writers
+from earshot.sources import layout, readers, views, writers
 from earshot.streaming.sinks import run_folder
 from registry.base import SKIPD, query
 
@@ -78,6 +81,57 @@ def dashboard_export(m):
     return out
 
 
+def _cells(df, source, key):
+    """Every number of a report as source, key, measure and value."""
+    measures = [c for c in df.columns if c not in (key, "month")]
+    cells = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in measures))
+    return df.select(F.lit(source).alias("source"), F.col(key).cast("string").alias("key"), F.inline(cells))
+
+
+@query("dashboard_export_contents", "source, key, measure, value:d".replace("key", '"key"'), uses="sessions tracks users", ctes=f"""
+dm as (select cast(d.date as varchar) as k, d.dau * 1e0 as dau, m.mau * 1e0 as mau, d.dau * 1e0 / m.mau as r
+ from (select cast(timestamp as date) as date, count(distinct user_id) as dau from sessions group by 1) d
+ join (select strftime(timestamp, '%Y-%m') as month, count(distinct user_id) as mau from sessions group by 1) m on strftime(d.date, '%Y-%m') = m.month),
+rc as (select cast(d.day as varchar) as k, coalesce(c.users, 0) * 1e0 as users, coalesce(c.users, 0) * 1e0 / (select count(distinct user_id) from users) as r
+ from (select unnest(range(31)) as day) d left join (select date_diff('day', cast(u.signup_date as date), cast(s.timestamp as date)) as day,
+ count(distinct s.user_id) as users from sessions s join users u on s.user_id = u.user_id group by 1) c on c.day = d.day)""", sql=f"""
+select 'dau_mau_metrics' as source, k as "key", unnest(['dau', 'mau', 'dau_mau_ratio']) as measure, unnest([dau, mau, r]) as value from dm
+union all select 'skip_rates_by_genre', genre, 'skip_rate', avg({SKIPD}) from sessions s join tracks t on s.track_id = t.track_id where genre is not null group by genre
+union all select 'skip_rates_by_hour', cast(extract(hour from timestamp) as varchar), 'skip_rate', avg({SKIPD}) from sessions group by 2
+union all select 'skip_rates_by_context', context, 'skip_rate', avg({SKIPD}) from sessions group by 2
+union all select 'retention_curve', k, unnest(['users', 'retention_rate']), unnest([users, r]) from rc""")
+def dashboard_export_contents(m):
+    """Every number of the five extracts, read back from their files."""
+    folder = run_folder(m.spark, "dashboard")
+    rates = eng.skip_rates(m.sessions, m.tracks)
+    writers.export_dashboard(eng.dau_mau(m.sessions), rates, eng.retention_curve(m.users, m.sessions), folder)
+    keys = {"dau_mau_metrics": "date", "skip_rates_by_genre": "genre", "skip_rates_by_hour": "hour", "skip_rates_by_context": "context",
+            "retention_curve": "day"}
+    parts = [_cells(readers.load_csv(m.spark, f"{folder}/{name}"), name, key) for name, key in keys.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("csv_directory_contents", "track_id:i, genre, energy:d, tier, country", uses="users tracks", sql="""
+select track_id, genre, energy, tier, country from tracks join users on track_id = user_id""")
+def csv_directory_contents(m):
+    """Two tables saved as ``*.csv``, found again by listing the directory and joined value by value."""
+    folder = run_folder(m.spark, "csv-all")
+    writers.save_tables({"users.csv": m.users, "tracks.csv": m.tracks}, folder, "csv")
+    found = readers.load_all_csv(m.spark, folder, {"users": m.users.schema, "tracks": m.tracks.schema})
+    return found["tracks"].join(found["users"], F.col("track_id") == F.col("user_id")).select("track_id", "genre", "energy", "tier", "country")
+
+
+@query("bucketed_listening", "user_id:i, plays:i, skip_rate:d, tracks:i, days:i", sql=f"""
+select user_id, count(*) as plays, avg({SKIPD}) as skip_rate, count(distinct track_id) as tracks, count(distinct cast(timestamp as date)) as days
+from sessions group by user_id""")
+def bucketed_listening(m):
+    """Plays stored in buckets by user, and totals by user that shuffle nothing."""
+    name = f"plays_{uuid.uuid4().hex[:12]}"
+    plays = layout.save_bucketed(m.sessions, name, run_folder(m.spark, name), buckets=8)
+    return plays.groupBy("user_id").agg(F.count("*").alias("plays"), F.avg(F.col("skipped").cast("double")).alias("skip_rate"),
+                                        F.countDistinct("track_id").alias("tracks"), F.countDistinct(F.to_date("timestamp")).alias("days"))
+
+
 @query("sql_with_parameters", "device, plays:i, skip_rate:d", sql=f"""
 select device, count(*) as plays, avg({SKIPD}) as skip_rate from sessions where context = 'radio' and listen_duration_ms >= 100000 group by 1""")
 def sql_with_parameters(m):
