@@ -128,8 +128,13 @@ def bucketed_listening(m):
     """Plays stored in buckets by user, and totals by user that shuffle nothing."""
     name = f"plays_{uuid.uuid4().hex[:12]}"
     plays = layout.save_bucketed(m.sessions, name, run_folder(m.spark, name), buckets=8)
-    return plays.groupBy("user_id").agg(F.count("*").alias("plays"), F.avg(F.col("skipped").cast("double")).alias("skip_rate"),
-                                        F.countDistinct("track_id").alias("tracks"), F.countDistinct(F.to_date("timestamp")).alias("days"))
+    # Distinct values are counted in two steps, both where the rows lie; several distinct counts at once would expand the rows.
+    tracks = plays.groupBy("user_id", "track_id").agg(F.count("*").alias("plays"), F.sum(F.col("skipped").cast("double")).alias("skips"),
+                                                      F.count("skipped").alias("flags"))
+    days = plays.groupBy("user_id", F.to_date("timestamp").alias("day")).agg(F.lit(1).alias("one"))
+    return (tracks.groupBy("user_id").agg(F.sum("plays").alias("plays"), (F.sum("skips") / F.sum("flags")).alias("skip_rate"),
+                                          F.count("track_id").alias("tracks"))
+            .join(days.groupBy("user_id").agg(F.count("day").alias("days")), "user_id"))
 
 
 @query("sql_with_parameters", "device, plays:i, skip_rate:d", sql=f"""

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.operators import features as fe, sketches as sk
+from earshot.operators import engagement as eng, features as fe, sketches as sk
 from earshot.sources import layout
 from earshot.streaming import live
 
@@ -82,7 +82,7 @@ def test_per_user_work_shuffles_nothing(spark, mart, tmp_path):
     plays = layout.save_bucketed(mart.sessions, "layout_plays", str(tmp_path / "plays"), buckets=4)
     totals = plays.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("track_id").alias("tracks"))
     assert "Exchange hashpartitioning" not in plan(totals)
-    assert "Exchange hashpartitioning" not in plan(fe.listening(plays))
+    assert "Exchange hashpartitioning" not in plan(eng.user_metrics(plays))
     users = layout.save_bucketed(mart.users, "layout_users", str(tmp_path / "users"), order=(), buckets=4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
