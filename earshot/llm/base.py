@@ -38,14 +38,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def stored_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/earshot-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later jobs neither repeat it nor lose it with an executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/earshot-{name}-{uuid.uuid4().hex}"
+    path = path or stored_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of :func:`materialize` that a later step has replaced."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Steps:
+    """The tables of a loop: each step is written, and the one before the last removed, as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.paths.append(stored_path(self.spark, self.name))
+        out = materialize(df, self.name, self.paths[-1])
+        if len(self.paths) > 1:
+            remove(self.spark, self.paths[-2])
+        return out
+
+
 def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:
     """(id, text, ...): id as a long, null ids as :data:`NULL_ID`; null texts stay null."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"),

@@ -8,8 +8,8 @@ Edge cases: a null id counts as the smallest id; rows of one id are one document
 their lines of a key stay or go together; a document that loses every line keeps an empty text; bytes that are no UTF-8 stay as they are; an empty table gives an
 empty result; further columns stay where ``dedup_lines`` is asked for them.
 
-Hot lines: only 128-bit hashes and ids are shuffled, a hash's rows are counted map-side before the shuffle, and the join
-back to documents' lines is a shuffle join whose hot partitions Spark can split.
+Hot lines: only 128-bit hashes and ids are shuffled, a hash's rows are counted map-side before the shuffle, and the few
+hashes that hold more than a thousandth of all rows each are broadcast to their rows instead of gathering them.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from earshot.llm.base import NULL_ID, carried, keyed_texts, materialize, record,
 #: The blanks stripped from a line.
 BLANKS = b" \t\n\v\f\r"
 
+#: A key with more than this part of all rows is hot.
+HOT = 1000
+
 _LINES = pa.schema([("id", pa.int64()), ("key", pa.binary())])
 
 
@@ -68,12 +71,25 @@ def dropped_keys(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     are written once and read by each step.
     """
     lines = materialize(line_keys(docs, min_chars), "line-keys")
-    often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("key")
-    held = lines.join(often.hint("shuffle_hash"), "key")
-    spread = (held.groupBy("key", "id").agg(F.lit(1).alias("one")).groupBy("key")
-              .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs))
-    lost = held.join(spread.select("key", "keeper").hint("shuffle_hash"), "key").filter(F.col("id") < F.col("keeper"))
-    return lost.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    hot = F.col("n") * HOT > lines.count()
+    often = materialize(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs), "line-often")
+    held = with_keys(lines, often, hot)
+    spread = (held.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+              .agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.max("id").alias("keeper")).filter(F.col("docs") >= min_docs))
+    spread = materialize(spread.select("key", "n", "keeper"), "line-keepers")
+    return (with_keys(lines, spread, hot).filter(F.col("id") < F.col("keeper"))
+            .groupBy("id").agg(F.collect_set("key").alias("keys")))
+
+
+def with_keys(lines: DataFrame, keys: DataFrame, hot) -> DataFrame:
+    """``lines`` with the columns of their key, where ``keys`` has it.
+
+    Keys with more than a :data:`HOT`-th of all rows, fewer than so many, are broadcast, so their rows stay where they are; the
+    others meet their rows by shuffle.
+    """
+    few = F.broadcast(keys.filter(hot))
+    rest = lines.join(few.select("key"), "key", "left_anti").join(keys.filter(~hot).hint("shuffle_hash"), "key")
+    return lines.join(few, "key").unionByName(rest)
 
 
 def _rebuilder(min_chars: int):

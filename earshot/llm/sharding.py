@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.base import NULL_ID, given_id, materialize
+from earshot.llm.base import NULL_ID, Steps, given_id, materialize
 from earshot.llm.places import numbered
 
 #: Rounds of moves at most; what is then apart stays apart.
@@ -91,23 +91,24 @@ def _favourites(state: DataFrame, capacity: int, turn: int) -> DataFrame:
 def propagate(linked: DataFrame, capacities: list[int], rounds: int = MOST_ROUNDS) -> DataFrame:
     """``linked`` (id, hub, ...) with ``shard``: labels after the rounds; a shard's count may still be off its capacity."""
     shards = len(capacities)
-    state = materialize(linked.withColumn("shard", _hash(shards, "id", "hub").cast("int")), "shards-0")
+    spark = linked.sparkSession
+    states, requests, favours = (Steps(spark, f"shards-{name}") for name in ("state", "asking", "likes"))
+    state = states.write(linked.withColumn("shard", _hash(shards, "id", "hub").cast("int")))
     for turn in range(1, rounds + 1):
-        likes = materialize(_favourites(state, capacities[0], turn), f"shards-likes-{turn}")
+        likes = favours.write(_favourites(state, capacities[0], turn))
         # A hub that fits asks as a whole; one of several shards, or of a large part of one, asks member by member.
         asking = of_hubs(state, likes, F.col("wide"))
         pick = F.get("shards", _hash(1 << 30, "id", F.lit(turn)).cast("int") % F.greatest(F.size("shards"), F.lit(1)))
         target = F.when(F.array_contains("shards", F.col("shard")), F.col("shard")).otherwise(pick)
         order = F.when(F.col("wide"), BUCKETS + _hash(BUCKETS, "id", F.lit(-turn))).otherwise(_hash(BUCKETS, "hub", F.lit(-turn)))
-        asking = materialize(asking.select(*state.columns, F.coalesce(target, F.col("shard")).alias("to"), order.cast("int").alias("turn_order")),
-                             f"shards-asked-{turn}")
+        asking = requests.write(asking.select(*state.columns, F.coalesce(target, F.col("shard")).alias("to"), order.cast("int").alias("turn_order")))
         moves = _granted(asking, capacities)
         if not moves:
             break
         # One number per pair of shards: the last bucket that may move.
         edge = F.element_at(F.create_map(*(F.lit(x) for pair in moves.items() for x in pair)), F.col("shard") * shards + F.col("to"))
-        state = materialize(asking.withColumn("shard", F.when(F.col("turn_order") <= edge, F.col("to")).otherwise(F.col("shard")))
-                            .select(*state.columns), f"shards-{turn}")
+        state = states.write(asking.withColumn("shard", F.when(F.col("turn_order") <= edge, F.col("to")).otherwise(F.col("shard")))
+                             .select(*state.columns))
     return state
 
 

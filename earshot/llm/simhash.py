@@ -16,7 +16,8 @@ written out.
    value that came back;
 4. a bucket verifies the pairs that share a whole variant by their differing bits and links the blocks' components.
 
-Components come from alternating large-star and small-star steps over the links, written to the shared folder between.
+Components come from alternating large-star and small-star steps over the links, written to the shared folder between;
+a step that the next has replaced is removed.
 
 Edge cases: null and empty texts, and texts without words, have fingerprint zero and are linked like any other; a text of
 fewer words than a shingle has one shingle; repeated rows are repeated; null ids count as the smallest and the component
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.llm.base import NULL_ID, carried, given_id, keyed_texts, materialize, record, restored, text_bytes
+from earshot.llm.base import NULL_ID, Steps, carried, given_id, keyed_texts, materialize, record, restored, text_bytes
 
 SEED = 42
 #: Fingerprints in a block: their variants are held at once.
@@ -308,8 +309,9 @@ def components(links: DataFrame) -> DataFrame:
     Large-star links each node's larger neighbours to its smallest one, small-star its smaller ones; they alternate until
     nothing changes. A node's neighbours are never gathered: their minimum is aggregated map-side and joined back.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
-                        .filter(F.col("u") != F.col("v")).distinct(), "links")
+    steps = Steps(links.sparkSession, "links")
+    edges = steps.write(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
+                        .filter(F.col("u") != F.col("v")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -320,7 +322,7 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "v")
         small = joined.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")),
                                                 F.struct(F.col("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
-        edges = materialize(small.filter(F.col("u") != F.col("v")).distinct(), "links")
+        edges = steps.write(small.filter(F.col("u") != F.col("v")).distinct())
         # Sums of hashes tell whether a step changed the set of links.
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
