@@ -17,9 +17,10 @@ from earshot.models.skip import SkipPredictor
 from earshot.operators import (
     cohorts, engagement, features, funnels, preparation, quality, skip_features,
 )
-from earshot.operators import experiments as ab
+from earshot.operators import experiments as ab, sequential
 from earshot.sources import readers, writers
 from earshot.sources.writers import save_results
+from earshot.streaming import live
 
 
 class DataLoader:
@@ -249,6 +250,18 @@ class ABTestFramework:
         self.results[experiment_name] = outcome
         return outcome
 
+    def monitor(self, experiment_name: str, metric_data: DataFrame, metric_column: str, scale: float,
+                ts: str = "timestamp", user_column: str = "user_id", expected: float = 0.0) -> DataFrame:
+        """One row per day of a running test with a verdict that is valid at every look.
+
+        ``scale`` is the size of effect the test is meant to find, ``expected`` the mean that its plan expects.
+        """
+        long = metric_data.select(F.col(user_column).alias("user_id"), F.lit(experiment_name).alias("test_name"),
+                                  F.lit(metric_column).alias("metric_name"), F.col(ts).alias("_ts"),
+                                  F.col(metric_column).cast("double").alias("metric_value"))
+        daily = live.daily_moments(long, self.assignments[experiment_name], "_ts", expected)
+        return sequential.looks(daily, scale, self.significance_level)
+
     def generate_report(self, experiment_name: str) -> str:
         return ab.report(self._rows[experiment_name]).head()["report"]
 

@@ -21,17 +21,22 @@ def train_models(sessions: DataFrame, tracks: DataFrame, key: list[str] | None =
     return skip, duration
 
 
-def full_run(tables: dict[str, DataFrame], directory: str) -> dict:
+#: Columns that tell plays apart.
+PLAY_KEY = ("session_id", "user_id", "track_id")
+
+
+def full_run(tables: dict[str, DataFrame], directory: str, key: tuple[str, ...] = PLAY_KEY) -> dict:
     """Compute all results of a data set and write them under ``directory``.
 
     Needs ``users``, ``tracks`` and ``sessions``; test results are analysed if
-    ``ab_test_assignments`` and ``ab_test_results`` are there. Returns what was
-    fitted and the frames behind the written results.
+    ``ab_test_assignments`` and ``ab_test_results`` are there. ``key`` names the
+    columns that tell plays apart, by which they are dealt into training and
+    validation. Returns what was fitted and the frames behind the written results.
     """
     users, tracks, sessions = (tables[n] for n in ("users", "tracks", "sessions"))
     spark = sessions.sparkSession
     writers.save_tables({"user_features": features.user_features(sessions, users, tracks)}, directory)
-    skip, duration = train_models(sessions, tracks)
+    skip, duration = train_models(sessions, tracks, list(key))
 
     progress = funnels.playlist_progress(sessions, playlist_tracks=tables.get("playlist_tracks"))
     counts = funnels.completion_counts(progress)

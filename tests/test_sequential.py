@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from earshot.operators import sequential as sq
 
@@ -90,3 +91,17 @@ def test_no_effect_is_rarely_called_one(spark):
                 rows.append((f"t{t}", "m", variant, dt.date(2024, 1, 1) + dt.timedelta(day), 25, float(x.mean()), float(((x - x.mean()) ** 2).sum())))
     found = sq.looks(spark.createDataFrame(rows, SCHEMA), scale=0.2).where("verdict <> 'continue'").select("test_name").distinct().count()
     assert found <= 0.08 * 400
+
+
+def test_monitor_of_the_object_interface(spark, rows):
+    from earshot import ABTestFramework
+
+    rng = np.random.default_rng(6)
+    users = spark.range(400).select(F.col("id").alias("user_id"))
+    ab = ABTestFramework()
+    ab.create_experiment("live", users.where("user_id < 200"), users.where("user_id >= 200"))
+    data = [(int(u), f"2024-01-{d + 1:02d} 10:00:00", float(rng.normal(100 + (u >= 200) * 2, 3))) for d in range(6) for u in rng.integers(0, 400, 100)]
+    frame = rows(data, "user_id long, t string, minutes double").withColumn("timestamp", F.to_timestamp("t"))
+    got = ab.monitor("live", frame, "minutes", scale=2.0, expected=100.0).orderBy("look").collect()
+    assert [r.look for r in got] == list(range(1, 7)) and got[-1].verdict == "treatment wins"
+    assert got[-1].control_n + got[-1].treatment_n == 600
