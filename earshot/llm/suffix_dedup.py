@@ -28,7 +28,6 @@ further columns are ignored. ``kept`` may cut through a character, so it is bina
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from functools import lru_cache
 
@@ -293,7 +292,8 @@ _WANTED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("bits", pa.
 _RUNS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("numbers", pa.binary()), ("ids", pa.binary()),
                    ("keys", pa.binary()), ("counts", pa.binary()), ("text", pa.binary())])
 _MARKS = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("marks", pa.binary())])
-_DONE = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept_sha256", pa.string())])
+_DONE = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()),
+                   ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
 def _squeezed(data: np.ndarray | bytes) -> bytes:
@@ -544,22 +544,22 @@ def _remove(length: int, gram: int, buckets: int):
             return _DONE.empty_table()
         block = Block(texts, length, gram)
         gone = _removed(block, sides, buckets) if sides.num_rows else None
-        spans, digests = [], []
+        spans, kept = [], []
         for text, a, z in zip(block.texts, block.starts[:-1].tolist(), block.starts[1:].tolist()):
             if gone is None or not gone[a:z].any():
                 spans.append([])
-                digests.append(hashlib.sha256(text).hexdigest())
+                kept.append(text)
             else:
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:z], [False]]).astype(np.int8)))
-                spans.append(edges.tolist())
-                digests.append(hashlib.sha256(block.data[a:z][~gone[a:z]].tobytes()).hexdigest())
-        return pa.table([block.ids, [len(t) for t in block.texts], spans, digests], schema=_DONE)
+                spans.append([{"start": x, "end": y} for x, y in edges.reshape(-1, 2).tolist()])
+                kept.append(block.data[a:z][~gone[a:z]].tobytes())
+        return pa.table([block.ids, [len(t) for t in block.texts], spans, kept], schema=_DONE)
     return run
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, block_bytes: int = BLOCK_BYTES,
                    hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(id, n_bytes, spans, kept_sha256) per row: removed byte ranges as start, end, start, end, ... and the digest of the rest."""
+    """(id, n_bytes, spans, kept) per row: removed byte ranges [start, end) in order, and the bytes that stay."""
     if not 0 < gram <= length:
         raise ValueError("gram must lie between 1 and length")
     texts = keyed_texts(docs)
@@ -576,12 +576,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 24, block_byte
     sides = wanted.select("block", "bucket", "bits", none.alias("numbers"), none.alias("marks")).unionByName(
         marks.select("block", F.lit(None).cast("long").alias("bucket"), none.alias("bits"), "numbers", "marks"))
     return dealt.groupBy("block").cogroup(sides.groupBy("block")).applyInArrow(
-        _remove(length, gram, blocks), "id long, n_bytes long, spans array<long>, kept_sha256 string")
+        _remove(length, gram, blocks), "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def substring_dedup_report(docs: DataFrame) -> DataFrame:
     """The digest columns of query op2."""
-    size = F.transform("spans", lambda edge, i: F.when(i % 2 == 1, edge).otherwise(-edge))
-    return repeated_spans(docs).select(
-        given_id(), "n_bytes", F.aggregate(size, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
-        (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return repeated_spans(docs).select(given_id(), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                                       F.sha2("kept", 256).alias("kept_sha256"))
