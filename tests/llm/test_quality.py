@@ -74,3 +74,18 @@ def test_odd_tables(spark, docs):
 def test_bounded_fit(spark):
     model = q.fit(table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "labels"), max_rows=150)
     assert model.rules and all(weight for _, weight in model.rules)
+
+
+def test_score_is_that_of_the_rules(spark):
+    """The compiled columns against rules that are evaluated one by one on plain statistics."""
+    docs, labels = table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "labels")
+    model = q.fit(docs, labels)
+    assert len(model.rules) > 5
+    got = {r.doc.doc_id: r.score for r in q.scored(docs, model).collect()}
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        stats = dict(zip(q.STATS, q.statistics((text or "").encode())))
+        total = model.intercept
+        for rule, weight in model.rules:
+            if all(stats[name] <= bound if most else stats[name] > bound for name, most, bound in rule):
+                total += weight
+        assert got[doc_id] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
