@@ -29,7 +29,11 @@ def _before(spark: SparkSession, folder: str, batch_id: int, delay: str) -> tupl
 
 
 def take(batch: DataFrame, batch_id: int, folder: str, ts: str = "ts", delay: str = "1 hour") -> None:
-    """Store one batch; for ``foreachBatch``. Rows without a time are in time: no window asks for them."""
+    """Store one batch; for ``foreachBatch``. Rows without a time are in time: no window asks for them.
+
+    Call it on a frame of a stream's own session, as ``foreachBatch`` hands it over, or of ``spark.newSession()``: in a
+    session that has observed rows, fitted classifiers of ``spark.ml`` can no longer be sent to tasks.
+    """
     spark = batch.sparkSession
     latest, horizon = _before(spark, folder, batch_id, delay)
     micros = F.unix_micros(F.col(ts))

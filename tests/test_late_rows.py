@@ -33,7 +33,7 @@ def test_late_and_kept_are_all(spark, tmp_path):
 def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     folder = str(tmp_path)
     df = feed(spark, folder, "1 1 2024-01-01 10:00")
-    again = spark.createDataFrame([(2, 1, "2024-01-01 08:00"), (3, 1, "2024-01-01 12:00")], "event_id long, user_id long, t string").select(
+    again = spark.newSession().createDataFrame([(2, 1, "2024-01-01 08:00"), (3, 1, "2024-01-01 12:00")], "event_id long, user_id long, t string").select(
         "event_id", "user_id", F.try_to_timestamp("t").alias("ts"))
     for _ in range(2):
         late.take(again, 1, folder)
