@@ -23,6 +23,9 @@ from earshot.plans.stored import stored
 SIGNIFICANCE, POWER, MIN_SAMPLE = 0.05, 0.80, 1000
 NO_EFFECT_SAMPLE = 10_000
 
+#: Distinct p values that one window may rank.
+FEW = 10_000
+
 _ARMS = ("control", "treatment")
 
 
@@ -231,15 +234,23 @@ def analyze(assignments: DataFrame, results: DataFrame, alpha: float = SIGNIFICA
 def adjust_for_many(tests: DataFrame, rate: float = SIGNIFICANCE, p: str = "p_value") -> DataFrame:
     """Benjamini-Hochberg: adjusted p values over one row per test and metric, of any number.
 
-    ``rank`` is the number of tests with a p value up to the row's own, so tests that tie share it. Tests become one row
-    per p value; ranks are totals over ranges of these, and the least scaled value from each on runs back over ranges, so
-    no task sees all tests.
+    ``rank`` is the number of tests with a p value up to the row's own, so tests that tie share it. The tests are written
+    once and become one row per p value. Up to :data:`FEW` of these are ranked by one window; beyond, ranks are totals over
+    ranges of p values and the least scaled value from each on runs back over ranges, so no task sees all tests. The rows
+    are the same.
     """
-    tested = tests.where(F.col(p).isNotNull() & ~F.isnan(p))
-    values = stored(tested.groupBy(F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_n")), "p-values")
-    total = values.agg(F.coalesce(F.sum("_n"), F.lit(0))).head()[0]
-    ranked = running_totals(values, "_p", ["_n"]).withColumn("rank", F.col("_n_before") + F.col("_n"))
-    ranked = least_onward(ranked.withColumn("_scaled", F.col("_p") * total / F.col("rank")), "_p", "_scaled")
+    tested = stored(tests.where(F.col(p).isNotNull() & ~F.isnan(p)), "tests")
+    values = tested.groupBy(F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_n"))
+    total = tested.count()
+    scaled = F.col("_p") * total / F.col("rank")
+    if values.limit(FEW + 1).count() <= FEW:
+        upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+        onward = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = values.withColumn("rank", F.sum("_n").over(upto)).withColumn("_scaled_onward", F.min(scaled).over(onward))
+    else:
+        values = stored(values, "p-values")
+        ranked = running_totals(values, "_p", ["_n"]).withColumn("rank", F.col("_n_before") + F.col("_n"))
+        ranked = least_onward(ranked.withColumn("_scaled", scaled), "_p", "_scaled")
     adjusted = ranked.select("_p", "rank", F.least("_scaled_onward", F.lit(1.0)).alias("adjusted_p"))
     return (tested.join(adjusted, F.col(p).cast("double") == F.col("_p"))
             .withColumn("is_discovery", F.col("adjusted_p") <= rate).drop("_p"))

@@ -40,7 +40,9 @@ def plain_adjusted(p):
     return out
 
 
-def test_adjusted_p_values_with_ties(rows):
+@pytest.mark.parametrize("few", [0, ex.FEW])
+def test_adjusted_p_values_with_ties(rows, monkeypatch, few):
+    monkeypatch.setattr(ex, "FEW", few)
     rng = np.random.default_rng(2)
     p = [0.0, 0.0, 1.0, 1.0, 1.0, *np.round(rng.uniform(size=500) ** 2, 2).tolist()]
     got = ex.adjust_for_many(rows([(i, v) for i, v in enumerate(p)] + [(-1, None), (-2, float("nan"))], "test_name int, p_value double")).collect()
