@@ -23,38 +23,32 @@ def _history(sessions: DataFrame, key: str, rate: str, count: str) -> DataFrame:
     return sessions.groupBy(key).agg(F.avg(_flag()).alias(rate), F.count("session_id").alias(count))
 
 
-#: Microseconds of the slots of time above single moments.
-_SECOND, _DAY = 1_000_000, 86_400_000_000
+#: Microseconds of a slot: a key has at most ten million moments in a slot, and three million slots a year.
+_SLOT = 10_000_000
 _SUMS = ("skips", "flags", "plays")
 
 
 def earlier_history(sessions: DataFrame, key: str, rate: str, count: str) -> DataFrame:
     """Rate and count over the plays of ``key`` strictly before each moment at which it has plays: key, _at, rate, count.
 
-    Prefix sums over a radix of time. Plays become totals per moment, these totals per second, and these totals per day.
-    What lies before a moment is the earlier days, the earlier seconds of its day and the earlier moments of its second,
-    and each of the three is a window over totals whose number the clock bounds: a million moments a second, 86,400 seconds
-    a day, the days of the calendar. No window holds plays, so a key with a third of all plays in one hour, or in one
-    moment, is no harder than any other.
+    Prefix sums over a radix of time. Plays become totals per moment, and these totals per slot of ten seconds. What lies
+    before a moment is the earlier slots and the earlier moments of its slot; both are windows over totals whose number the
+    clock bounds. No window holds plays, so a key with a third of all plays in one hour, or in one moment, is no harder than
+    any other.
     """
     at = F.unix_micros(F.col("timestamp").cast("timestamp"))
     moments = (sessions.where(F.col(key).isNotNull() & F.col("timestamp").isNotNull()).groupBy(key, at.alias("_at"))
                .agg(F.sum(_flag()).alias("skips"), F.count("skipped").alias("flags"), F.count("session_id").alias("plays"))
-               .withColumn("_second", F.floor(F.col("_at") / _SECOND)))
-
-    def summed(totals, slot):
-        return totals.groupBy(key, slot).agg(*(F.sum(n).alias(n) for n in _SUMS))
+               .withColumn("_slot", F.floor(F.col("_at") / _SLOT)))
 
     def before(totals, level, *parts):
         """What earlier rows of the same part of the radix add up to, as ``<name>_<level>``."""
         earlier = Window.partitionBy(key, *parts).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        return totals.withColumns({f"{n}{level}": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in _SUMS})
+        return totals.withColumns({f"{n}{level}": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in _SUMS}).drop(*_SUMS)
 
-    seconds = summed(moments, "_second").withColumn("_day", F.floor(F.col("_second") / (_DAY // _SECOND)))
-    days = before(summed(seconds, "_day"), "_day").drop(*_SUMS)
-    seconds = before(seconds, "_second", "_day").drop(*_SUMS).join(days, [key, "_day"])
-    placed = before(moments, "_at", "_second").drop(*_SUMS).join(seconds, [key, "_second"])
-    so_far = {n: sum((F.col(f"{n}{level}") for level in ("_day", "_second")), F.col(f"{n}_at")) for n in _SUMS}
+    slots = before(moments.groupBy(key, "_slot").agg(*(F.sum(n).alias(n) for n in _SUMS)), "_slot")
+    placed = before(moments, "_at", "_slot").join(slots, [key, "_slot"])
+    so_far = {n: F.col(f"{n}_slot") + F.col(f"{n}_at") for n in _SUMS}
     return placed.select(key, "_at", F.try_divide(so_far["skips"], so_far["flags"]).alias(rate), so_far["plays"].alias(count))
 
 
