@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from earshot.operators.preparation import hash_share, mark_split
 from earshot.plans.hashpick import row_hash
+from earshot.plans.stored import stored
 
 
 class LinearModel:
@@ -30,18 +31,15 @@ class LinearModel:
             raise ValueError("model not fitted: train it or load one")
 
     def _split(self, df: DataFrame, key, share: float, stratify: str | None):
-        """(frame to release, train, validation).
+        """(train, validation).
 
-        The rows are materialized once, spilling to disk; the split and every
-        pass of the fit then read them from there.
+        The rows are stored before the split reads them several times, and stored again with their mark for every pass of
+        the fit: no memory holds them, and no pass repeats what made them.
         """
         if not key:
             raise ValueError("training needs a key: columns that identify a row and never change between runs")
-        rows = df.persist()
-        marked = mark_split(rows, key, share, self.random_state, stratify).persist()
-        marked.count()
-        rows.unpersist()
-        return marked, marked.where(~F.col("is_test")), marked.where("is_test")
+        marked = stored(mark_split(stored(df, "model-rows"), key, share, self.random_state, stratify), "split-rows")
+        return marked.where(~F.col("is_test")), marked.where("is_test")
 
     def _fold(self, key: list[str], folds: int):
         return F.floor(hash_share(key, self.random_state) * folds).cast("int")
@@ -60,18 +58,20 @@ class LinearModel:
         return celled.join(placed, [label, "_cell"]).drop("_cell")
 
     @staticmethod
-    def _scaling(df: DataFrame, features: list[str]) -> list:
-        """Stages from raw columns to a standardized vector.
-
-        Scaling is by population deviation; a constant column is only centred.
-        """
+    def _scales(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
+        """Mean and population deviation by feature; a constant column is only centred."""
         row = df.agg(*(F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f)
                        for f in features)).head()
         empty = [f for f in features if row[f]["m"] is None or row[f]["m"] != row[f]["m"]]
         if empty:
             raise ValueError(f"features without a mean, since values are missing or NaN: {empty}")
-        scaled = ", ".join(f"(`{f}` - ({row[f]['m']!r}D)) / {(row[f]['s'] or 1.0)!r}D AS `_z_{f}`"
-                           for f in features)
+        return {f: (row[f]["m"], row[f]["s"] or 1.0) for f in features}
+
+    @staticmethod
+    def _scaling(scales: dict[str, tuple[float, float]]) -> list:
+        """Stages from raw columns to a standardized vector."""
+        features = list(scales)
+        scaled = ", ".join(f"(`{f}` - ({m!r}D)) / {s!r}D AS `_z_{f}`" for f, (m, s) in scales.items())
         return [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
                 VectorAssembler(inputCols=[f"_z_{f}" for f in features], outputCol="_features")]
 

@@ -52,7 +52,7 @@ class SessionForecaster(LinearModel):
         else:
             fit = LinearRegression(solver="l-bfgs", regParam=self.alpha, elasticNetParam=1.0,
                                    maxIter=1000, tol=1e-9, **common)
-        return Pipeline(stages=[*self._scaling(train, features), fit]).fit(train)
+        return Pipeline(stages=[*self._scaling(self._scales(train, features)), fit]).fit(train)
 
     @staticmethod
     def _ready(df: DataFrame, key, features, label) -> DataFrame:
@@ -63,15 +63,10 @@ class SessionForecaster(LinearModel):
               validation_split: float = 0.2, key: list[str] | None = None) -> dict[str, float]:
         """Fit on one part, measure on both; ``key`` identifies a row."""
         self.feature_names = list(features)
-        marked, train, held_out = self._split(self._ready(df, key, features, label), key,
-                                              validation_split, None)
-        try:
-            self.selected_features = self._select(train, self.feature_names, label)
-            self.pipeline = self._fit(train, self.selected_features, label)
-            first, second = (mt.regression_metrics(self.predict(d), label).head().asDict()
-                             for d in (train, held_out))
-        finally:
-            marked.unpersist()
+        train, held_out = self._split(self._ready(df, key, features, label), key, validation_split, None)
+        self.selected_features = self._select(train, self.feature_names, label)
+        self.pipeline = self._fit(train, self.selected_features, label)
+        first, second = (mt.regression_metrics(self.predict(d), label).head().asDict() for d in (train, held_out))
         self.metrics = {**{f"train_{k}": first[k] for k in ("r2", "rmse", "mae")},
                         **{f"val_{k}": second[k] for k in ("r2", "rmse", "mae")},
                         "n_features_selected": len(self.selected_features)}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from earshot.functions.numbers import ratio, sample_kurtosis, sample_skewness
 from earshot.plans.ranks import running_totals
+from earshot.plans.stored import stored
 
 
 # --- classification ---------------------------------------------------------
@@ -45,7 +46,8 @@ def _by_score(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 def auc(scored: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
     """One row with the exact area under the ROC curve, ties counted half."""
-    ranked = running_totals(_by_score(scored, label, score), "score", ["neg"])
+    # Ranking reads the groups several times: stored, they are gathered once.
+    ranked = running_totals(stored(_by_score(scored, label, score), "scores"), "score", ["neg"])
     won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return ranked.agg(ratio(won, pairs, None).alias("auc_roc"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from earshot.models import metrics as mt
+from earshot.models import logistic, metrics as mt
 from earshot.models.base import LinearModel
+from earshot.plans.stored import stored
 
 
 class SkipPredictor(LinearModel):
@@ -23,31 +25,43 @@ class SkipPredictor(LinearModel):
         return {"C": self.C, "max_iter": self.max_iter, "class_weight": self.class_weight,
                 "random_state": self.random_state}
 
+    def _weights(self, sizes: dict[int, int]) -> dict[int, float]:
+        total = sum(sizes.values())
+        return {k: total / (len(sizes) * n) if self.class_weight == "balanced" else 1.0 for k, n in sizes.items()}
+
+    def _part(self, sizes: dict[int, int], scales: dict[str, tuple[float, float]], left_out: int | None = None) -> logistic.Part:
+        # The penalty is per unit of weight: 1 / (C * sum of weights), and the weights sum to n.
+        total, weights = sum(sizes.values()), self._weights(sizes)
+        return logistic.Part(left_out, np.array([m for m, _ in scales.values()]), np.array([s for _, s in scales.values()]),
+                             (weights[0], weights[1]), 1.0 / (self.C * total), total)
+
+    def _pipeline(self, scales: dict[str, tuple[float, float]], point: np.ndarray) -> PipelineModel:
+        fitted = (logistic.as_model(point).setFeaturesCol("_features").setProbabilityCol("_probability").setRawPredictionCol("_raw"))
+        return PipelineModel([*self._scaling(scales), fitted])
+
     def _fit(self, train: DataFrame, features: list[str], label: str):
+        """``train`` is read once a step of the solver, so it should be stored or persisted."""
         sizes = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
-        total = sum(sizes.values())
-        balanced = self.class_weight == "balanced"
-        weights = {k: total / (len(sizes) * n) if balanced else 1.0 for k, n in sizes.items()}
+        scales = self._scales(train, features)
+        if set(sizes) == {0, 1}:
+            return self._pipeline(scales, *logistic.fit(train, features, label, [self._part(sizes, scales)], self.max_iter))
+        # One class has no optimum, and other labels are an error: Spark's solver says what comes of them.
+        weights = self._weights(sizes)
         weight = F.when(F.col(label) == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
-        # The penalty is per unit of weight here: 1 / (C * sum of weights), and the weights sum to n.
         fit = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_weight",
-                                 maxIter=self.max_iter, regParam=1.0 / (self.C * total), tol=1e-8,
+                                 maxIter=self.max_iter, regParam=1.0 / (self.C * sum(sizes.values())), tol=1e-8,
                                  standardization=False, probabilityCol="_probability",
                                  rawPredictionCol="_raw")
-        stages = [*self._scaling(train, features), fit]
-        return Pipeline(stages=stages).fit(train.withColumn("_weight", weight))
+        return Pipeline(stages=[*self._scaling(scales), fit]).fit(train.withColumn("_weight", weight))
 
     def train(self, df: DataFrame, features: list[str], label: str = "skipped",
               validation_split: float = 0.2, key: list[str] | None = None) -> dict[str, float]:
         """Fit on a stratified part, measure on both; ``key`` identifies a row."""
         self.feature_names = list(features)
-        marked, train, held_out = self._split(
+        train, held_out = self._split(
             df.select(*dict.fromkeys([*(key or []), *features, label])), key, validation_split, label)
-        try:
-            self.pipeline = self._fit(train, self.feature_names, label)
-            first, second = self._measure(train, label), self._measure(held_out, label)
-        finally:
-            marked.unpersist()
+        self.pipeline = self._fit(train, self.feature_names, label)
+        first, second = self._measure(train, label), self._measure(held_out, label)
         self.metrics = {"train_accuracy": first["accuracy"], "train_auc": first["auc_roc"],
                         **{f"val_{n}": second[k] for n, k in
                            (("accuracy", "accuracy"), ("auc", "auc_roc"), ("precision", "precision"),
@@ -61,11 +75,7 @@ class SkipPredictor(LinearModel):
 
     def _measure(self, df: DataFrame, label: str) -> dict[str, float]:
         scored = self.predict(df).select(F.col(label).cast("int").alias("label"), "prediction", "probability")
-        scored.persist()
-        try:
-            return {**mt.classification_metrics(scored).head().asDict(), **mt.auc(scored).head().asDict()}
-        finally:
-            scored.unpersist()
+        return {**mt.classification_metrics(scored).head().asDict(), **mt.auc(scored).head().asDict()}
 
     def evaluate(self, df: DataFrame, label: str = "skipped") -> dict[str, float]:
         """accuracy, auc_roc, precision, recall and f1."""
@@ -78,22 +88,42 @@ class SkipPredictor(LinearModel):
     def roc_curve(self, df: DataFrame, label: str = "skipped") -> DataFrame:
         return mt.roc_curve(self.predict(df), label)
 
+    def _fit_folds(self, data: DataFrame, features: list[str], label: str, cv: int) -> list[PipelineModel]:
+        """For each fold the model of all others; every step of the solver reads the rows once for all models."""
+        found = data.groupBy("_fold", label).agg(F.count(F.lit(1)).alias("n"), *(
+            F.struct(F.avg(f).alias("m"), F.var_pop(f).alias("v"), F.count_if(F.col(f).isNotNull()).alias("n")).alias(f) for f in features)).collect()
+        if {r[label] for r in found} != {0, 1} or any(r[f]["n"] < r["n"] for r in found for f in features):
+            return [self._fit(data.where(F.col("_fold") != k), features, label) for k in range(cv)]
+        parts, scalings = [], []
+        for k in range(cv):
+            others = [r for r in found if r["_fold"] != k]
+            sizes = {c: sum(r["n"] for r in others if r[label] == c) for c in (0, 1)}
+            if not all(sizes.values()):
+                return [self._fit(data.where(F.col("_fold") != k), features, label) for k in range(cv)]
+            n = np.array([r["n"] for r in others], float)
+            scales = {}
+            for f in features:
+                means = np.array([r[f]["m"] for r in others])
+                middle = float(n @ means / n.sum())
+                spread = float(n @ (np.array([r[f]["v"] for r in others]) + (means - middle) ** 2) / n.sum())
+                scales[f] = (middle, spread ** 0.5 or 1.0)
+            parts.append(self._part(sizes, scales, k))
+            scalings.append(scales)
+        return [self._pipeline(s, b) for s, b in zip(scalings, logistic.fit(data, features, label, parts, self.max_iter, "_fold"))]
+
     def cross_validate(self, df: DataFrame, features: list[str], label: str = "skipped", cv: int = 5,
                        key: list[str] | None = None) -> dict:
         """AUC over ``cv`` hash folds with even shares of both classes: mean, population deviation, scores."""
         names = list(dict.fromkeys([*(key or []), *features, label]))
-        data = self._stratified_folds(df.select(*names), key or names, label, cv).persist()
+        rows = stored(df.select(*names), "model-rows")
+        data = stored(self._stratified_folds(rows, key or names, label, cv), "folded-rows")
         scores = []
-        try:
-            for k in range(cv):
-                part = type(self)(**self._config())
-                part.feature_names = list(features)
-                part.pipeline = part._fit(data.where(F.col("_fold") != k), part.feature_names, label)
-                scored = part.predict(data.where(F.col("_fold") == k)).select(
-                    F.col(label).cast("int").alias("label"), "probability")
-                scores.append(mt.auc(scored).head()[0])
-        finally:
-            data.unpersist()
+        for k, pipeline in enumerate(self._fit_folds(data, list(features), label, cv)):
+            part = type(self)(**self._config())
+            part.feature_names, part.pipeline = list(features), pipeline
+            scored = part.predict(data.where(F.col("_fold") == k)).select(
+                F.col(label).cast("int").alias("label"), "probability")
+            scores.append(mt.auc(scored).head()[0])
         return {"cv_auc_mean": _mean(scores), "cv_auc_std": _deviation(scores), "cv_scores": scores}
 
 

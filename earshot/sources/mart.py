@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from earshot.plans.stored import stored
+
 #: Columns of the raw tables used here. Stating them saves a job per read.
 RAW_SCHEMAS = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -100,6 +102,13 @@ class Mart:
     def sessions(self) -> DataFrame:
         return self._get("sessions", SESSIONS_SQL, "lineitem", "orders", "part")
 
+    @property
+    def stored_sessions(self) -> DataFrame:
+        """The plays, written once: a job that reads them several times would repeat both their joins each time."""
+        if "stored_sessions" not in self._cache:
+            self._cache["stored_sessions"] = stored(self.sessions, "plays")
+        return self._cache["stored_sessions"]
+
     @property
     def assignments(self) -> DataFrame:
         return self._get("assignments", ASSIGNMENTS_SQL, "customer")
