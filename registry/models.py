@@ -10,6 +10,7 @@ from earshot.models.duration import SessionForecaster
 from earshot.models.skip import SkipPredictor
 from earshot.operators import features as fe, skip_features as sk
 from earshot.operators.preparation import mark_split
+from earshot.plans.stored import stored
 from registry.base import SKIPD, query
 
 # A fixed score, so that metrics can be checked apart from any fit: the skip rate of
@@ -139,14 +140,19 @@ _models: dict[tuple[str, str], SkipPredictor] = {}
 
 
 def _trained_skip_model(m, names):
-    """The model, fitted once per session and data, and the rows it was fitted on, split off again by the same hash."""
-    data = sk.skip_features(m.sessions, m.tracks).select(*PLAY_KEY, *names, "skipped")
+    """The model, fitted once per session and data, and the rows of features it was made from, stored."""
+    data = stored(sk.skip_features(m.stored_sessions, m.tracks).select(*PLAY_KEY, *names, "skipped"), "skip-rows")
     place = (m.spark.sparkContext.applicationId, m.directory)
     if place not in _models:
         model = SkipPredictor()
         model.train(data, names, key=PLAY_KEY)
         _models[place] = model
-    return _models[place], mark_split(data, PLAY_KEY, 0.2, 42, "skipped").where(~F.col("is_test"))
+    return _models[place], data
+
+
+def _fitted_rows(data):
+    """The rows that the model was fitted on, split off again by the same hash, and stored for several readings."""
+    return stored(mark_split(data, PLAY_KEY, 0.2, 42, "skipped").where(~F.col("is_test")), "fitted-rows")
 
 
 @query("skip_model_training", "feature, stationary:b", sql=" union all ".join(
@@ -156,7 +162,8 @@ def skip_model_training(m):
 
     No other coefficients pass, those of an unfitted model least of all.
     """
-    model, train = _trained_skip_model(m, list(sk.SKIP_FEATURES))
+    model, data = _trained_skip_model(m, list(sk.SKIP_FEATURES))
+    train = _fitted_rows(data)
     sizes = {r["skipped"]: r["count"] for r in train.groupBy("skipped").count().collect()}
     total = sum(sizes.values())
     y = F.col("skipped").cast("double")
@@ -189,15 +196,15 @@ select session_id, user_id, track_id, count(*) as plays, true as sound from sess
 def skip_model_predictions(m):
     """Every play's probability against the sigmoid of the stored coefficients, and its class on its side of one half."""
     names = list(sk.SKIP_FEATURES)
-    model, train = _trained_skip_model(m, names)
-    middle = train.agg(*(F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in names)).head()
+    model, data = _trained_skip_model(m, names)
+    middle = _fitted_rows(data).agg(*(F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in names)).head()
     weights = dict(zip(names, model.linear.coefficients.toArray().tolist()))
     logit = F.lit(model.linear.intercept)
     for f in names:
         logit = logit + (F.col(f) - middle[f]["m"]) / (middle[f]["s"] or 1.0) * weights[f]
     expected = 1 / (1 + F.exp(-logit))
     sound = (F.abs(F.col("probability") - expected) < 1e-9) & ((F.col("probability") > 0.5) == (F.col("prediction") == 1))
-    scored = model.predict(sk.skip_features(m.sessions, m.tracks))
+    scored = model.predict(data)
     return scored.groupBy(*PLAY_KEY).agg(F.count("*").alias("plays"), F.min(sound).alias("sound"))
 
 
@@ -205,7 +212,7 @@ def skip_model_predictions(m):
 select fold, true as above_chance, true as below_one from (select unnest(range(4)) as fold) f""")
 def skip_model_cross_validation(m):
     """AUC over four folds with even classes, on all features; their mean and deviation must be those of the scores."""
-    data = sk.skip_features(m.sessions, m.tracks)
+    data = sk.skip_features(m.stored_sessions, m.tracks)
     out = SkipPredictor().cross_validate(data, list(sk.SKIP_FEATURES), "skipped", cv=4, key=PLAY_KEY)
     scores = out["cv_scores"]
     mean = sum(scores) / len(scores)

@@ -16,6 +16,12 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_skip_rows_are_made_once(mart):
+    model, data = rm._trained_skip_model(mart, list(rm.sk.SKIP_FEATURES))
+    assert "Join" not in plan_of(data) and "Join" not in plan_of(rm._fitted_rows(data))
+    assert rm._fitted_rows(data).count() == data.count() - sum(-(-n // 5) for n in [data.count()])
+
+
 def test_the_fit_and_its_folds_are_the_optimum(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 2)) * [1, 20] + 3
