@@ -87,7 +87,7 @@ def _line(m):
     """Least squares on one feature, which SQL has too."""
     data = fe.forecast_features(m.sessions).where("std_duration is not null")
     model = SessionForecaster("linear")
-    ready = model._ready(data, ["user_id"], ["std_duration"], "avg_duration")
+    ready = stored(model._ready(data, ["user_id"], ["std_duration"], "avg_duration"), "forecast-rows")  # read by each pass of the fit
     model.feature_names = model.selected_features = ["std_duration"]
     model.pipeline = model._fit(ready, model.feature_names, "avg_duration")
     return model.predict(ready)
@@ -114,7 +114,7 @@ c as (select avg(y) as middle, covar_pop(z, y) as pull, count(*) as n from z)"""
 def _penalized(m, kind, alpha):
     data = fe.forecast_features(m.sessions)
     model = SessionForecaster(kind, alpha=alpha)
-    ready = model._ready(data, ["user_id"], ["skip_rate"], "avg_duration")
+    ready = stored(model._ready(data, ["user_id"], ["skip_rate"], "avg_duration"), "forecast-rows")
     model.feature_names = model.selected_features = ["skip_rate"]
     model.pipeline = model._fit(ready, model.feature_names, "avg_duration")
     return model.predict(ready).select("user_id", F.round("prediction", 2).alias("prediction"))

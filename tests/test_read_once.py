@@ -45,3 +45,7 @@ def test_a_missing_feature_is_an_error(rows):
     df = rows([(1, None, 0), (2, 1.0, 1), (3, 2.0, 0), (4, 3.0, 1)], "id int, a double, label int")
     with pytest.raises(ValueError, match="missing"):
         SkipPredictor()._fit(df, ["a"], "label")
+
+
+def test_forecast_rows_are_made_once(mart):
+    assert "Aggregate" not in plan_of(rm._line(mart)) and "Aggregate" not in plan_of(rm._penalized(mart, "ridge", 200.0))
