@@ -24,6 +24,9 @@ MANY_STRATA = 10_000
 #: Copies of one value that are numbered in one row at a time.
 _CHUNK = 10_000
 
+#: Numbered copies that a task makes.
+_ROWS_OF_TASK = 1_000_000
+
 
 def row_hash(key: list[str], seed: int) -> Column:
     """md5 of ``seed:key``, the order in which rows are picked.
@@ -57,8 +60,11 @@ def mark_picked(df: DataFrame, key: list[str], quotas: DataFrame, seed: int = 42
     whole = list(df.columns)
     repeated = stored(sizes.where("_n > 1").select("_hash"), "repeated-keys")
     values = own.join(repeated, "_hash", "left_semi").groupBy(*whole).agg(F.count("*").alias("_copies"))
+    # A few values may have all the copies: their chunks are dealt to as many tasks as the rows need, whatever file they lie in.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // _ROWS_OF_TASK))
     copies = (stored(values, "repeated-rows")
               .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / _CHUNK))))
+              .repartition(tasks, *whole, "_chunk")
               .withColumn("_copy", F.explode(F.sequence(F.col("_chunk") * _CHUNK + 1,
                                                         F.least("_copies", (F.col("_chunk") + 1) * _CHUNK)))))
     copies = copies.withColumn("_hash", row_hash([*whole, "_copy"], seed)).select(*whole, "_hash")

@@ -49,3 +49,12 @@ def test_a_missing_feature_is_an_error(rows):
 
 def test_forecast_rows_are_made_once(mart):
     assert "Aggregate" not in plan_of(rm._line(mart)) and "Aggregate" not in plan_of(rm._penalized(mart, "ridge", 200.0))
+
+
+def test_copies_of_one_row_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hashpick, "_CHUNK", 100)
+    df = spark.range(0, 20_000, 1, 1).select(F.lit("a").alias("v"))
+    marked = pr.mark_split(df, ["v"])
+    by_task = marked.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in by_task) == 20_000 and len(by_task) > 1
+    assert marked.where("is_test").count() == 4000
