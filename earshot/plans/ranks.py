@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from earshot.plans.stored import stored
+
 _ACCURACY = 10_000
 
 #: Rows that one range may hold before more ranges are made.
@@ -141,11 +143,14 @@ def _values_at(data: DataFrame, searches: list[_Search], small: int) -> None:
 
 
 def exact_medians(df: DataFrame, columns: list[str], small: int = 10_000) -> dict[str, float | None]:
-    """Exact medians (mean of the middle two) of numeric columns, all columns in the same passes."""
+    """Exact medians (mean of the middle two) of numeric columns, all columns in the same passes.
+
+    The columns are stored first, so the passes read them alone and do not repeat what made ``df``.
+    """
     if not columns:
         return {}
     names = {c: f"c{i}" for i, c in enumerate(columns)}
-    data = df.select(*(F.col(c).cast("double").alias(n) for c, n in names.items()))
+    data = stored(df.select(*(F.col(c).cast("double").alias(n) for c, n in names.items())), "medians")
     counts = data.agg(*(F.count(n).alias(n) for n in names.values())).head()
     searches = [_Search(n, (counts[n] - 1) // 2, counts[n]) for n in names.values() if counts[n]]
     _values_at(data, searches, small)

@@ -58,3 +58,14 @@ def test_copies_of_one_row_are_dealt_to_many_tasks(spark, monkeypatch):
     by_task = marked.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in by_task) == 20_000 and len(by_task) > 1
     assert marked.where("is_test").count() == 4000
+
+
+def test_a_median_reads_its_column_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return float(v)
+    df = spark.range(0, 3001, 1, 2).select(counted("id").alias("x"))
+    assert ranks.exact_medians(df, ["x"], small=100) == {"x": 1500.0} and seen.value == 3001
