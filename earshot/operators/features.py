@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earshot.functions.numbers import clip, mapped, ratio, share_entropy
 from earshot.functions.times import floor_days, hour_of, is_weekend, part_hours
-from earshot.plans.calendar import active_days, dates_of, day_list
+from earshot.plans.calendar import active_days, dates_of
 
 # The measures with preference features, and category codes.
 PREFERENCE_AUDIO = ["tempo", "energy", "danceability", "valence", "acousticness"]
@@ -67,23 +67,12 @@ def with_tracks(sessions: DataFrame, tracks: DataFrame) -> DataFrame:
 def streaks(sessions: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Runs of consecutive listening days; the last run is the current one.
 
-    Plays become one row per user and month before they are shuffled, and
-    days only after that; windows run over distinct days, which a calendar
-    bounds per user.
+    Plays become one row per user and month before they are shuffled. A user's months, which a calendar bounds, become days
+    inside the row; no task sorts days.
     """
-    days = (active_days(_known(sessions), ts).repartition("user_id")
-            .select("user_id", F.explode(day_list()).alias("day")))
-    order = Window.partitionBy("user_id").orderBy("day")
-    runs = (days.withColumn("run", F.date_sub("day", F.row_number().over(order)))
-            .groupBy("user_id", "run")
-            .agg(F.count("*").alias("length"), F.min("day").alias("first"), F.max("day").alias("last")))
-    return (runs.groupBy("user_id")
-            .agg(F.max_by("length", "last").alias("current_streak"),
-                 F.max("length").alias("max_streak"), F.avg("length").alias("avg_streak"),
-                 F.count("*").alias("streak_count"), F.sum("length").alias("active_days"),
-                 (F.datediff(F.max("last"), F.min("first")) + 1).alias("span"))
-            .withColumn("active_days_ratio", ratio("active_days", "span"))
-            .drop("span"))
+    months = (active_days(_known(sessions), ts).groupBy("user_id")
+              .agg(F.sort_array(F.collect_list(F.struct("month", "days"))).alias("months")))
+    return months.withColumn("active", dates_of("months")).select("user_id", *(c.alias(name) for name, c in _streak_columns().items()))
 
 
 # --- genre diversity --------------------------------------------------------
@@ -287,7 +276,7 @@ def _grains(plays: DataFrame) -> DataFrame:
 
 
 def _streak_columns() -> dict[str, Column]:
-    """Streaks from ``active``, the sorted array of active days; the same as :func:`streaks` makes by windows."""
+    """Streaks from ``active``, the sorted array of active days."""
     days, n = F.col("active"), F.size("active")
     first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.datediff(F.get(days, i), F.get(days, i - 1)) > 1, F.lit(True)))
     lengths = F.zip_with(first, F.concat(F.slice(first, 2, F.size(first)), F.array(n)), lambda a, z: z - a)
