@@ -47,6 +47,15 @@ def test_a_missing_feature_is_an_error(rows):
         SkipPredictor()._fit(df, ["a"], "label")
 
 
+def test_buckets_grow_with_the_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(layout, "_ROWS", 100)
+    df = spark.range(1000).select((F.col("id") % 300).alias("user_id"), F.col("id").alias("timestamp"))
+    table = layout.save_bucketed(df, "growing_buckets", str(tmp_path / "t"), buckets=2)
+    assert table.count() == 1000
+    buckets = [r.data_type for r in spark.sql("describe extended growing_buckets").collect() if r.col_name == "Num Buckets"]
+    assert buckets == ["16"]
+
+
 def test_forecast_rows_are_made_once(mart):
     assert "Aggregate" not in plan_of(rm._line(mart)) and "Aggregate" not in plan_of(rm._penalized(mart, "ridge", 200.0))
 
