@@ -69,6 +69,16 @@ def test_copies_of_one_row_are_dealt_to_many_tasks(spark, monkeypatch):
     assert marked.where("is_test").count() == 4000
 
 
+@pytest.mark.parametrize("name", ["dashboard_export", "dashboard_export_contents"])
+def test_the_dashboard_reads_stored_plays(spark, monkeypatch, name):
+    from earshot.sources import mart as source
+
+    made = []
+    monkeypatch.setattr(source, "stored", lambda df, what: made.append(what) or df.limit(0))
+    entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert made == ["plays"]
+
+
 def test_a_median_reads_its_column_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
