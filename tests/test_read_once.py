@@ -69,6 +69,11 @@ def test_copies_of_one_row_are_dealt_to_many_tasks(spark, monkeypatch):
     assert marked.where("is_test").count() == 4000
 
 
+@pytest.mark.parametrize("query", [rf.skip_model_features_point_in_time])
+def test_plays_are_derived_once(mart, query):
+    assert "l_orderkey" not in plan_of(query(mart))
+
+
 @pytest.mark.parametrize("name", ["dashboard_export", "dashboard_export_contents"])
 def test_the_dashboard_reads_stored_plays(spark, monkeypatch, name):
     from earshot.sources import mart as source
