@@ -10,6 +10,10 @@ from earshot.session import configure
 from earshot.sources import mart
 from earshot.sources.mart import Mart
 
+#: Most bytes of a shuffle that AQE gives one task. Sorts and hash tables of a task take a multiple of it, and several of
+#: them lie in one stage where a query joins and aggregates by user; the default of 64 MB comes to a gigabyte.
+TASK_BYTES = "16m"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -69,7 +73,8 @@ def query(name: str, columns: str = "", sql: str | None = None, uses: str = "ses
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return comparable(fn(Mart(configure(spark), sf_dir.rstrip("/"))))
+            configure(spark).conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
+            return comparable(fn(Mart(spark, sf_dir.rstrip("/"))))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -99,3 +99,8 @@ def test_streaks_sort_no_days(plays):
     got = fe.streaks(plays(("u", "2024-01-30 10:00"), ("u", "2024-01-31 10:00"), ("u", "2024-02-01 10:00"), ("u", "2024-02-05 10:00"), ("v", "2024-02-05 10:00")))
     assert "Window" not in plan_of(got)
     assert {tuple(r) for r in got.collect()} == {("u", 1, 3, 2.0, 2, 4, 4 / 7), ("v", 1, 1, 1.0, 1, 1, 1.0)}
+
+
+def test_tasks_of_a_query_take_bounded_shares(spark):
+    entry.queries()["user_metrics_upsert"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
