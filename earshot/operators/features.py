@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from earshot.functions.numbers import clip, mapped, ratio, share_entropy
 from earshot.functions.times import floor_days, hour_of, is_weekend, part_hours
 from earshot.plans.calendar import active_days, dates_of
+from earshot.plans.stored import stored
 
 # The measures with preference features, and category codes.
 PREFERENCE_AUDIO = ["tempo", "energy", "danceability", "valence", "acousticness"]
@@ -315,17 +316,18 @@ def user_features(sessions: DataFrame, users: DataFrame, tracks: DataFrame,
                   as_of: Column | None = None) -> DataFrame:
     """All groups, demographics and their encodings; missing numbers become 0.
 
-    Plays are read three times: for plain aggregates by user, for the finer grains, and for the last play of each listener,
-    which gives the shares of countries and "now". All branches end hash-partitioned by user, so joining them adds no
+    Plays meet their tracks once and are stored; they are read three times: for plain aggregates by user, for the finer grains,
+    and for the last play of each listener, which gives the shares of countries and "now". All branches end hash-partitioned by user, so joining them adds no
     shuffle.
     """
-    plays = with_tracks(sessions, tracks)
+    plays = stored(with_tracks(sessions, tracks).select(
+        "user_id", "session_id", "track_id", "timestamp", "listen_duration_ms", "track_duration_ms", "skipped", "context", "genre", *PREFERENCE_AUDIO), "plays-with-tracks")
     base = _timed(_known(plays)).groupBy("user_id").agg(
         *_playlist_aggregates(), *_listening_aggregates(), *_audio_aggregates(),
         *_temporal_aggregates(), *_engagement_aggregates())
     demographics = users.select("user_id", "tier", "country", "age_group")
     wide = base.join(_grains(plays), "user_id", "left").join(demographics, "user_id", "left")
-    told = wide.join(_listener_countries(sessions, demographics, as_of), F.col("country").eqNullSafe(F.col("_country")), "left")
+    told = wide.join(_listener_countries(plays, demographics, as_of), F.col("country").eqNullSafe(F.col("_country")), "left")
     told = told.withColumns({"active": dates_of("months"), "unique_tracks": F.coalesce("unique_tracks", F.lit(0)), "session_count": F.coalesce("session_count", F.lit(0))})
     columns = {**_playlist_columns(), **_listening_columns(), **_audio_columns(), **_temporal_columns(), **_engagement_columns(),
                **_streak_columns(), **_genre_columns()}
