@@ -8,9 +8,9 @@ from earshot.functions.numbers import percent, ratio, round_half_up, skip_flag
 from earshot.functions.times import (
     age_days, floor_days, hour_of, period_start, right_closed_bin, weekday_name,
 )
-from earshot.plans.calendar import active_days, day_list, users_per_day
+from earshot.plans.calendar import days_of_users, month_openings
 from earshot.operators.plays import (
-    mean_listen, merge_totals, play_totals, skip_percent, skip_share, totals_by_track,
+    SKIP_TOTALS, mean_listen, merge_totals, play_totals, skip_percent, skip_share, totals_by_track,
 )
 
 # Least plays of each engagement segment.
@@ -29,15 +29,15 @@ def engagement_segment(plays: Column, bounds: dict[str, int] = SEGMENTS) -> Colu
 def dau_mau(sessions: DataFrame, ts: str = "timestamp", user: str = "user_id") -> DataFrame:
     """Daily and monthly active users with their ratio as a fraction.
 
-    One scan and one shuffle of (user, month) rows give both: a month's users
-    are its rows, a day's users the rows with that day's bit.
+    One scan and one shuffle of users with their dates give both: a day's users
+    are the rows with that date, a month's users those whose first date of it this is.
     """
-    months = (active_days(sessions, ts, user).groupBy("month")
-              .agg(F.count("user_id").alias("mau"), users_per_day().alias("per_day")))
-    return (months.select("month", "mau", F.inline("per_day")).where(F.col("seen") == 1)
-            .select(F.date_add("month", F.col("offset")).alias("date"), "dau",
-                    F.date_format("month", "yyyy-MM").alias("month"), "mau",
-                    ratio("dau", "mau", None).alias("dau_mau_ratio")))
+    days = (days_of_users(sessions, ts, user).select("user_id", F.inline(month_openings())).groupBy("date")
+            .agg(F.count("user_id").alias("dau"), F.count(F.when(F.col("opens"), F.col("user_id"))).alias("newly_seen")))
+    month = F.trunc("date", "month")
+    mau = F.sum("newly_seen").over(Window.partitionBy(month))  # over one row per day
+    return (days.select("date", "dau", F.date_format(month, "yyyy-MM").alias("month"), mau.alias("mau"))
+            .withColumn("dau_mau_ratio", ratio("dau", "mau", None)))
 
 
 def stickiness(sessions: DataFrame, ts: str = "timestamp", user: str = "user_id") -> DataFrame:
@@ -134,13 +134,13 @@ def skip_report_by_energy(sessions: DataFrame, tracks: DataFrame) -> DataFrame:
 def skip_rate_by(sessions: DataFrame, key: str, column: Column | None = None) -> DataFrame:
     """Share of skipped plays per non-null key."""
     key_column = F.col(key) if column is None else column
-    return (play_totals(sessions, key_column.alias(key)).where(F.col(key).isNotNull())
+    return (play_totals(sessions, key_column.alias(key), names=SKIP_TOTALS).where(F.col(key).isNotNull())
             .select(key, skip_share().alias("skip_rate")))
 
 
 def skip_rates(sessions: DataFrame, tracks: DataFrame) -> dict[str, DataFrame]:
     """Skip rate as a fraction by genre, hour and context."""
-    by_genre = merge_totals(totals_by_track(sessions, tracks, ["genre"], how="left")
+    by_genre = merge_totals(totals_by_track(sessions, tracks, ["genre"], how="left", names=SKIP_TOTALS)
                             .where(F.col("genre").isNotNull()), "genre")
     return {"by_genre": by_genre.select("genre", skip_share().alias("skip_rate")),
             "by_hour": skip_rate_by(sessions, "hour", hour_of("timestamp")),
@@ -241,12 +241,10 @@ def listening_heatmap(sessions: DataFrame) -> DataFrame:
 
 def retention_curve(users: DataFrame, sessions: DataFrame, days: int = 30) -> DataFrame:
     """Share of all users active exactly 0..``days`` days after signup."""
-    # Months that can hold a wanted day meet their user as bit sets; only then do bits become days.
-    near = ((F.col("month") >= F.trunc("signup_date", "month")) & (F.col("month") <= F.date_add(F.to_date("signup_date"), days + 1)))
-    active = (active_days(sessions).join(users.select("user_id", "signup_date"), "user_id").where(near)
-              .select("user_id", "signup_date", F.explode(day_list()).alias("day_active")))
-    since = (active.select("user_id", floor_days("day_active", "signup_date").alias("day"))
-             .where(F.col("day").between(0, days)))
+    # Dates meet their user as arrays that lie by user already; only the wanted ones become rows.
+    ages = F.transform("days", lambda d: floor_days(d, F.col("signup_date")))
+    since = (days_of_users(sessions).join(users.select("user_id", "signup_date"), "user_id")
+             .select("user_id", F.explode(F.filter(ages, lambda age: age.between(0, days))).alias("day")))
     counts = since.groupBy("day").agg(F.countDistinct("user_id").alias("users"))
     everyone = users.agg(F.countDistinct("user_id")).scalar()
     calendar = users.sparkSession.range(days + 1).select(F.col("id").cast("int").alias("day"))

@@ -19,20 +19,24 @@ _TOTALS = {
 }
 
 
-def play_totals(sessions: DataFrame, *keys: str | Column) -> DataFrame:
-    """plays, skips, flagged (non-null flags), listens and listen_ms per key."""
-    return sessions.groupBy(*keys).agg(*(make().alias(n) for n, make in _TOTALS.items()))
+#: The totals behind :func:`skip_share`.
+SKIP_TOTALS = ("skips", "flagged")
+
+
+def play_totals(sessions: DataFrame, *keys: str | Column, names: tuple[str, ...] = tuple(_TOTALS)) -> DataFrame:
+    """Per key those named of plays, skips, flagged (non-null flags), listens and listen_ms; by default all."""
+    return sessions.groupBy(*keys).agg(*(_TOTALS[n]().alias(n) for n in names))
 
 
 def merge_totals(totals: DataFrame, *keys: str | Column, extra: list[Column] = ()) -> DataFrame:
-    """Roll totals up to coarser keys."""
-    return totals.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in _TOTALS), *extra)
+    """Roll those totals that are there up to coarser keys."""
+    return totals.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in _TOTALS if n in totals.columns), *extra)
 
 
 def totals_by_track(sessions: DataFrame, tracks: DataFrame, attributes: list[str],
-                    *keys: Column, how: str = "inner") -> DataFrame:
+                    *keys: Column, how: str = "inner", names: tuple[str, ...] = tuple(_TOTALS)) -> DataFrame:
     """Totals per (keys, track) with track attributes joined on."""
-    return play_totals(sessions, *keys, "track_id").join(
+    return play_totals(sessions, *keys, "track_id", names=names).join(
         tracks.select("track_id", *attributes), "track_id", how)
 
 

@@ -1,4 +1,4 @@
-"""Active days as one bit each: a row per user and month instead of one per day."""
+"""Active days without a row per day: one bit each by user and month, or one array by user."""
 
 from __future__ import annotations
 
@@ -18,20 +18,21 @@ def active_days(events: DataFrame, ts: str = "timestamp", user: str = "user_id")
     return days.groupBy("user_id", "month").agg(F.bit_or("_bit").alias("days"))
 
 
-def users_per_day() -> Column:
-    """Aggregate over months: an array of (offset, seen, dau), one entry per day.
+def days_of_users(events: DataFrame, ts: str = "timestamp", user: str = "user_id") -> DataFrame:
+    """user_id and days: an array of the dates on which the user is active, in order.
 
-    ``seen`` is 1 if the day has any activity, ``dau`` counts known users.
+    Dates are gathered inside each map task and shuffled as one row per user and task, by the
+    user alone: what follows by user, a join too, shuffles them no more.
     """
-    entry = ("named_struct('offset', {o}, 'seen', bit_or(shiftright(days, {d}) & 1L), "
-             "'dau', count_if((shiftright(days, {d}) & 1L) = 1L and user_id is not null))")
-    return F.expr(f"array({', '.join(entry.format(o=d - 1, d=d) for d in range(1, 32))})")
+    days = (events.select(F.col(user).alias("user_id"), F.to_date(ts).alias("_day"))
+            .where(F.col("_day").isNotNull()))
+    return days.groupBy("user_id").agg(F.sort_array(F.collect_set("_day")).alias("days"))
 
 
-def day_list() -> Column:
-    """The dates behind ``month`` and ``days``, as an array in order."""
-    return F.expr("transform(filter(sequence(1, 31), d -> (shiftright(days, d) & 1L) = 1L), "
-                  "d -> date_add(month, d - 1))")
+def month_openings() -> Column:
+    """Array of (date, opens) behind ``days``; ``opens`` marks a user's first date in a month."""
+    return F.expr("transform(days, (d, i) -> named_struct('date', d, 'opens', "
+                  "coalesce(trunc(d, 'month') > trunc(get(days, i - 1), 'month'), true)))")
 
 
 def dates_of(months: str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from earshot.plans.stored import stored
 
@@ -109,6 +109,10 @@ class Mart:
             self._cache["stored_sessions"] = stored(self.sessions, "plays")
         return self._cache["stored_sessions"]
 
+    def stored_plays(self, *columns: str | Column) -> DataFrame:
+        """Only these columns of the plays, written once: the others go neither through the joins' shuffles nor to the files."""
+        return stored(self.sessions.select(*columns), "plays")
+
     @property
     def assignments(self) -> DataFrame:
         return self._get("assignments", ASSIGNMENTS_SQL, "customer")

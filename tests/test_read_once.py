@@ -1,12 +1,14 @@
 """Jobs of several passes read stored rows, and no task holds a share of the rows that grows with them."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from earshot import SkipPredictor
-from earshot.operators import features as fe, preparation as pr
+from earshot.operators import engagement as eng, features as fe, preparation as pr
 from earshot.plans import hashpick, ranks
 from earshot.sources import layout
 from registry import features as rf, models as rm
@@ -84,6 +86,41 @@ def test_the_dashboard_reads_stored_plays(spark, monkeypatch, name):
     assert made == ["plays"]
 
 
+@pytest.mark.parametrize("name", ["dashboard_export"])
+def test_the_dashboard_stores_the_columns_it_reads(spark, monkeypatch, name):
+    from earshot.sources import mart as source
+
+    made = []
+    monkeypatch.setattr(source, "stored", lambda df, what: made.append(df.columns) or df.limit(0))
+    entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert [sorted(columns) for columns in made] == [["context", "skipped", "timestamp", "track_id", "user_id"]]
+
+
+def test_days_are_shuffled_once_as_one_row_per_user(spark, plays, rows):
+    p = plays(*((u, f"2024-01-{d:02d} 10:00") for u in "ab" for d in range(1, 29)))
+    users = rows([("a",), ("b",)], "user_id string").withColumn("signup_date", F.to_timestamp(F.lit("2024-01-01")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (eng.dau_mau(p), eng.retention_curve(users, p))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [re.findall(r"hashpartitioning\((\w+?)#[^()]*, \d+\)", plan) for plan in plans]
+    assert not any("hashpartitioning(user_id#" in line and "month" in line for plan in plans for line in plan.splitlines())
+    assert [d.count("user_id") for d in dealt] == [1, 3]  # plays; plays, users, and users again to be counted
+
+
+def test_active_users_and_retention_by_hand(plays, rows):
+    p = plays(("a", "2024-01-31 10:00"), ("a", "2024-01-31 23:59"), ("a", "2024-02-01 00:00"), ("a", "2025-01-31 10:00"), ("b", "2024-02-29 10:00"),
+              (None, "2024-02-01 10:00"), (None, "2024-03-05 10:00"), ("b", None))
+    got = {str(r.date): (r.dau, r.month, r.mau, r.dau_mau_ratio) for r in eng.dau_mau(p).collect()}
+    assert got == {"2024-01-31": (1, "2024-01", 1, 1.0), "2024-02-01": (1, "2024-02", 2, 0.5), "2024-02-29": (1, "2024-02", 2, 0.5),
+                   "2024-03-05": (0, "2024-03", 0, None), "2025-01-31": (1, "2025-01", 1, 1.0)}
+    # a signed up twice, and is one user of a day all the same; c without a date counts among all.
+    users = rows([("a", "2024-01-31"), ("a", "2024-01-30"), ("b", "2024-02-28"), ("c", None), (None, "2024-02-01")], "user_id string, s string")
+    curve = eng.retention_curve(users.select("user_id", F.to_timestamp("s").alias("signup_date")), p, 2).collect()
+    assert [(r.day, r.users, r.retention_rate) for r in curve] == [(0, 1, 1 / 3), (1, 2, 2 / 3), (2, 1, 1 / 3)]
+
+
 def test_a_median_reads_its_column_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
