@@ -182,7 +182,7 @@ def skip_model_features(m):
 
 @query("skip_model_features_point_in_time", SKIP_COLUMNS, uses="sessions tracks", sql=skip_sql(EARLIER))
 def skip_model_features_point_in_time(m):
-    return sk.skip_features(m.stored_sessions, m.tracks, point_in_time=True)
+    return sk.skip_features(m.stored_plays(*sk.PLAY_COLUMNS), m.tracks, point_in_time=True)
 
 
 @query("forecast_features",
