@@ -3,8 +3,9 @@
 Each group is a function of its own; :func:`user_features` builds them all.
 Plain aggregates of all groups share a single ``groupBy("user_id")``. What
 needs a finer grain first (days, genres, distinct ids) is aggregated at that
-grain before it is grouped by user, so no user's plays ever meet in one task:
-at most one row per day or genre does.
+grain before it is grouped by user. Where that leaves next to nothing
+aggregated in the map tasks, plays are dealt by user first, but for heavy
+users: no more of a user's plays ever meet in one task than a task should hold.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from earshot.functions.numbers import clip, mapped, ratio, share_entropy
 from earshot.functions.times import floor_days, hour_of, is_weekend, part_hours
 from earshot.plans.calendar import active_days, dates_of
+from earshot.plans.heavy import dealt, key_sizes
 from earshot.plans.stored import stored
 
 # The measures with preference features, and category codes.
@@ -258,7 +260,8 @@ def _grains(plays: DataFrame) -> DataFrame:
     """One row per user: months with their active days as bits, plays per genre, distinct tracks and sessions.
 
     Each play is expanded into one narrow row per grain (user and month, genre, track, session). All grains are aggregated
-    together inside the map tasks, shuffled once, and gathered by user; what is gathered is bounded by calendar and genres.
+    together where the plays lie, and gathered by user; what is gathered is bounded by calendar and genres. Between the two
+    they are shuffled once, or not at all where the plays are dealt by user.
     """
     grains = {"month": (F.trunc(F.to_date("timestamp"), "month"), F.expr("shiftleft(1L, dayofmonth(to_date(timestamp)))")),
               "genre": (F.col("genre"), F.lit(0).cast("bigint")), "track_id": (F.col("track_id"), F.lit(0).cast("bigint")),
@@ -312,21 +315,34 @@ def _listener_countries(sessions: DataFrame, demographics: DataFrame, as_of: Col
     return by_country.select(F.col("country").alias("_country"), (known / F.sum(known).over(whole)).alias("country_frequency"), now.alias("now"))
 
 
+def _own_features(plays: DataFrame) -> DataFrame:
+    """One row per user: plain aggregates of the plays, and their grains."""
+    base = _timed(_known(plays)).groupBy("user_id").agg(
+        *_playlist_aggregates(), *_listening_aggregates(), *_audio_aggregates(),
+        *_temporal_aggregates(), *_engagement_aggregates())
+    return base.join(_grains(plays), "user_id", "left")
+
+
 def user_features(sessions: DataFrame, users: DataFrame, tracks: DataFrame,
                   as_of: Column | None = None) -> DataFrame:
     """All groups, demographics and their encodings; missing numbers become 0.
 
     Plays meet their tracks once and are stored; they are read three times: for plain aggregates by user, for the finer grains,
-    and for the last play of each listener, which gives the shares of countries and "now". All branches end hash-partitioned by user, so joining them adds no
-    shuffle.
+    and for the last play of each listener, which gives the shares of countries and "now". The first two deal the plays by user
+    before they aggregate, as a map task would see few plays of a user and pass on most rows, each wider than the plays
+    behind it. Only plays of heavy users are aggregated where they lie. All branches end hash-partitioned by user, so joining
+    them adds no shuffle.
     """
+    listed = F.when(F.col("context") == "playlist", F.col("context")).alias("context")  # of others only that they are none
     plays = stored(with_tracks(sessions, tracks).select(
-        "user_id", "session_id", "track_id", "timestamp", "listen_duration_ms", "track_duration_ms", "skipped", "context", "genre", *PREFERENCE_AUDIO), "plays-with-tracks")
-    base = _timed(_known(plays)).groupBy("user_id").agg(
-        *_playlist_aggregates(), *_listening_aggregates(), *_audio_aggregates(),
-        *_temporal_aggregates(), *_engagement_aggregates())
+        "user_id", "session_id", "track_id", "timestamp", "listen_duration_ms", "track_duration_ms", "skipped", listed, "genre", *PREFERENCE_AUDIO), "plays-with-tracks")
+    sizes = key_sizes(_known(plays), "user_id")
+    light = plays.where(~sizes.is_heavy("user_id")) if sizes.heavy else plays
+    own = _own_features(dealt(_known(light), "user_id", sizes.rows))
+    if sizes.heavy:
+        own = own.unionByName(_own_features(plays.where(sizes.is_heavy("user_id"))))
     demographics = users.select("user_id", "tier", "country", "age_group")
-    wide = base.join(_grains(plays), "user_id", "left").join(demographics, "user_id", "left")
+    wide = own.join(demographics, "user_id", "left")
     told = wide.join(_listener_countries(plays, demographics, as_of), F.col("country").eqNullSafe(F.col("_country")), "left")
     told = told.withColumns({"active": dates_of("months"), "unique_tracks": F.coalesce("unique_tracks", F.lit(0)), "session_count": F.coalesce("session_count", F.lit(0))})
     columns = {**_playlist_columns(), **_listening_columns(), **_audio_columns(), **_temporal_columns(), **_engagement_columns(),

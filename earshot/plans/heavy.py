@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Rows that a key may have at least, and the part of all rows that it may have, before it is heavy. The part bounds the
 #: number of heavy keys.
-_LEAST, _PART = 250_000, 1 / 2000
+_LEAST, _PART = 100_000, 1 / 2000
 
 #: Rows that a task gets on average of rows dealt by key.
-_TASK_ROWS = 250_000
+_TASK_ROWS = 100_000
 
 _BUCKETS = 1 << 14
 

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.operators import skip_features as sk
+from earshot.operators import features as fe, skip_features as sk
 from earshot.plans import heavy
 
 
@@ -75,6 +75,40 @@ def test_history_of_light_and_heavy_keys(monkeypatch, odd_plays, odd_tracks, lea
     assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(map(repr, expected))
 
 
+@pytest.fixture(scope="module")
+def star(spark, odd_plays):
+    """The odd plays with lengths, users of whom one comes twice and one is missing, tracks with and without a genre."""
+    plays = odd_plays.withColumns({"listen_duration_ms": F.pmod(F.xxhash64("session_id", "timestamp"), F.lit(1000)),
+                                   "track_duration_ms": F.when(F.col("skipped"), 1000).otherwise(2000).cast("bigint")})
+    users = spark.createDataFrame([("u", "free", "DE", None), ("u", "premium", "DE", "18-24"), ("v", "odd", None, "55+"), ("x1", "family", "US", "25-34")],
+                                  "user_id string, tier string, country string, age_group string")
+    tracks = spark.createDataFrame([(t, g, *(float(i + j) / 40 for j in range(5))) for i, (t, g) in enumerate([("t", "pop"), ("s1", "rock"), ("s2", None), *((f"s{k}", f"g{k % 7}") for k in range(3, 30))])],
+                                   "track_id string, genre string, " + ", ".join(f"{a} double" for a in fe.PREFERENCE_AUDIO))
+    return plays, users, tracks
+
+
+def test_user_features_shuffle_plays_by_user_alone(spark, no_broadcasts, star):
+    """No rows that aggregate next to nothing, of which there are several a play, are dealt by user and grain."""
+    plan = fe.user_features(*star)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(user_id#\w+, grain#", plan)
+    dealt = re.findall(r"Exchange hashpartitioning\(user_id#[^,]*, \d+\), REPARTITION_BY_COL", plan)
+    assert len(dealt) == 2  # narrow plays, for plain aggregates and for grains
+
+
+def test_user_features_of_light_and_heavy_users(monkeypatch, star):
+    def found():
+        return {(r.user_id, r.tier): r.asDict() for r in fe.user_features(*star).collect()}
+    expected = found()
+    assert len(expected) == star[0].select("user_id").where("user_id is not null").distinct().count() + 1  # u comes twice
+    monkeypatch.setattr(heavy, "_LEAST", 20)
+    assert len(heavy.key_sizes(star[0].where("user_id is not null"), "user_id").heavy) == 3
+    mixed = found()
+    assert mixed.keys() == expected.keys()
+    for key, row in expected.items():
+        assert {n: v for n, v in mixed[key].items() if isinstance(v, float)} == pytest.approx({n: v for n, v in row.items() if isinstance(v, float)}), key
+        assert {n: v for n, v in mixed[key].items() if not isinstance(v, float)} == {n: v for n, v in row.items() if not isinstance(v, float)}, key
+
+
 def test_key_sizes_are_exact(spark, monkeypatch):
     df = spark.range(1000).select(F.when(F.col("id") < 300, 7).when(F.col("id") < 500, F.lit(None)).otherwise(F.col("id")).cast("bigint").alias("k"))
     assert heavy.key_sizes(df, "k") == heavy.KeySizes(1000)
